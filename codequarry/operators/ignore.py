@@ -19,11 +19,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import globs, paths
 from ..functions.text import decode_text
+from ..sources.schemas import local_table
 from .scope import IGNORE_NAMES, below
 
 
@@ -98,7 +98,7 @@ def root_rules(spark: SparkSession, texts: Sequence[str]) -> list[RootRule]:
     """
     if not texts:
         return []
-    table = spark.createDataFrame(pa.table({"n": range(len(texts)), "text": list(texts)}))
+    table = local_table(spark, "n int, text string", list(enumerate(texts)))
     compiled = table.select("n", globs.compiled_rules(F.col("text"), F.lit("")).alias("rules"))
     merged: list[tuple[bool, list[str]]] = []
     for row in sorted(compiled.collect(), key=lambda row: row.n):

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import paths, text as text_fn
+from ..sources.schemas import local_table
 
 # Fixed value: files above this size are not indexed unless asked for.
 DEFAULT_SIZE_LIMIT = 2 * 1024 * 1024
@@ -36,8 +37,7 @@ def among(files: DataFrame, wanted: Sequence[str] | DataFrame | None) -> DataFra
     absolute = sorted({paths.absolute(path) for path in wanted})
     if len(absolute) <= MAX_IN_LIST:
         return files.where(F.col("path").isin(absolute))
-    spark = files.sparkSession
-    listed = spark.createDataFrame([(path,) for path in absolute], "path string")
+    listed = local_table(files.sparkSession, "path string", [(path,) for path in absolute])
     return files.join(listed, "path", "left_semi")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import diff, langstats
 from ..operators import search as search_ops
+from ..sources import schemas
 from ..sources.store import IndexStore
 from . import index as index_plan
 
@@ -34,7 +35,7 @@ class CodeIndex:
     def summary(self, counts: dict[str, int]) -> DataFrame:
         """The counters of a run as one line of text."""
         schema = ", ".join(f"{name} bigint" for name in counts)
-        return diff.summary_line(self.spark.createDataFrame([tuple(counts.values())], schema))
+        return diff.summary_line(schemas.local_table(self.spark, schema, [tuple(counts.values())]))
 
     def search(
         self,
@@ -44,7 +45,7 @@ class CodeIndex:
         max_results: int | None = search_ops.DEFAULT_MAX_RESULTS,
         case: bool = False,
     ) -> DataFrame:
-        return search_ops.search(self.store.content(), pattern, root, paths, max_results, case)
+        return search_ops.search(self.store.snapshot().content(), pattern, root, paths, max_results, case)
 
     def search_envelope(
         self, pattern: str, root: str | None = None, max_results: int = search_ops.TOOL_MAX_RESULTS
@@ -52,23 +53,23 @@ class CodeIndex:
         return search_ops.envelope(self.search(pattern, root, max_results=max_results))
 
     def stats(self, root: str | None = None, min_lines: int = langstats.DEFAULT_MIN_LINES) -> DataFrame:
-        return langstats.language_stats(self.store.content(), root, min_lines)
+        return langstats.language_stats(self.store.snapshot().content(), root, min_lines)
 
     def totals(self, root: str | None = None, min_lines: int = langstats.DEFAULT_MIN_LINES) -> DataFrame:
-        return langstats.totals(self.store.content(), root, min_lines)
+        return langstats.totals(self.store.snapshot().content(), root, min_lines)
 
     def stats_envelope(self, root: str | None = None) -> DataFrame:
-        return langstats.stats_envelope(self.store.content(), root)
+        return langstats.stats_envelope(self.store.snapshot().content(), root)
 
     def files(self) -> DataFrame:
-        return self.store.files().drop("gen")
+        return self.store.snapshot().files().drop("gen")
 
     def roots(self) -> DataFrame:
-        return self.store.roots().select("path").orderBy("path")
+        return self.store.snapshot().roots().select("path").orderBy("path")
 
     def clear(self) -> int:
         """Empty the index and return how many files it held."""
-        count = self.store.files().agg(F.count("*").alias("n")).first().n
+        count = self.store.snapshot().files().agg(F.count("*").alias("n")).first().n
         self.store.clear()
         return count
 

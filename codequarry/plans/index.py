@@ -82,7 +82,8 @@ def index_root(
     spark = store.spark
     root = paths.absolute(root)
     now = datetime.now().strftime("%Y-%m-%dT%H:%M:%S")
-    gen = store.next_generation()
+    before = store.snapshot()
+    gen = before.next_generation
 
     with Staging(spark) as staging:
         listing = scope.below(source.listing(root, staging), root)
@@ -105,7 +106,7 @@ def index_root(
             return reached.where(~F.col("pruned")).withColumn("skipped", skipped)
 
         seen = flagged(listing).select("path", "size", "mtime", "skipped")
-        old = scope.below(store.files(), root)
+        old = scope.below(before.files(), root)
         first = old.isEmpty()
         changes = diff.first_diff(seen) if first else diff.snapshot_diff(old, seen)
         changes = staging.write(changes, "changes", by="status")
@@ -116,15 +117,18 @@ def index_root(
             "path", "size", "mtime", text_hash(F.col("text")).alias("text_hash"),
             F.col("gen").alias("replaces"), "text",
         )
-        store.write("content", gen, texts)
-        written = store.generation("content", gen).drop("text")
+        written = store.write("content", gen, texts).drop("text")
 
         store.write("files", gen, written.drop("replaces").withColumn("indexed_at", F.lit(now)))
         gone = staging.read_parts(changes, "changes", "status", [diff.REMOVED, diff.SKIPPED_REMOVED])
-        superseded = written.where(F.col("replaces").isNotNull()).select("path", F.col("replaces").alias("gen"))
-        store.write("replaced", gen, superseded.unionByName(gone.select("path", "gen")))
-        given = spark.createDataFrame([(root, now)], schemas.ROOTS)
-        store.write("roots", gen, new_roots(store.roots(), given))
+        superseded = written.where(F.col("replaces").isNotNull())
+        store.write(
+            "replaced", gen,
+            superseded.select("path", F.col("replaces").alias("replaced_gen"))
+            .unionByName(gone.select("path", F.col("gen").alias("replaced_gen"))),
+        )
+        given = schemas.local_table(spark, schemas.ROOTS, [(root, now)])
+        store.write("roots", gen, new_roots(before.roots(), given))
 
         counts = diff.counters(changes, written.select(F.col("replaces").alias("gen"))).first().asDict()
         store.commit(gen, counts)

@@ -53,7 +53,7 @@ def list_tree(spark: SparkSession, root: str, staging: Staging) -> DataFrame:
     Directories that cannot be read are passed over. Each level is staged, so
     the loop holds no more than the plan of one level.
     """
-    level = spark.createDataFrame([(root,)], "path string")
+    level = schemas.local_table(spark, "path string", [(root,)])
     listing = None
     depth = 0
     while True:

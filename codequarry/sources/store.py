@@ -22,63 +22,87 @@ TABLES = {
 }
 
 
+class Snapshot:
+    """The tables of an index as of one list of commits."""
+
+    def __init__(self, store: IndexStore, commits: list[Row]):
+        self._store = store
+        self._gens = [row.gen for row in commits]
+        self._replaces = any(row.updated or row.removed for row in commits)
+
+    @property
+    def next_generation(self) -> int:
+        return self._gens[-1] + 1 if self._gens else 1
+
+    def files(self) -> DataFrame:
+        """``path, size, mtime, text_hash, indexed_at, gen`` of the indexed files."""
+        return self._live("files")
+
+    def content(self) -> DataFrame:
+        """``path, text`` and the metadata of the indexed texts.
+
+        Every stored text belongs to exactly one files row, so reading texts
+        needs no join with ``files``.
+        """
+        return self._live("content").drop("replaces", "gen")
+
+    def roots(self) -> DataFrame:
+        """``path, created_at`` of the registered roots."""
+        return self._read("roots").drop("gen")
+
+    def _live(self, table: str) -> DataFrame:
+        rows = self._read(table)
+        if not self._replaces:
+            return rows
+        # Both sides have a known size on disk, by which Catalyst chooses
+        # between broadcasting the replaced keys and a shuffle.
+        replaced = self._read("replaced").select("path", F.col("replaced_gen").alias("gen"))
+        return rows.join(replaced, ["path", "gen"], "left_anti")
+
+    def _read(self, table: str) -> DataFrame:
+        schema = f"{TABLES[table]}, gen bigint"
+        spark = self._store.spark
+        if not self._gens:
+            return schemas.local_table(spark, schema)
+        reader = spark.read.schema(schema).option("basePath", f"{self._store.location}/{table}")
+        return reader.parquet(*(self._store.folder(table, gen) for gen in self._gens))
+
+
 class IndexStore:
     def __init__(self, spark: SparkSession, location: str):
         self.spark = spark
         self.location = location.rstrip("/")
 
-    # -- generations -----------------------------------------------------
-
-    def commits(self) -> list[Row]:
-        """Commits from the last base on: one small row per run."""
+    def snapshot(self) -> Snapshot:
+        """What is committed now, from the last base on: one small row per run."""
         try:
             rows = (
                 self.spark.read.schema(f"{schemas.COMMITS}, gen bigint")
                 .json(f"{self.location}/commits")
-                .orderBy("gen")
                 .collect()
             )
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return []
-        start = max((i for i, row in enumerate(rows) if row.base), default=0)
-        return rows[start:]
+            rows = []
+        rows.sort(key=lambda row: row.gen)
+        base = max((i for i, row in enumerate(rows) if row.base), default=0)
+        return Snapshot(self, rows[base:])
 
-    def next_generation(self) -> int:
-        commits = self.commits()
-        return commits[-1].gen + 1 if commits else 1
+    def write(self, table: str, gen: int, rows: DataFrame) -> DataFrame:
+        """Write a table of an uncommitted generation and return it as read back.
 
-    def write(self, table: str, gen: int, rows: DataFrame) -> None:
-        """Write a table of an uncommitted generation, over leftovers of a failed run."""
-        rows.write.mode("overwrite").parquet(self._folder(table, gen))
+        Leftovers of a run that failed before its commit are overwritten.
+        """
+        rows.write.mode("overwrite").parquet(self.folder(table, gen))
+        return self.spark.read.schema(TABLES[table]).parquet(self.folder(table, gen))
 
     def commit(self, gen: int, counts: dict[str, int], base: bool = False) -> None:
         """Make a generation visible; with ``base``, all earlier ones invisible."""
-        row = self.spark.createDataFrame([(base, *(counts[name] for name in _COUNTERS))], schemas.COMMITS)
-        row.coalesce(1).write.mode("errorifexists").json(self._folder("commits", gen))
-
-    # -- tables ----------------------------------------------------------
-
-    def generation(self, table: str, gen: int) -> DataFrame:
-        """One generation of a table, committed or not."""
-        return self.spark.read.schema(TABLES[table]).parquet(self._folder(table, gen))
-
-    def files(self) -> DataFrame:
-        """``path, size, mtime, text_hash, indexed_at, gen`` of the indexed files."""
-        return self._live("files")
-
-    def content(self) -> DataFrame:
-        """``path, text`` of the indexed files.
-
-        Every stored text belongs to exactly one files row, so reading texts
-        needs no join with ``files``.
-        """
-        return self._live("content").select("path", "text")
-
-    def roots(self) -> DataFrame:
-        """``path, created_at`` of the registered roots."""
-        return self._read("roots", [row.gen for row in self.commits()]).drop("gen")
+        row = schemas.local_table(
+            self.spark, schemas.COMMITS, [(base, *(counts.get(name, 0) for name in _COUNTERS))]
+        )
+        row.coalesce(1).write.mode("errorifexists").json(self.folder("commits", gen))
 
     def compact(self) -> None:
         """Rewrite the live rows as one generation clustered by path.
@@ -86,47 +110,27 @@ class IndexStore:
         Scoped reads then skip row groups, and reads lose their join with
         ``replaced``.
         """
-        gen = self.next_generation()
-        everything = self._live("content").drop("gen").withColumn("replaces", F.lit(None).cast("bigint"))
-        clustered = everything.repartitionByRange("path").sortWithinPartitions("path")
-        self.write("content", gen, clustered)
-        self.write("files", gen, self.files().drop("gen"))
-        self.write("roots", gen, self.roots())
+        now = self.snapshot()
+        gen = now.next_generation
+        texts = now.content().withColumn("replaces", F.lit(None).cast("bigint"))
+        self.write("content", gen, texts.repartitionByRange("path").sortWithinPartitions("path"))
+        self.write("files", gen, now.files().drop("gen"))
+        self.write("roots", gen, now.roots())
         self.write("replaced", gen, self._empty("replaced"))
-        self.commit(gen, dict.fromkeys(_COUNTERS, 0), base=True)
+        self.commit(gen, {}, base=True)
 
     def clear(self) -> None:
         """Start over with a base generation that holds nothing."""
-        gen = self.next_generation()
+        gen = self.snapshot().next_generation
         for table in TABLES:
             self.write(table, gen, self._empty(table))
-        self.commit(gen, dict.fromkeys(_COUNTERS, 0), base=True)
+        self.commit(gen, {}, base=True)
 
-    def _live(self, table: str) -> DataFrame:
-        commits = self.commits()
-        gens = [row.gen for row in commits]
-        rows = self._read(table, gens)
-        if not any(row.updated or row.removed for row in commits):
-            return rows
-        # Both tables have a known size on disk, by which Catalyst chooses
-        # between broadcasting the replaced keys and a shuffle.
-        return rows.join(self._read("replaced", gens, keep_gen=False), ["path", "gen"], "left_anti")
-
-    def _read(self, table: str, gens: list[int], keep_gen: bool = True) -> DataFrame:
-        schema = TABLES[table]
-        if not gens:
-            return self._empty(table, keep_gen)
-        reader = self.spark.read.schema(f"{schema}, gen bigint" if keep_gen else schema)
-        if keep_gen:
-            reader = reader.option("basePath", f"{self.location}/{table}")
-        return reader.parquet(*(self._folder(table, gen) for gen in gens))
-
-    def _empty(self, table: str, keep_gen: bool = False) -> DataFrame:
-        schema = TABLES[table]
-        return self.spark.createDataFrame([], f"{schema}, gen bigint" if keep_gen else schema)
-
-    def _folder(self, table: str, gen: int) -> str:
+    def folder(self, table: str, gen: int) -> str:
         return f"{self.location}/{table}/gen={gen}"
 
+    def _empty(self, table: str) -> DataFrame:
+        return schemas.local_table(self.spark, TABLES[table])
+
 
 _COUNTERS = ("added", "updated", "removed", "skipped", "total")
