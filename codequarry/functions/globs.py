@@ -26,29 +26,31 @@ def _strip(line: Column) -> Column:
     return F.regexp_replace(line, f"(?U)^{_SPACE}|{_SPACE}$", "")
 
 
-def parse_line(line: Column) -> Column:
-    """Struct ``(negate, dir_only, anchored, source)`` of one line.
+def parse_rules(text: Column) -> Column:
+    """Array of ``(negate, dir_only, anchored, source)`` of an ignore file's text.
 
-    ``source`` is empty for blank lines, comments and lines holding no pattern.
+    In file order; blank lines, comments and lines without a pattern are left
+    out. Each step is a pass of its own, as lambdas share no subexpressions.
     """
-    clean = _strip(line)
-    comment = clean.startswith("#")
-    negate = clean.startswith("!")
-    body = F.when(
-        negate, F.regexp_replace(F.substring(clean, 2, 2**31 - 1), f"(?U)^{_SPACE}", "")
-    ).otherwise(clean)
-    open_end = F.rtrim(body, F.lit("/"))
-    return F.struct(
-        negate.alias("negate"),
-        body.endswith("/").alias("dir_only"),
-        open_end.startswith("/").alias("anchored"),
-        F.when(comment, "").otherwise(F.ltrim(open_end, F.lit("/"))).alias("source"),
+    lines = F.filter(
+        F.transform(F.split(text, _LINE_BREAK), _strip),
+        lambda line: (line != "") & ~line.startswith("#"),
+    )
+    bodies = F.transform(
+        lines,
+        lambda line: F.when(
+            line.startswith("!"), F.struct(F.lit(True).alias("negate"), _strip(F.substring(line, 2, 2**31 - 1)).alias("body"))
+        ).otherwise(F.struct(F.lit(False).alias("negate"), line.alias("body"))),
+    )
+    rules = F.transform(
+        bodies,
+        lambda rule: F.struct(
+            rule["negate"].alias("negate"),
+            rule["body"].endswith("/").alias("dir_only"),
+            F.rtrim(rule["body"], F.lit("/")).startswith("/").alias("anchored"),
+            F.trim(rule["body"], F.lit("/")).alias("source"),
+        ),
     )
-
-
-def parse_rules(text: Column) -> Column:
-    """Array of rule structs of an ignore file's text, in file order."""
-    rules = F.transform(F.split(text, _LINE_BREAK), parse_line)
     return F.filter(rules, lambda rule: rule["source"] != "")
 
 

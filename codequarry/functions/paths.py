@@ -62,10 +62,16 @@ def extension(name: Column) -> Column:
     ).otherwise("")
 
 
-def directory_prefixes(relative_path: Column) -> Column:
-    """All directories above a relative path, outermost first."""
-    parts = F.split(relative_path, "/")
-    return F.transform(
-        F.slice(parts, 1, F.size(parts) - 1),
-        lambda _, i: F.array_join(F.slice(parts, 1, i + 1), "/"),
-    )
+def ancestor(directory: Column, depth: Column) -> Column:
+    """The first ``depth`` names of a relative directory."""
+    return F.call_function("substring_index", directory, F.lit("/"), depth)
+
+
+def depths(directory: Column) -> Column:
+    """Depths of a relative directory and the directories above it, from 1 on."""
+    return F.sequence(F.lit(1), F.size(F.split(directory, "/")))
+
+
+def lineage(directory: Column) -> Column:
+    """A relative directory after all directories above it, outermost first."""
+    return F.transform(depths(directory), lambda depth: ancestor(directory, depth))

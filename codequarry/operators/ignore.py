@@ -135,7 +135,7 @@ def with_ignore_flags(
     files = below(files, root)
     relative = paths.relative(F.col("path"), root)
     if deeper is None:
-        return files.withColumn("pruned", _pruned(relative, rules)).withColumn(
+        return files.withColumn("pruned", _pruned(paths.dirname(relative), rules)).withColumn(
             "ignored", _is_ignored(_root_verdict(relative, rules))
         )
     placed = (
@@ -170,16 +170,13 @@ def directory_rules(
         below(files, root).select(paths.dirname(relative).alias("dir")).distinct().where(F.col("dir") != "")
     )
     deepest = (
-        directories.select("dir", F.explode(_lineage("dir")).alias("base"))
+        directories.select("dir", F.explode(paths.lineage(F.col("dir"))).alias("base"))
         .join(chains.select("base"), "base", "left_semi")
         .groupBy("dir")
         .agg(F.max_by("base", F.length("base")).alias("base"))
     )
-    # A directory is pruned with its files when it is ignored itself, so the
-    # test, which looks at the levels above a path, gets a name inside it.
-    inside = F.concat("dir", F.lit("/*"))
     settled = _with_chain(directories.join(deepest, "dir", "left"), chains, keep_base=True).select(
-        "dir", "base", _pruned(inside, rules, F.col("rules")).alias("pruned")
+        "dir", "base", _pruned(F.col("dir"), rules, F.col("rules")).alias("pruned")
     )
     return DirectoryRules(settled.where(F.col("pruned") | F.col("base").isNotNull()), chains)
 
@@ -203,10 +200,9 @@ def rule_chains(nested: DataFrame) -> DataFrame:
                 ),
             ).alias("rules"),
         )
-        .where(F.size("rules") > 0)
     )
     above = sets.select(F.col("base").alias("top")).distinct().select(
-        "top", F.explode(_lineage("top")).alias("base")
+        "top", F.explode(paths.lineage(F.col("top"))).alias("base")
     )
     return (
         above.join(sets, "base")
@@ -216,12 +212,6 @@ def rule_chains(nested: DataFrame) -> DataFrame:
     )
 
 
-def _lineage(directory: str) -> Column:
-    """A relative directory and all directories above it."""
-    parts = F.split(directory, "/")
-    return F.transform(parts, lambda _, i: F.array_join(F.slice(parts, 1, i + 1), "/"))
-
-
 def _with_chain(rows: DataFrame, chains: DataFrame, keep_base: bool = False) -> DataFrame:
     """``rows`` plus the ``rules`` of their ``base``, null where it is null."""
     # Rows without a base are spread by their directory, not by one null key;
@@ -247,19 +237,20 @@ def _root_verdict(path: Column, rules: Sequence[RootRule]) -> Column:
 
 
 def _nested_verdict(path: Column, rules: Column, depth: Column | None = None) -> Column:
-    """``negate`` of the first of ``rules`` matching, of bases above ``depth``."""
+    """``negate`` of the first of ``rules`` matching, of bases above a depth."""
 
     def applies(rule: Column) -> Column:
         hit = F.rlike(path, rule["regex"])
-        return hit if depth is None else (rule["depth"] <= depth) & hit
+        return hit if depth is None else (rule["depth"] < depth) & hit
 
     return F.get(F.filter(rules, applies), 0)["negate"]
 
 
-def _pruned(relative: Column, rules: Sequence[RootRule], nested: Column | None = None) -> Column:
-    """True when a directory above the path is ignored."""
+def _pruned(directory: Column, rules: Sequence[RootRule], nested: Column | None = None) -> Column:
+    """True when a relative directory or one above it is ignored."""
 
-    def directory_ignored(prefix: Column, depth: Column) -> Column:
+    def ignored(depth: Column) -> Column:
+        prefix = paths.ancestor(directory, depth)
         verdicts = []
         for form in (prefix, F.concat(prefix, F.lit("/"))):
             verdicts.append(_root_verdict(form, rules))
@@ -267,19 +258,13 @@ def _pruned(relative: Column, rules: Sequence[RootRule], nested: Column | None =
                 verdicts.append(_nested_verdict(form, nested, depth))
         return _is_ignored(F.coalesce(*verdicts))
 
-    numbered = F.transform(
-        paths.directory_prefixes(relative),
-        lambda prefix, depth: directory_ignored(prefix, depth),
-    )
-    pruned = F.exists(numbered, lambda ignored: ignored)
-    if nested is not None:
-        return pruned
-    # What matches a directory also matches in the directory part of every path
-    # below it, so one look settles most paths. Wildcards stop at newlines, so
-    # paths with one take the full test.
-    ignoring = [rule.regex for rule in rules if not rule.negate]
-    if not ignoring:
-        return F.lit(False)
-    parent = F.concat(paths.dirname(relative), F.lit("/"))
-    possible = parent.rlike("|".join(ignoring)) | F.contains(parent, F.lit("\n"))
-    return F.when(possible, pruned).otherwise(False)
+    possible = directory != ""
+    if nested is None:
+        # What matches a directory also matches in every longer path, so one
+        # look settles most. Wildcards stop at newlines: with one, no shortcut.
+        ignoring = [rule.regex for rule in rules if not rule.negate]
+        if not ignoring:
+            return F.lit(False)
+        matched = F.concat(directory, F.lit("/")).rlike("|".join(ignoring))
+        possible = possible & (matched | F.contains(directory, F.lit("\n")))
+    return F.when(possible, F.exists(paths.depths(directory), ignored)).otherwise(False)

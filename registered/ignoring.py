@@ -178,7 +178,7 @@ GLOBS = [
 
 
 def ignore_translate(spark, folder):
-    rules = F.array(*(F.struct(F.lit(glob).alias("pattern"), globs.parse_line(F.lit(glob)).alias("rule")) for glob, _ in GLOBS))
+    rules = F.array(*(F.struct(F.lit(glob).alias("pattern"), F.get(globs.parse_rules(F.lit(glob)), 0).alias("rule")) for glob, _ in GLOBS))
     tried = corpus(spark, folder).select("path", F.inline(rules))
     regex = globs.glob_regex(
         F.col("rule.source"), F.col("rule.dir_only"), F.col("rule.anchored"), F.lit("")
