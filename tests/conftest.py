@@ -15,6 +15,6 @@ def spark(tmp_path_factory):
     session = builder.getOrCreate()
     if session.conf.get("spark.checkpoint.dir", None) is None:
         session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint")))
-    session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()
