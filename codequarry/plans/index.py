@@ -57,7 +57,7 @@ class TreeSource:
 
     def ignore_files(self, listing: DataFrame, names: Sequence[str]) -> DataFrame:
         wanted = listing.where(paths.basename(F.col("path")).isin(*names))
-        return filetree.read_content(wanted).select("path", "content")
+        return filetree.read_content(wanted, spread=False).select("path", "content")
 
     def fetch(self, wanted: DataFrame, keep) -> DataFrame:
         return filetree.read_content(wanted)

@@ -67,18 +67,18 @@ def list_tree(spark: SparkSession, root: str, staging: Staging) -> DataFrame:
         depth += 1
 
 
-def read_content(files: DataFrame) -> DataFrame:
+def read_content(files: DataFrame, spread: bool = True) -> DataFrame:
     """``files`` plus their ``content``; files that cannot be read are left out.
 
-    Rows are spread by path range, so whatever is written from the result
-    without a shuffle is clustered by path.
+    With ``spread``, rows are dealt to tasks of bounded size by path range, so
+    whatever is written from the result without a shuffle is clustered by path.
     """
-    spark = files.sparkSession
-    total = files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first().bytes
-    tasks = max(total // _TASK_BYTES + 1, spark.sparkContext.defaultParallelism)
+    if spread:
+        size = files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+        tasks = max(size.bytes // _TASK_BYTES + 1, files.sparkSession.sparkContext.defaultParallelism)
+        files = files.repartitionByRange(tasks, "path").sortWithinPartitions("path")
     schema = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())])
-    ordered = files.repartitionByRange(tasks, "path").sortWithinPartitions("path")
-    return ordered.mapInArrow(_read_files, schema)
+    return files.mapInArrow(_read_files, schema)
 
 
 def _list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
