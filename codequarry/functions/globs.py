@@ -14,6 +14,7 @@ _LINE_BREAK = r"\r\n|[\n\x0B\x0C\r\x1C\x1D\x1E\x85\u2028\u2029]"
 _SPACE = r"[\s\x1C-\x1F]+"
 
 _TOKEN = r"\*\*/?|\*|\?|\\.|."
+_WILDCARD = r"\*\*/?|\*|\?|\\."
 _SPECIAL = r"([\\.^$|?*+(){}\[\]])"
 _END_OR_SLASH = r"(?:\n?\z|/)"
 
@@ -88,13 +89,77 @@ def glob_regex(source: Column, dir_only: Column, anchored: Column, base: Column)
     return F.concat(head, body, tail)
 
 
+def path_form(path: Column) -> Column:
+    """What rules look at in a path: the path, padded forms of it, and whether
+    it is odd, that is, has a newline."""
+    start = F.lit("\0/")
+    return F.struct(
+        path.alias("path"),
+        F.concat(start, path).alias("open"),
+        F.concat(start, path, F.lit("/")).alias("closed"),
+        F.contains(path, F.lit("\n")).alias("odd"),
+    )
+
+
+def glob_needle(source: Column, dir_only: Column, anchored: Column, base: Column) -> Column:
+    """Text whose presence in a path's form means a match; null for other globs.
+
+    Most rules are plain names, suffixes (``*.log``) or prefixes (``tmp*``). For
+    paths without a newline a substring test then equals the regex and costs a
+    fraction of it. It is done on the open form for rules for directories only,
+    else on the closed one; a NUL marks the start of the path in both.
+    """
+    at_base = anchored | F.contains(source, F.lit("/"))
+    head = (
+        F.when(~at_base, "/")
+        .when(base == "", "\0/")
+        .otherwise(F.concat(F.lit("\0/"), base, F.lit("/")))
+    )
+    return (
+        F.when(F.rlike(source, F.lit(r"^[^*?\\\[\]]+$")), F.concat(head, source, F.lit("/")))
+        .when(
+            F.rlike(source, F.lit(r"^\*[^*?\\\[\]/]+$")) & ~at_base,
+            F.concat(F.substring(source, 2, 2**31 - 1), F.lit("/")),
+        )
+        .when(
+            F.rlike(source, F.lit(r"^[^*?\\\[\]]+\*$")) & ~dir_only,
+            F.concat(head, F.left(source, F.length(source) - 1)),
+        )
+    )
+
+
+def glob_piece(source: Column) -> Column:
+    """The longest run of plain text in a glob, which every match contains."""
+    pieces = F.split(source, _WILDCARD)
+    return F.array_max(
+        F.transform(pieces, lambda piece: F.struct(F.length(piece).alias("length"), piece.alias("piece")))
+    )["piece"]
+
+
 def compiled_rules(text: Column, base: Column) -> Column:
-    """Array of ``(negate, regex)`` of an ignore file's usable rules, in file order."""
+    """Array of ``(negate, dir_only, needle, piece, regex)`` of an ignore file's
+    usable rules, in file order."""
     usable = F.filter(parse_rules(text), lambda rule: is_supported(rule["source"]))
-    return F.transform(
-        usable,
-        lambda rule: F.struct(
+
+    def compiled(rule: Column) -> Column:
+        parts = rule["source"], rule["dir_only"], rule["anchored"], base
+        return F.struct(
             rule["negate"].alias("negate"),
-            glob_regex(rule["source"], rule["dir_only"], rule["anchored"], base).alias("regex"),
-        ),
+            rule["dir_only"].alias("dir_only"),
+            glob_needle(*parts).alias("needle"),
+            glob_piece(rule["source"]).alias("piece"),
+            glob_regex(*parts).alias("regex"),
+        )
+
+    return F.transform(usable, compiled)
+
+
+def rule_matches(form: Column, rule: Column) -> Column:
+    """Whether a rule of :func:`compiled_rules` matches a path's form.
+
+    The regex, which has to be compiled for each test, comes last.
+    """
+    text = F.when(rule["dir_only"], form["open"]).otherwise(form["closed"])
+    return F.when(rule["needle"].isNotNull() & ~form["odd"], F.contains(text, rule["needle"])).otherwise(
+        F.contains(form["path"], rule["piece"]) & F.rlike(form["path"], rule["regex"])
     )

@@ -17,9 +17,11 @@ directory they come from, never copied into every directory below it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import groupby
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from ..functions import globs, paths
 from ..functions.text import decode_text
@@ -28,9 +30,23 @@ from .scope import IGNORE_NAMES, below
 
 
 class RootRule(NamedTuple):
+    """Neighbouring root-level rules of the same kind, any of which decides."""
+
     negate: bool
+    needles: list[str]
+    directory_needles: list[str]
+    other: str
     regex: str
 
+    def matches(self, form: Column) -> Column:
+        tests = [F.contains(form["closed"], F.lit(needle)) for needle in self.needles]
+        tests += [F.contains(form["open"], F.lit(needle)) for needle in self.directory_needles]
+        if tests:
+            tests.append(form["odd"] & form["path"].rlike(self.regex))
+        if self.other:
+            tests.append(form["path"].rlike(self.other))
+        return reduce(Column.__or__, tests)
+
 
 class DirectoryRules(NamedTuple):
     """Effect of the ignore files below the root.
@@ -100,16 +116,23 @@ def root_rules(spark: SparkSession, texts: Sequence[str]) -> list[RootRule]:
         return []
     table = local_table(spark, "n int, text string", list(enumerate(texts)))
     compiled = table.select("n", globs.compiled_rules(F.col("text"), F.lit("")).alias("rules"))
-    merged: list[tuple[bool, list[str]]] = []
-    for row in sorted(compiled.collect(), key=lambda row: row.n):
-        for rule in reversed(row.rules):
-            if not merged or merged[-1][0] != rule.negate:
-                merged.append((rule.negate, []))
-            merged[-1][1].append(rule.regex)
-    return [
-        RootRule(negate, "|".join(f"(?:{regex})" for regex in dict.fromkeys(regexes)))
-        for negate, regexes in merged
+    in_order = [
+        rule for row in sorted(compiled.collect(), key=lambda row: row.n) for rule in reversed(row.rules)
     ]
+    return [_merged(negate, list(rules)) for negate, rules in groupby(in_order, lambda rule: rule.negate)]
+
+
+def _merged(negate: bool, rules: list[Row]) -> RootRule:
+    def union(regexes) -> str:
+        return "|".join(f"(?:{regex})" for regex in dict.fromkeys(regexes))
+
+    return RootRule(
+        negate,
+        sorted({rule.needle for rule in rules if rule.needle and not rule.dir_only}),
+        sorted({rule.needle for rule in rules if rule.needle and rule.dir_only}),
+        union(rule.regex for rule in rules if not rule.needle),
+        union(rule.regex for rule in rules),
+    )
 
 
 def root_texts(sets: DataFrame, extra: Sequence[str] = ()) -> list[str]:
@@ -132,21 +155,18 @@ def with_ignore_flags(
 
     Without ``deeper`` rules nothing is joined.
     """
-    files = below(files, root)
     relative = paths.relative(F.col("path"), root)
+    placed = below(files, root).withColumns({"rel": relative, "dir": paths.dirname(relative)})
+    verdict = _root_verdict(globs.path_form(F.col("rel")), rules)
     if deeper is None:
-        return files.withColumn("pruned", _pruned(paths.dirname(relative), rules)).withColumn(
-            "ignored", _is_ignored(_root_verdict(relative, rules))
+        flagged = placed.withColumn("pruned", _pruned(F.col("dir"), rules))
+    else:
+        flagged = _with_chain(placed.join(deeper.directories, "dir", "left"), deeper.chains).withColumn(
+            "pruned", F.coalesce("pruned", F.lit(False))
         )
-    placed = (
-        files.withColumn("dir", paths.dirname(relative))
-        .join(deeper.directories, "dir", "left")
-        .withColumn("pruned", F.coalesce("pruned", F.lit(False)))
-    )
-    own = F.coalesce(_root_verdict(relative, rules), _nested_verdict(relative, F.col("rules")))
-    return (
-        _with_chain(placed, deeper.chains).withColumn("ignored", _is_ignored(own)).drop("dir", "rules")
-    )
+        verdict = F.coalesce(verdict, _nested_verdict(globs.path_form(F.col("rel")), F.col("rules")))
+    flagged = flagged.withColumn("ignored", _is_ignored(verdict))
+    return flagged.select(*files.columns, "pruned", "ignored")
 
 
 def without_ignored(
@@ -195,9 +215,7 @@ def rule_chains(nested: DataFrame) -> DataFrame:
             "rank",
             F.transform(
                 F.reverse(globs.compiled_rules(F.col("text"), F.col("base"))),
-                lambda rule: F.struct(
-                    depth.alias("depth"), rule["negate"].alias("negate"), rule["regex"].alias("regex")
-                ),
+                lambda rule: F.struct(depth.alias("depth"), rule.alias("rule")),
             ).alias("rules"),
         )
     )
@@ -227,44 +245,51 @@ def _is_ignored(negate: Column) -> Column:
     return F.coalesce(~negate, F.lit(False))
 
 
-def _root_verdict(path: Column, rules: Sequence[RootRule]) -> Column:
+def _root_verdict(form: Column, rules: Sequence[RootRule]) -> Column:
     """``negate`` of the deciding root-level rule; null without a match."""
     verdict = None
     for rule in rules:
-        hit = path.rlike(rule.regex)
+        hit = rule.matches(form)
         verdict = F.when(hit, rule.negate) if verdict is None else verdict.when(hit, rule.negate)
     return F.lit(None).cast("boolean") if verdict is None else verdict
 
 
-def _nested_verdict(path: Column, rules: Column, depth: Column | None = None) -> Column:
-    """``negate`` of the first of ``rules`` matching, of bases above a depth."""
+def _nested_verdict(form: Column, rules: Column, above: Column | None = None) -> Column:
+    """``negate`` of the first of ``rules`` matching.
+
+    ``above`` limits them to those of directories at most that deep.
+    """
 
-    def applies(rule: Column) -> Column:
-        hit = F.rlike(path, rule["regex"])
-        return hit if depth is None else (rule["depth"] < depth) & hit
+    def applies(entry: Column) -> Column:
+        hit = globs.rule_matches(form, entry["rule"])
+        return hit if above is None else (entry["depth"] <= above) & hit
 
-    return F.get(F.filter(rules, applies), 0)["negate"]
+    return F.get(F.filter(rules, applies), 0)["rule"]["negate"]
 
 
 def _pruned(directory: Column, rules: Sequence[RootRule], nested: Column | None = None) -> Column:
     """True when a relative directory or one above it is ignored."""
 
-    def ignored(depth: Column) -> Column:
-        prefix = paths.ancestor(directory, depth)
+    def level(path: Column, above: Column) -> Column:
+        return F.struct(
+            above.alias("above"),
+            globs.path_form(path).alias("plain"),
+            globs.path_form(F.concat(path, F.lit("/"))).alias("slashed"),
+        )
+
+    def ignored(at: Column) -> Column:
         verdicts = []
-        for form in (prefix, F.concat(prefix, F.lit("/"))):
+        for form in (at["plain"], at["slashed"]):
             verdicts.append(_root_verdict(form, rules))
             if nested is not None:
-                verdicts.append(_nested_verdict(form, nested, depth))
+                verdicts.append(_nested_verdict(form, nested, at["above"]))
         return _is_ignored(F.coalesce(*verdicts))
 
-    possible = directory != ""
-    if nested is None:
-        # What matches a directory also matches in every longer path, so one
-        # look settles most. Wildcards stop at newlines: with one, no shortcut.
-        ignoring = [rule.regex for rule in rules if not rule.negate]
-        if not ignoring:
-            return F.lit(False)
-        matched = F.concat(directory, F.lit("/")).rlike("|".join(ignoring))
-        possible = possible & (matched | F.contains(directory, F.lit("\n")))
-    return F.when(possible, F.exists(paths.depths(directory), ignored)).otherwise(False)
+    # What matches a directory also matches in every longer path, so one look
+    # settles most. Wildcards stop at newlines: with one, no shortcut.
+    whole = globs.path_form(F.concat(directory, F.lit("/")))
+    possible = reduce(Column.__or__, [rule.matches(whole) for rule in rules if not rule.negate], whole["odd"])
+    if nested is not None:
+        possible = possible | nested.isNotNull()
+    levels = F.transform(paths.lineage(directory), level)
+    return F.when((directory != "") & possible, F.exists(levels, ignored)).otherwise(False)
