@@ -9,9 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Line breaks and white space of Unicode text, as regex classes.
+# Line breaks (as a regex) and white space of Unicode text.
 _LINE_BREAK = r"\r\n|[\n\x0B\x0C\r\x1C\x1D\x1E\x85\u2028\u2029]"
-_SPACE = r"[\s\x1C-\x1F]+"
+_SPACE = (
+    "\t\n\x0B\x0C\r\x1C\x1D\x1E\x1F \x85\xA0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200A\u2028\u2029\u202F\u205F\u3000"
+)
 
 _TOKEN = r"\*\*/?|\*|\?|\\.|."
 _WILDCARD = r"\*\*/?|\*|\?|\\."
@@ -24,7 +27,7 @@ def _literal(text: Column) -> Column:
 
 
 def _strip(line: Column) -> Column:
-    return F.regexp_replace(line, f"(?U)^{_SPACE}|{_SPACE}$", "")
+    return F.btrim(line, F.lit(_SPACE))
 
 
 def parse_rules(text: Column) -> Column:

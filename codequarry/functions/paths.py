@@ -17,8 +17,10 @@ def absolute(path: str) -> str:
     """The absolute form of a path given by the caller.
 
     URIs (``scheme://...``) are already absolute and are only stripped of
-    trailing slashes.
+    trailing slashes; local ones (``file:/...``) become plain paths.
     """
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
     if "://" in path:
         return path.rstrip("/")
     return os.path.abspath(path)

@@ -195,7 +195,11 @@ def directory_rules(
         .groupBy("dir")
         .agg(F.max_by("base", F.length("base")).alias("base"))
     )
-    settled = _with_chain(directories.join(deepest, "dir", "left"), chains, keep_base=True).select(
+    # Adaptive execution would pack these short rows into few partitions, but the
+    # work on them is all in the tests.
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = directories.join(deepest, "dir", "left").repartition(tasks, "dir")
+    settled = _with_chain(placed, chains, keep_base=True).select(
         "dir", "base", _pruned(F.col("dir"), rules, F.col("rules")).alias("pruned")
     )
     return DirectoryRules(settled.where(F.col("pruned") | F.col("base").isNotNull()), chains)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.paths import absolute
 from . import schemas
 from .scratch import Staging
 
@@ -53,7 +54,7 @@ def list_tree(spark: SparkSession, root: str, staging: Staging) -> DataFrame:
     Directories that cannot be read are passed over. Each level is staged, so
     the loop holds no more than the plan of one level.
     """
-    level = schemas.local_table(spark, "path string", [(root,)])
+    level = schemas.local_table(spark, "path string", [(absolute(root),)])
     listing = None
     depth = 0
     while True:

@@ -173,7 +173,10 @@ def filter_descendants(spark, folder):
 def filter_paths(spark, folder):
     wanted = corpus(spark, folder).where(F.col("source") == "src2").select("path")
     files = corpus(spark, folder).select("path", "size")
-    listed = scope.among(files, ["/corpus/src1/../src1/src/d0.py", "/corpus/nowhere"])
+    # Few enough paths for an In filter, and enough for a join instead.
+    short = [f"/corpus/src{i}/x/../docs/d{j}.md" for i in range(20) for j in range(2, 100, 16)]
+    long = [f"/corpus/src{i}/src/d{j}.py" for i in range(20) for j in range(0, 10_000, 80)]
+    listed = scope.among(files, short).unionByName(scope.among(files, long))
     return scope.among(files, wanted).unionByName(listed)
 
 
@@ -232,7 +235,10 @@ ORACLES = {
     "filter_descendants": f"with {SQL} select path from corpus where starts_with(path, '/corpus/src1/')",
     "filter_paths": f"""with {SQL}
         select path, size from corpus where source = 'src2'
-        union all select path, size from corpus where path = '/corpus/src1/src/d0.py'""",
+        union all select path, size from corpus
+        where regexp_full_match(path, '/corpus/src1?[0-9]/docs/d[0-9]{{1,2}}\\.md')
+        union all select path, size from corpus
+        where regexp_full_match(path, '/corpus/src1?[0-9]/src/d[0-9]{{1,4}}\\.py')""",
     "filter_reserved": f"""with {SQL} select path from corpus
         where regexp_extract(path, '[^/]*$') not in ('.gitignore', '.quarryignore', 'Makefile')""",
     "filter_size": f"with {SQL} select path, size from corpus where size <= {SIZE_LIMIT}",

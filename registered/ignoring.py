@@ -178,14 +178,16 @@ GLOBS = [
 
 
 def ignore_translate(spark, folder):
-    rules = F.array(*(F.struct(F.lit(glob).alias("pattern"), F.get(globs.parse_rules(F.lit(glob)), 0).alias("rule")) for glob, _ in GLOBS))
-    tried = corpus(spark, folder).select("path", F.inline(rules))
-    regex = globs.glob_regex(
-        F.col("rule.source"), F.col("rule.dir_only"), F.col("rule.anchored"), F.lit("")
+    rules = F.array(
+        *(
+            F.struct(F.lit(glob).alias("pattern"), F.get(globs.compiled_rules(F.lit(glob), F.lit("")), 0).alias("rule"))
+            for glob, _ in GLOBS
+        )
     )
     relative = paths.relative(F.col("path"), ROOT)
-    matched = globs.is_supported(F.col("rule.source")) & F.rlike(relative, regex)
-    return tried.select("path", "pattern", matched.alias("matched"))
+    tried = corpus(spark, folder).select("path", globs.path_form(relative).alias("form"), F.inline(rules))
+    matched = globs.rule_matches(F.col("form"), F.col("rule"))
+    return tried.select("path", "pattern", F.coalesce(matched, F.lit(False)).alias("matched"))
 
 
 _TRANSLATE_SQL = f"""

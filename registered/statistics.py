@@ -55,6 +55,7 @@ totals as (
     from stats)"""
 
 
+_BELOW_NOWHERE = "starts_with(path, '/nowhere/')"
 _BELOW_SRC1 = "starts_with(path, '/corpus/src1/')"
 _ORDER = "order by lines desc, files desc, language"
 _OBJECT = """concat('{"language":"', language, '","files":', files, ',"lines":', lines, '}')"""
@@ -67,7 +68,7 @@ ORACLES = {
     "lang_stats_root": f"with {SQL}, {stats_sql(_BELOW_SRC1)} select * from stats",
     "lang_stats_min_lines": f"with {SQL}, {stats_sql(min_lines=20)} select * from stats",
     "lang_totals": f"with {SQL}, {stats_sql()} select * from totals",
-    "lang_totals_empty": "select cast(0 as bigint) as files, cast(0 as bigint) as lines",
+    "lang_totals_empty": f"with {SQL}, {stats_sql(_BELOW_NOWHERE)} select * from totals",
     "stats_json": f"""with {SQL}, {stats_sql()},
         body as (select string_agg({_PRETTY}, concat(',', chr(10)) {_ORDER}) as rows from stats)
         select concat('{{', chr(10), '  "languages": [', chr(10), rows, chr(10), '  ],', chr(10),
@@ -83,7 +84,8 @@ ORACLES = {
         select row_number() over ({_ORDER}) as line_no, {_LINE.format('language')} as line from stats, width
         union all select n + 1, repeat('-', w + 34) from width
         union all select n + 2, {_LINE.format("'TOTAL'")} from totals, width""",
-    "stats_report_empty": "select cast(1 as bigint) as line_no, 'No indexed files.' as line",
+    "stats_report_empty": f"""with {SQL}, {stats_sql(_BELOW_NOWHERE)}
+        select cast(1 as bigint) as line_no, 'No indexed files.' as line from totals where files = 0""",
     "stats_envelope": f"""with {SQL}, {stats_sql(_BELOW_SRC1)},
         body as (select string_agg({_OBJECT}, ',' {_ORDER}) as rows from stats)
         select '/corpus/src1' as root, concat('[', rows, ']') as languages, files, lines from body, totals""",
