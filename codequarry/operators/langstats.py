@@ -116,11 +116,10 @@ def totals_line(total: DataFrame) -> DataFrame:
 
 
 def _counted(corpus: DataFrame, root: str | None, min_lines: int) -> DataFrame:
-    lines = line_count(F.col("text"))
-    return scope.below(corpus, root).where(F.col("text") != "").select(
-        language_of(F.col("path")).alias("language"),
-        F.when(lines >= min_lines, lines).otherwise(0).alias("lines"),
+    counted = scope.below(corpus, root).where(F.col("text") != "").select(
+        language_of(F.col("path")).alias("language"), line_count(F.col("text")).alias("lines")
     )
+    return counted.withColumn("lines", F.when(F.col("lines") >= min_lines, F.col("lines")).otherwise(0))
 
 
 def _per_language(corpus: DataFrame, root: str | None, min_lines: int) -> DataFrame:

@@ -83,14 +83,17 @@ from documents, (values {}) as endings(ending, tail)""".format(
 
 
 def binary_sniff(spark, folder):
-    masked = F.array(
+    def masked(chars):
+        return F.regexp_replace("text", f"[{chars}]", "\x01") if chars else F.col("text")
+
+    all_masks = F.array(
         *(
-            F.struct(F.lit(name).alias("mask"), F.translate("text", chars, "\x01" * len(chars)).alias("masked"))
+            F.struct(F.lit(name).alias("mask"), masked(chars).alias("masked"))
             for name, chars in MASKS.items()
         ),
         F.struct(F.lit("nul_at_end").alias("mask"), F.concat("text", F.lit("\0")).alias("masked")),
     )
-    variants = table(spark, folder, "documents").select("doc_id", F.inline(masked))
+    variants = table(spark, folder, "documents").select("doc_id", F.inline(all_masks))
     return variants.select(
         "doc_id", "mask", text_fn.looks_binary(F.col("masked").cast("binary")).alias("is_binary")
     )
