@@ -19,7 +19,7 @@ CONTENT = (
 )
 REPLACED = "path string, replaced_gen bigint"
 COMMITS = (
-    "base boolean, added bigint, updated bigint, removed bigint, skipped bigint, total bigint"
+    "gen bigint, base boolean, added bigint, updated bigint, removed bigint, skipped bigint, total bigint"
 )
 
 

@@ -76,16 +76,14 @@ class IndexStore:
     def snapshot(self) -> Snapshot:
         """What is committed now, from the last base on: one small row per run."""
         try:
-            rows = (
-                self.spark.read.schema(f"{schemas.COMMITS}, gen bigint")
-                .json(f"{self.location}/commits")
-                .collect()
-            )
+            rows = self.spark.read.schema(schemas.COMMITS).json(f"{self.location}/commits").collect()
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             rows = []
         rows.sort(key=lambda row: row.gen)
+        if len({row.gen for row in rows}) < len(rows):
+            raise ValueError(f"two runs wrote the same generation of {self.location}")
         base = max((i for i, row in enumerate(rows) if row.base), default=0)
         return Snapshot(self, rows[base:])
 
@@ -99,10 +97,9 @@ class IndexStore:
 
     def commit(self, gen: int, counts: dict[str, int], base: bool = False) -> None:
         """Make a generation visible; with ``base``, all earlier ones invisible."""
-        row = schemas.local_table(
-            self.spark, schemas.COMMITS, [(base, *(counts.get(name, 0) for name in _COUNTERS))]
-        )
-        row.coalesce(1).write.mode("errorifexists").json(self.folder("commits", gen))
+        values = (gen, base, *(counts.get(name, 0) for name in _COUNTERS))
+        row = schemas.local_table(self.spark, schemas.COMMITS, [values])
+        row.coalesce(1).write.mode("append").json(f"{self.location}/commits")
 
     def compact(self) -> None:
         """Rewrite the live rows as one generation clustered by path.

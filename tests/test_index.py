@@ -187,6 +187,21 @@ def test_failed_run_leaves_no_trace(spark, index):
     assert indexed(index, "/r") == {"b"}
 
 
+def test_leftovers_of_a_failed_commit_do_not_matter(spark, index):
+    for left in ("commits/_temporary/0", "content/gen=1", "files/gen=1/_temporary"):
+        os.makedirs(f"{index.store.location}/{left}")
+    assert index.files().count() == 0
+    assert index.index("/r", TableSource(file_table(spark, {"/r/a": b"x"}))) == counts(added=1, total=1)
+    assert indexed(index, "/r") == {"a"}
+
+
+def test_two_writers_are_noticed(spark, index):
+    for _ in range(2):
+        index.store.commit(1, {})
+    with pytest.raises(ValueError, match="same generation"):
+        index.files()
+
+
 def test_reader_keeps_its_snapshot(spark, index):
     index.index("/r", TableSource(file_table(spark, {"/r/a": b"x"})))
     earlier = index.files()
