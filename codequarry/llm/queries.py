@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm import decontaminate, records
+from codequarry.llm import decontaminate, fingerprints, mixture, records
 from codequarry.llm.shared import shared_folder, table
 
 
@@ -14,6 +14,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, folder, "documents"))
+
+
+def source_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.mixture(table(spark, folder, "documents"))
+
+
 def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -23,6 +31,8 @@ def token_output(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_document_fingerprints": document_fingerprints,
+    "op9_source_mixture": source_mixture,
     "op7_benchmark_decontamination": benchmark_decontamination,
     "op10_token_output": token_output,
 }
