@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm import decontaminate, fingerprints, mixture, records
+from codequarry.llm import decontaminate, fingerprints, html, mixture, records
 from codequarry.llm.shared import shared_folder, table
 
 
@@ -22,6 +22,10 @@ def source_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mixture(table(spark, folder, "documents"))
 
 
+def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html.main_texts(table(spark, folder, "pages"))
+
+
 def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -31,6 +35,7 @@ def token_output(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_html_extraction": html_extraction,
     "op3_document_fingerprints": document_fingerprints,
     "op9_source_mixture": source_mixture,
     "op7_benchmark_decontamination": benchmark_decontamination,

@@ -6,7 +6,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DataType, StructType
 
 from codequarry.sources.scratch import file_system, scratch_dir
 
@@ -44,5 +44,5 @@ def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Record
     return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
 
 
-def schema_with(frame: DataFrame, name: str, kind) -> StructType:
-    return StructType([*frame.schema.fields, StructField(name, kind)])
+def schema_with(frame: DataFrame, name: str, kind: DataType | str) -> StructType:
+    return StructType(list(frame.schema.fields)).add(name, kind)
