@@ -19,6 +19,7 @@ order of id, nulls first, then of text; repeated rows are separate sequences.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -33,11 +34,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 from codequarry.llm import kernels
 
 FILE_BYTES = 256 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_STEMS = 300_000, 800_000
 
 _LENGTH, _CHECK = struct.Struct("<Q"), struct.Struct("<I")
 #: Marks that end a word and never join letters in the tokenizer's split pattern.
 _TAIL = ".,;:!?#$%&*"
+#: Letters for which lower case and composition are the same in any order: Latin without the dotted capital I.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ſ]+")
+#: The byte-level alphabet: printable Latin-1 stands for itself, the other bytes are counted on from 256.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = dict.fromkeys(range(256)) | {b: b for b in _PRINTABLE}
+_BYTE_CHARS |= {b: 256 + k for k, b in enumerate(b for b in range(256) if _BYTE_CHARS[b] is None)}
 
 
 def masked(data: bytes) -> int:
@@ -83,7 +90,18 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {"": b""}
+        self.stems: dict[str, bytes] = {}
+
+    def _stem(self, stem: str) -> bytes:
+        """Ids of lower-case letters, which are one piece to the tokenizer."""
+        ids = self.stems.get(stem)
+        if ids is None:
+            piece = stem if stem.isascii() else stem.encode().decode("latin-1").translate(_BYTE_CHARS)
+            ids = np.array([t.id for t in self.model.tokenize(piece)], self.width).tobytes()
+            self.stems[stem] = ids
+        return ids
 
     def _packed(self, words: list[str]) -> None:
         encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
@@ -93,17 +111,21 @@ class WordEncoder:
         split, single = [], set()
         for word in words:
             stem = word.rstrip(_TAIL)
-            if stem.isascii() and stem.isalpha():
-                split.append((word, stem.lower(), word[len(stem):]))
-                single.update(split[-1][1:])
+            if _LETTERS.fullmatch(stem):
+                tail = word[len(stem):]
+                split.append((word, stem.lower(), tail))
+                if tail:
+                    single.add(tail)
             else:
                 single.add(word)
         self._packed([word for word in single if word not in self.known])
-        self.known.update((word, self.known[stem] + self.known[tail]) for word, stem, tail in split)
+        self.known.update((word, self._stem(stem) + self.known[tail]) for word, stem, tail in split)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
+        if len(self.stems) > CACHE_STEMS:
+            self.stems = {}
         rows = [(text or "").replace("\n", " ").split(" ") for text in texts]
         missing = set().union(*rows) - self.known.keys()
         if missing:
