@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm import decontaminate, fingerprints, html, mixture, records
+from codequarry.llm import decontaminate, fingerprints, html, mixture, neardup, quality, records
 from codequarry.llm.shared import shared_folder, table
 
 
@@ -14,6 +14,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
+def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.Classifier(table(spark, folder, "documents"), table(spark, folder, "labels")).results()
+
+
 def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, folder, "documents"))
 
@@ -34,12 +42,21 @@ def token_output(spark: SparkSession, folder: str) -> DataFrame:
     return records.token_records(table(spark, folder, "documents"), shared_folder(spark), tokenizer_path())
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES = {
+    "op1_near_dedup": near_dedup,
+    "op2_quality_classifier": quality_classifier,
     "op5_html_extraction": html_extraction,
     "op3_document_fingerprints": document_fingerprints,
     "op9_source_mixture": source_mixture,
     "op7_benchmark_decontamination": benchmark_decontamination,
     "op10_token_output": token_output,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {}

@@ -45,4 +45,5 @@ def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Record
 
 
 def schema_with(frame: DataFrame, name: str, kind: DataType | str) -> StructType:
+    kind = DataType.fromDDL(kind) if isinstance(kind, str) else kind
     return StructType(list(frame.schema.fields)).add(name, kind)
