@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm import decontaminate, fingerprints, html, mixture, neardup, quality, records
+from codequarry.llm import decontaminate, fingerprints, html, mixture, neardup, quality, records, substrings, suffixes
 from codequarry.llm.shared import shared_folder, table
 
 
@@ -30,6 +30,14 @@ def source_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mixture(table(spark, folder, "documents"))
 
 
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.digests(table(spark, folder, "documents"))
+
+
+def suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.digests(table(spark, folder, "documents"))
+
+
 def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html.main_texts(table(spark, folder, "pages"))
 
@@ -51,6 +59,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_near_dedup": near_dedup,
     "op2_quality_classifier": quality_classifier,
+    "op4_substring_dedup": substring_dedup,
+    "op8_suffix_array_dedup": suffix_array_dedup,
     "op5_html_extraction": html_extraction,
     "op3_document_fingerprints": document_fingerprints,
     "op9_source_mixture": source_mixture,
