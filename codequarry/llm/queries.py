@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm import decontaminate, fingerprints, html, mixture, neardup, quality, records, substrings, suffixes
+from codequarry.llm import decontaminate, fingerprints, html, mixture, neardup, pii, quality, records, substrings, suffixes
 from codequarry.llm.shared import shared_folder, table
 
 
@@ -38,6 +38,10 @@ def suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.digests(table(spark, folder, "documents"))
 
 
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
 def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html.main_texts(table(spark, folder, "pages"))
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op5_html_extraction": html_extraction,
     "op3_document_fingerprints": document_fingerprints,
     "op9_source_mixture": source_mixture,
+    "op6_personal_data": personal_data,
     "op7_benchmark_decontamination": benchmark_decontamination,
     "op10_token_output": token_output,
     "pipeline": pipeline,
