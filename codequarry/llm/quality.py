@@ -167,7 +167,8 @@ class Classifier:
         self.text, self.lang, self.prior = text, lang, prior
         rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
         trusted = trusted_ids(labels)
-        texts = rows.join(trusted, F.col("id") == F.col("trusted"), "left_semi").select("text")
+        # One plan at every size: texts meet their labels in a shuffle, never by a broadcast that grows with the labels.
+        texts = rows.join(trusted.hint("merge"), F.col("id") == F.col("trusted"), "left_semi").select("text")
         counts = written(ngram_counts(texts), folder, "counts")
         self.scorer = Scorer(train(counts))
         self.scores = written(
