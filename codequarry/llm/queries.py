@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm import decontaminate, fingerprints, html, mixture, neardup, pii, quality, records, substrings, suffixes
+from codequarry.llm import decontaminate, fingerprints, html, mixture, neardup, oracles, pii, quality, records, substrings, suffixes
 from codequarry.llm.shared import shared_folder, table
 
 
@@ -74,4 +74,7 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_substring_dedup": oracles.SUBSTRINGS,
+    "op7_benchmark_decontamination": oracles.DECONTAMINATION,
+}
