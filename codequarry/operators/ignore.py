@@ -30,7 +30,11 @@ from .scope import IGNORE_NAMES, below
 
 
 class RootRule(NamedTuple):
-    """Neighbouring root-level rules of the same kind, any of which decides."""
+    """Neighbouring root-level rules of the same kind, any of which decides.
+
+    The expression is equally deep for any number of rules: plain names are
+    literals of one array, globs are alternatives of one regex.
+    """
 
     negate: bool
     needles: list[str]
@@ -39,13 +43,27 @@ class RootRule(NamedTuple):
     regex: str
 
     def matches(self, form: Column) -> Column:
-        tests = [F.contains(form["closed"], F.lit(needle)) for needle in self.needles]
-        tests += [F.contains(form["open"], F.lit(needle)) for needle in self.directory_needles]
+        tests = [
+            _contains_any(form[text], needles)
+            for text, needles in (("closed", self.needles), ("open", self.directory_needles)) if needles
+        ]
         if tests:
             tests.append(form["odd"] & form["path"].rlike(self.regex))
         if self.other:
             tests.append(form["path"].rlike(self.other))
-        return reduce(Column.__or__, tests)
+        return _any(tests)
+
+
+def _contains_any(text: Column, needles: Sequence[str]) -> Column:
+    return F.exists(F.array(*map(F.lit, needles)), lambda needle: F.contains(text, needle))
+
+
+def _any(tests: Sequence[Column]) -> Column:
+    """Disjunction as a balanced tree, whose depth is the logarithm of their number."""
+    tests = list(tests)
+    while len(tests) > 1:
+        tests = [reduce(Column.__or__, tests[i : i + 2]) for i in range(0, len(tests), 2)]
+    return tests[0]
 
 
 class DirectoryRules(NamedTuple):
@@ -293,7 +311,7 @@ def _pruned(directory: Column, rules: Sequence[RootRule], nested: Column | None
     # What matches a directory also matches in every longer path, so one look
     # settles most. Wildcards stop at newlines: with one, no shortcut.
     whole = globs.path_form(F.concat(directory, F.lit("/")))
-    possible = reduce(Column.__or__, [rule.matches(whole) for rule in rules if not rule.negate], whole["odd"])
+    possible = _any([whole["odd"], *(rule.matches(whole) for rule in rules if not rule.negate)])
     if nested is not None:
         possible = possible | nested.isNotNull()
     levels = F.transform(paths.lineage(directory), level)

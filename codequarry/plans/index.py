@@ -10,8 +10,9 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths
 from ..functions.text import text_hash
@@ -89,7 +90,9 @@ def index_root(
     gen = before.next_generation
 
     with Staging(spark) as staging:
-        listing = scope.below(source.listing(root, staging), root)
+        # The index itself and what this run stages are no files of the root.
+        own = reduce(Column.__or__, (paths.is_below(F.col("path"), local_path(f)) for f in (store.location, staging.folder)))
+        listing = scope.below(source.listing(root, staging), root).where(~own)
         rules: list[ignore.RootRule] = []
         deeper = None
         if not no_ignore:
@@ -104,8 +107,10 @@ def index_root(
 
         def flagged(files: DataFrame) -> DataFrame:
             """Files the walk would reach, with what it would skip marked."""
-            reached = ignore.with_ignore_flags(scope.without_links(files), root, rules, deeper)
+            reached = ignore.with_ignore_flags(scope.without_links(files.where(~own)), root, rules, deeper)
             skipped = F.col("ignored") | scope.is_reserved(ignore_names, reserved) | scope.is_oversize(size_limit)
+            # Files whose metadata could not be read have no size.
+            skipped = skipped | F.col("size").isNull()
             return reached.where(~F.col("pruned")).withColumn("skipped", skipped)
 
         seen = flagged(listing).select("path", "size", "mtime", "skipped")
@@ -138,6 +143,11 @@ def index_root(
     return counts
 
 
+def local_path(location: str) -> str:
+    """The path by which a mounted tree shows a location; other file systems have no such path."""
+    return f"/{location[5:].lstrip('/')}" if location.startswith("file:") else location
+
+
 def new_roots(roots: DataFrame, given: DataFrame) -> DataFrame:
     """The rows of ``given`` whose path is not registered yet, one per path."""
     return given.dropDuplicates(["path"]).join(roots.select("path"), "path", "left_anti")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -26,6 +27,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _LIST_ROWS = 10_000
 _READ_BYTES = 32 * 1024 * 1024
+#: What may happen to single files while a tree is read; a lost mount or a broken disk is not among it.
+_PASSED_OVER = (FileNotFoundError, PermissionError, NotADirectoryError, IsADirectoryError)
+_TASK_FOLDERS = 64
 _TASK_BYTES = 128 * 1024 * 1024
 
 _ENTRY = f"{schemas.LISTING}, is_dir boolean"
@@ -51,25 +55,30 @@ def binary_file_table(spark: SparkSession, location: str) -> DataFrame:
 def list_tree(spark: SparkSession, root: str, staging: Staging) -> DataFrame:
     """All files and links below ``root``; links are not followed.
 
-    Directories that cannot be read are passed over. Each level is staged, so
-    the loop holds no more than the plan of one level.
+    Directories below the root that are gone or closed are passed over, files
+    that are gone or closed have a null size and mtime; any other error ends the
+    run. Each level is staged, so the loop holds no more than the plan of one level.
     """
     level = schemas.local_table(spark, "path string", [(absolute(root),)])
     listing = None
-    depth = 0
+    depth, folders = 0, 1
     while True:
-        entries = level.repartition("path").mapInArrow(_list_directories, _ENTRY)
+        # A number of tasks of its own, which adaptive execution does not pack into one.
+        tasks = min(folders, max(spark.sparkContext.defaultParallelism, folders // _TASK_FOLDERS))
+        listed = partial(_list_directories, required=depth == 0)
+        entries = level.repartition(tasks, "path").mapInArrow(listed, _ENTRY)
         entries = staging.write(entries, f"tree/level={depth}")
         files = entries.where(~F.col("is_dir")).drop("is_dir")
         listing = files if listing is None else listing.unionByName(files)
         level = entries.where(F.col("is_dir")).select("path")
-        if level.isEmpty():
+        folders = level.count()
+        if not folders:
             return listing
         depth += 1
 
 
 def read_content(files: DataFrame, spread: bool = True) -> DataFrame:
-    """``files`` plus their ``content``; files that cannot be read are left out.
+    """``files`` plus their ``content``; files that are gone or closed are left out, other errors raised.
 
     With ``spread``, rows are dealt to tasks of bounded size by path range, so
     whatever is written from the result without a shuffle is clustered by path.
@@ -82,11 +91,11 @@ def read_content(files: DataFrame, spread: bool = True) -> DataFrame:
     return files.mapInArrow(_read_files, schema)
 
 
-def _list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _list_directories(batches: Iterator[pa.RecordBatch], required: bool = False) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     for batch in batches:
         for folder in batch.column("path").to_pylist():
-            for row in _entries(folder):
+            for row in _entries(folder, required):
                 rows.append(row)
                 if len(rows) >= _LIST_ROWS:
                     yield _entry_batch(rows)
@@ -95,17 +104,26 @@ def _list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield _entry_batch(rows)
 
 
-def _entries(folder: str) -> Iterator[tuple]:
+def _entries(folder: str, required: bool = False) -> Iterator[tuple]:
+    """Entries of a directory, which may be gone or closed unless ``required``."""
     try:
-        with os.scandir(folder) as entries:
-            for entry in entries:
+        entries = os.scandir(folder)
+    except _PASSED_OVER:
+        if required:
+            raise
+        return
+    with entries:
+        for entry in entries:
+            link = directory = False
+            try:
                 link = entry.is_symlink()
                 directory = not link and entry.is_dir()
                 if link or directory or entry.is_file():
                     stat = entry.stat(follow_symlinks=False)
                     yield entry.path, stat.st_size, stat.st_mtime, link, directory
-    except OSError:
-        return
+            except _PASSED_OVER:
+                if not directory:
+                    yield entry.path, None, None, link, False
 
 
 def _entry_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -124,7 +142,7 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             try:
                 with open(path, "rb") as file:
                     content.append(file.read())
-            except OSError:
+            except _PASSED_OVER:
                 continue
             kept.append(i)
             held += len(content[-1])

@@ -135,3 +135,23 @@ def test_random_trees_against_a_walk(spark, seed):
     assert flags(spark, files, extra) == walk(files, extra)
     root_only = {path: text for path, text in files.items() if "/" not in path or not text}
     assert flags(spark, root_only, extra) == walk(root_only, extra)
+
+
+def test_thousands_of_root_rules(spark):
+    """Names, suffixes, prefixes and globs by the hundred, with some changes of sign."""
+    kinds = ["name{}/", "*.e{}", "pre{}*", "a?{}", "/top{}", "x{}/**"]
+    lines = []
+    for k in range(2000):
+        lines.append(("!" if k % 100 == 99 else "") + kinds[k % 6].format(k))
+    files = {".gitignore": "\n".join(lines)}
+    expected = {}
+    for k in (0, 1, 2, 3, 4, 199, 1999, 1996):
+        for path in (f"name{k}/f", f"d/f.e{k}", f"d/pre{k}x", f"ab{k}", f"top{k}", f"d/top{k}", f"plain{k}/f"):
+            files[path] = ""
+            rule = {"name": 0, "f.e": 1, "pre": 2, "ab": 3, "top": 4}
+            part = path.removeprefix("d/") if not path.startswith("d/top") else path
+            kind = next((v for word, v in rule.items() if part.startswith(word)), None)
+            hit = kind is not None and k % 6 == kind and k % 100 != 99
+            expected[path] = ("pruned" if kind == 0 else "ignored") if hit else "kept"
+    found = flags(spark, files)
+    assert {path: found[path] for path in expected} == expected

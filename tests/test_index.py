@@ -303,3 +303,66 @@ def test_filters(spark):
     assert scope.without_links(files).count() == 2
     assert scope.without_reserved(files).count() == 2
     assert scope.without_reserved(files, reserved=("a",)).count() == 1
+
+
+def test_index_inside_its_own_root(spark, tmp_path):
+    root = tmp_path / "project"
+    root.mkdir()
+    (root / "a.py").write_text("x\n")
+    for location in (str(root / ".index"), f"file://{root}/.other"):
+        inside = CodeIndex(spark, location)
+        first = inside.index(str(root))
+        again = [inside.index(str(root)) for _ in range(2)]
+        assert again == [counts(total=again[0]["total"])] * 2
+    assert first["added"] >= 1
+
+
+def test_entries_that_cannot_be_read(tmp_path, monkeypatch):
+    for name in "abcd":
+        (tmp_path / name).write_text(name)
+    real = os.scandir
+
+    class Gone:
+        def __init__(self, entry):
+            self.entry, self.name, self.path = entry, entry.name, entry.path
+
+        def is_symlink(self):
+            return False
+
+        def is_dir(self):
+            return False
+
+        def is_file(self):
+            return True
+
+        def stat(self, follow_symlinks=True):
+            if self.name == "b":
+                raise FileNotFoundError(self.path)
+            if self.name == broken:
+                raise OSError(5, "Input/output error")
+            return self.entry.stat(follow_symlinks=follow_symlinks)
+
+    class Scan:
+        def __init__(self, folder):
+            self.entries = sorted(real(folder), key=lambda e: e.name)
+
+        def __enter__(self):
+            return iter(map(Gone, self.entries))
+
+        def __iter__(self):
+            return iter(map(Gone, self.entries))
+
+        def __exit__(self, *_):
+            pass
+
+    monkeypatch.setattr(os, "scandir", Scan)
+    broken = None
+    found = list(filetree._entries(str(tmp_path)))
+    assert [(os.path.basename(p), size) for p, size, *_ in found] == [("a", 1), ("b", None), ("c", 1), ("d", 1)]
+    broken = "c"
+    with pytest.raises(OSError):
+        list(filetree._entries(str(tmp_path)))
+    monkeypatch.undo()
+    assert not list(filetree._entries(str(tmp_path / "none")))
+    with pytest.raises(FileNotFoundError):
+        list(filetree._entries(str(tmp_path / "none"), required=True))

@@ -5,6 +5,7 @@ import os
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from registered import ORACLES, QUERIES
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -25,10 +26,11 @@ def by_column(columns, rows):
 
 
 def test_every_query_has_sql():
-    assert queries().keys() == oracle_sql().keys()
+    assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.keys() <= queries().keys() and ORACLES.keys() <= oracle_sql().keys()
 
 
-@pytest.mark.parametrize("name", queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, tables, name):
     result = queries()[name](spark, FOLDER)
     expected = tables.sql(oracle_sql()[name])
