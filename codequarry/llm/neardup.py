@@ -15,6 +15,14 @@ enough are verified on their exact shingles: first the most alike of each node,
 then all that still lie between different components. With 24 bands of 4 rows a
 pair at similarity 0.8 shares no bucket with probability 3e-6.
 
+That joins nearly all members of a bucket. Buckets that still hold several
+components are then searched whole: every member outside the bucket's largest
+component is compared with all its members, in blocks of at most about ``BLOCK``
+by ``BLOCK`` signatures, so that only pairs that agree often enough leave a task.
+Members of open buckets larger than a block first meet anew in 64 bands of 8 rows,
+which keeps the buckets of unlike texts small; a pair at similarity 0.8 shares none
+of these with probability 8e-6.
+
 Two texts are linked if their Jaccard similarity, weighted or plain, is at least
 ``similarity``; classes are the components of links.
 
@@ -37,6 +45,10 @@ from codequarry.llm.shared import free_name, schema_with, shared_folder, with_co
 
 SIZE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
+FINE_BANDS, FINE_ROWS = 64, 8
+BLOCK = 256
+#: How much less often than ``least`` signatures of a pair worth verifying may agree.
+_MARGIN = 0.25
 _SLICE = 2 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -167,6 +179,90 @@ def _alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return joined.select("a", "b", "a_bytes", "b_bytes").mapInArrow(agree, "a bigint, b bigint, share double")
 
 
+def _open_members(met: DataFrame) -> DataFrame:
+    """(bucket, key, label) of buckets with several labels and over three members, with their size.
+
+    Smaller buckets need no search: both drawn members are paired with all others.
+    """
+    open_ = met.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return met.join(open_.where("size > 3 and low <> high").select("bucket", "size"), "bucket")
+
+
+def _fine_buckets(nodes: DataFrame) -> DataFrame:
+    """(key, label, bytes) to (bucket, key, label): buckets of longer bands, drawn from all components."""
+    order = kernels.mix(np.arange(FINE_BANDS * BANDS * ROWS, dtype=_U)).reshape(FINE_BANDS, -1)
+    picks = np.argsort(order, axis=1)[:, :FINE_ROWS]
+
+    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            parts = _matrix(batch.column(2))
+            out = np.broadcast_to(kernels.mix(np.arange(1, FINE_BANDS + 1, dtype=_U)), (len(parts), FINE_BANDS)).copy()
+            for k in range(FINE_ROWS):
+                out = kernels.mix(out * _U(0x9E3779B97F4A7C15) + parts[:, picks[:, k]])
+            offsets = np.arange(0, out.size + 1, FINE_BANDS, dtype=np.int32)
+            buckets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), buckets], names=["key", "label", "buckets"])
+
+    found = nodes.select("key", "label", "bytes").mapInArrow(band, "key bigint, label bigint, buckets array<bigint>")
+    return found.select(F.explode("buckets").alias("bucket"), "key", "label")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _searched(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b, share) of different labels in a bucket whose signatures agree in at least the share ``least``."""
+    of_label = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    usual = of_label.groupBy("bucket").agg(
+        F.max_by("label", F.struct("n", "label")).alias("usual"), (F.sum("n") - F.max("n")).alias("odd"), F.sum("n").alias("all"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    dealt = (
+        members.drop("size").join(usual, "bucket").join(nodes.select("key", "bytes"), "key")
+        .withColumn("rows", blocks("all")).withColumn("columns", blocks("odd"))
+    )
+    draw = F.xxhash64("key", "bucket")
+    # A block compares some of the odd members, its columns, with some of all members, its rows.
+    row, column = F.pmod(draw, F.col("rows")).cast("int"), F.pmod(F.xxhash64(draw), F.col("columns")).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    kept = ("bucket", "key", "label", "bytes")
+    as_rows = dealt.select(*kept, F.lit(False).alias("odd"), row.alias("row"), F.explode(every("columns")).alias("column"))
+    as_columns = dealt.where("label <> usual").select(
+        *kept, F.lit(True).alias("odd"), column.alias("column"), F.explode(every("rows")).alias("row"))
+
+    def compare(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        odd = block.column("odd").to_numpy()
+        keys, labels = block.column("key").to_numpy(), block.column("label").to_numpy()
+        parts = _matrix(block.column("bytes").combine_chunks())
+        mine, theirs, shares = [], [], []
+        rows = np.flatnonzero(~odd)
+        for k in np.flatnonzero(odd):
+            share = (parts[rows] == parts[k]).mean(axis=1)
+            good = (share >= least) & (labels[rows] != labels[k])
+            theirs.append(keys[rows[good]])
+            mine.append(np.full(len(theirs[-1]), keys[k]))
+            shares.append(share[good])
+        if not mine:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "share": pa.array([], pa.float64())})
+        x, y = np.concatenate(mine), np.concatenate(theirs)
+        return pa.table({"a": np.maximum(x, y), "b": np.minimum(x, y), "share": np.concatenate(shares)})
+
+    found = as_rows.unionByName(as_columns).groupBy("bucket", "row", "column").applyInArrow(compare, "a bigint, b bigint, share double")
+    return found.distinct()
+
+
+def _rest(nodes: DataFrame, labels: DataFrame, least: float, folder: str) -> DataFrame:
+    """Pairs (a, b, share) between the components that still meet in a bucket."""
+    labelled = nodes.where(F.size("bands") > 0).join(labels, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("label", "key"))
+    coarse = written(_open_members(labelled.select(F.explode("bands").alias("bucket"), "key", "label")), folder, "open")
+    crowded = coarse.where(F.col("size") > BLOCK).select("key", "label").distinct()
+    fine = written(_open_members(_fine_buckets(crowded.join(nodes.select("key", "bytes"), "key"))), folder, "open-fine")
+    return _searched(coarse.where(F.col("size") <= BLOCK).unionByName(fine), nodes, least)
+
+
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Shingles and counts of one document of each wanted (key, id), as packed arrays."""
     texts = docs.join(wanted.select(F.col("id").alias("wanted")).distinct(), F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
@@ -223,6 +319,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(verify, "a bigint, b bigint")
 
 
+def _linked(
+    pairs: DataFrame, nodes: DataFrame, rows: DataFrame, least: float, folder: str, name: str,
+    links: DataFrame | None = None, labels: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Verified links among ``pairs``, with those there were, and the labels of all their components."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = written(_shingle_sets(rows, nodes.join(ends, "key", "left_semi").select("key", "id")), folder, f"{name}-sets")
+    # The most alike partner of each node, in each component known, settles most; then all pairs between different components.
+    named = pairs if labels is None else _with_label(pairs, labels, "b")
+    best = named.groupBy("a", *(["b_label"] if labels is not None else [])).agg(F.max_by("b", "share").alias("b")).select("a", "b")
+    first = _verified(best, sets, least)
+    links = written(first if links is None else links.unionByName(first), folder, f"{name}-links-0")
+    labels = components(links)
+    apart = _with_label(_with_label(pairs.join(best, ["a", "b"], "left_anti"), labels, "a"), labels, "b")
+    more = _verified(apart.where("a_label <> b_label").select("a", "b"), sets, least)
+    links = written(links.unionByName(more), folder, f"{name}-links-1")
+    return links, components(links)
+
+
+def _with_label(pairs: DataFrame, labels: DataFrame, side: str) -> DataFrame:
+    of = labels.select(F.col("node").alias(side), F.col("label").alias("found"))
+    return pairs.join(of, side, "left").withColumn(f"{side}_label", F.coalesce("found", side)).drop("found")
+
+
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row per distinct (id, words): id, key, class_id, keep_key. ``keep_key`` is the key of the document that stays."""
     folder = shared_folder(docs.sparkSession)
@@ -231,20 +351,12 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", least: floa
     nodes = written(
         sketches.groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes")),
         folder, "nodes")
-    pairs = written(_alike(_candidates(nodes.where(F.size("bands") > 0)), nodes, least - 0.25), folder, "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = written(_shingle_sets(rows, nodes.join(ends, "key", "left_semi").select("key", "id")), folder, "sets")
-    # The most alike partner of each node settles most; then all pairs between different components.
-    best = pairs.groupBy("a").agg(F.max_by("b", "share").alias("b"))
-    links = written(_verified(best, sets, least), folder, "links-0")
-    labels = components(links)
-    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
-    apart = (
-        pairs.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-        .where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
-    )
-    more = written(_verified(apart, sets, least), folder, "links-1")
-    labels = components(links.unionByName(more))
+    pairs = written(_alike(_candidates(nodes.where(F.size("bands") > 0)), nodes, least - _MARGIN), folder, "pairs")
+    links, labels = _linked(pairs, nodes, rows, least, folder, "met")
+    rest = _rest(nodes, labels, least - _MARGIN, folder).join(pairs, ["a", "b"], "left_anti")
+    rest = written(rest, folder, "rest")
+    if not rest.isEmpty():
+        _, labels = _linked(rest, nodes, rows, least, folder, "searched", links, labels)
     node_class = nodes.select("key", "id").join(labels, F.col("key") == F.col("node"), "left").select(
         "key", "id", F.coalesce("label", "key").alias("label"))
     heads = node_class.groupBy("label").agg(F.min("id").alias("class_id"), F.min_by("key", F.struct(F.col("id").isNull(), "id", "key")).alias("keep_key"))

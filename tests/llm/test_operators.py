@@ -76,6 +76,24 @@ def test_near_duplicates_of_repeated_rows_and_none(spark, docs, empty):
     assert not neardup.deduplicated(empty).collect()
 
 
+@pytest.mark.parametrize("block", [8, 256])
+def test_links_to_one_member_of_a_large_bucket(spark, monkeypatch, block):
+    """Variants are like the text they stem from, few are like another variant."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    draw = random.Random(3)
+    base = [f"w{k}" for k in range(400)]
+    texts = [" ".join(base)]
+    for k in range(90):
+        variant = list(base)
+        for start in range(5, 390, 57):
+            variant[start + draw.randrange(45)] = f"edit{k}-{start}"
+        texts.append(" ".join(variant))
+    made = list(enumerate(texts))
+    assert rows(neardup.near_duplicates(frame(spark, made))) == sorted(brute.classes(made)) == [(k, 0) for k in range(91)]
+    apart = [(k, t) for k, t in made if k % 10]
+    assert rows(neardup.near_duplicates(frame(spark, apart))) == sorted(brute.classes(apart))
+
+
 def test_signatures_estimate_probability_jaccard():
     draw = np.random.default_rng(3)
     hashes = kernels.mix(np.arange(1, 401, dtype=np.uint64))
