@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from codequarry.llm.shared import shared_folder, written
 
@@ -10,8 +10,9 @@ from codequarry.llm.shared import shared_folder, written
 def components(links: DataFrame) -> DataFrame:
     """Links (a, b) of any ordered type to (node, label): the smallest node of each component.
 
-    Every step writes its labels to the shared folder. The longest path to the
-    smallest node at least halves in a step.
+    A step gives each node the label of the smallest label among its own and its
+    neighbours', written to the shared folder; it ends when no label moved, which
+    the write itself counts.
     """
     folder = shared_folder(links.sparkSession)
     links = written(links.where("a <> b").select("a", "b").distinct(), folder, "links")
@@ -22,13 +23,17 @@ def components(links: DataFrame) -> DataFrame:
         step += 1
         reached = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("reached"))
         lower = labels.join(reached, labels.node == reached.a).select("node", "label", F.least("label", "reached").alias("low"))
-        lower = written(lower, folder, f"lower-{step}")
-        jumps = lower.select(F.col("node").alias("via"), F.col("low").alias("jump"))
-        stepped = written(
-            lower.join(jumps, lower.low == jumps.via, "left")
-            .select("node", F.coalesce("jump", "low").alias("label"), (F.coalesce("jump", "low") != F.col("label")).alias("moved")),
-            folder, f"labels-{step}",
-        )
-        labels = stepped.select("node", "label")
-        if not stepped.where("moved").limit(1).count():
+        jumps = labels.select(F.col("node").alias("via"), F.col("label").alias("jump"))
+        seen = Observation()
+        stepped = lower.join(jumps, lower.low == jumps.via).observe(seen, F.count_if(F.col("jump") != F.col("label")).alias("moved"))
+        labels = written(stepped.select("node", F.col("jump").alias("label")), folder, f"labels-{step}")
+        if not seen.get["moved"]:
             return labels
+
+
+def merged(labels: DataFrame, links: DataFrame, folder: str, name: str) -> DataFrame:
+    """``labels`` (node, label) of all nodes, after the components that ``links`` (a, b) of nodes join are one."""
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+    between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+    top = components(between).select(F.col("node").alias("label"), F.col("label").alias("lowest"))
+    return written(labels.join(top, "label", "left").select("node", F.coalesce("lowest", "label").alias("label")), folder, name)

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from codequarry.llm import kernels
-from codequarry.llm.graph import components
+from codequarry.llm.graph import merged
 from codequarry.llm.shared import free_name, schema_with, shared_folder, with_column, written
 
 SIZE, SIMILARITY = 5, 0.8
@@ -256,7 +256,7 @@ def _searched(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 def _rest(nodes: DataFrame, labels: DataFrame, least: float, folder: str) -> DataFrame:
     """Pairs (a, b, share) between the components that still meet in a bucket."""
-    labelled = nodes.where(F.size("bands") > 0).join(labels, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("label", "key"))
+    labelled = nodes.where(F.size("bands") > 0).join(labels.withColumnRenamed("node", "key"), "key")
     coarse = written(_open_members(labelled.select(F.explode("bands").alias("bucket"), "key", "label")), folder, "open")
     crowded = coarse.where(F.col("size") > BLOCK).select("key", "label").distinct()
     fine = written(_open_members(_fine_buckets(crowded.join(nodes.select("key", "bytes"), "key"))), folder, "open-fine")
@@ -320,27 +320,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def _linked(
-    pairs: DataFrame, nodes: DataFrame, rows: DataFrame, least: float, folder: str, name: str,
-    links: DataFrame | None = None, labels: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Verified links among ``pairs``, with those there were, and the labels of all their components."""
+    pairs: DataFrame, best: DataFrame, labels: DataFrame, nodes: DataFrame, rows: DataFrame, least: float, folder: str, name: str,
+) -> DataFrame:
+    """``labels`` (node, label) of all nodes, after the verified links among ``pairs`` have joined their components.
+
+    ``best``, some of the pairs (a, b), is verified first, then all pairs that still lie between components.
+    """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     sets = written(_shingle_sets(rows, nodes.join(ends, "key", "left_semi").select("key", "id")), folder, f"{name}-sets")
-    # The most alike partner of each node, in each component known, settles most; then all pairs between different components.
-    named = pairs if labels is None else _with_label(pairs, labels, "b")
-    best = named.groupBy("a", *(["b_label"] if labels is not None else [])).agg(F.max_by("b", "share").alias("b")).select("a", "b")
-    first = _verified(best, sets, least)
-    links = written(first if links is None else links.unionByName(first), folder, f"{name}-links-0")
-    labels = components(links)
+    labels = merged(labels, _verified(best, sets, least), folder, f"{name}-labels-0")
     apart = _with_label(_with_label(pairs.join(best, ["a", "b"], "left_anti"), labels, "a"), labels, "b")
     more = _verified(apart.where("a_label <> b_label").select("a", "b"), sets, least)
-    links = written(links.unionByName(more), folder, f"{name}-links-1")
-    return links, components(links)
+    return merged(labels, more, folder, f"{name}-labels-1")
 
 
 def _with_label(pairs: DataFrame, labels: DataFrame, side: str) -> DataFrame:
-    of = labels.select(F.col("node").alias(side), F.col("label").alias("found"))
-    return pairs.join(of, side, "left").withColumn(f"{side}_label", F.coalesce("found", side)).drop("found")
+    return pairs.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label")), side)
 
 
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -352,13 +347,16 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", least: floa
         sketches.groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes")),
         folder, "nodes")
     pairs = written(_alike(_candidates(nodes.where(F.size("bands") > 0)), nodes, least - _MARGIN), folder, "pairs")
-    links, labels = _linked(pairs, nodes, rows, least, folder, "met")
+    each = nodes.select(F.col("key").alias("node"), F.col("key").alias("label"))
+    # The most alike partner of each node, later in each component, settles most.
+    most = F.max_by("b", "share").alias("b")
+    labels = _linked(pairs, pairs.groupBy("a").agg(most), each, nodes, rows, least, folder, "met")
     rest = _rest(nodes, labels, least - _MARGIN, folder).join(pairs, ["a", "b"], "left_anti")
     rest = written(rest, folder, "rest")
     if not rest.isEmpty():
-        _, labels = _linked(rest, nodes, rows, least, folder, "searched", links, labels)
-    node_class = nodes.select("key", "id").join(labels, F.col("key") == F.col("node"), "left").select(
-        "key", "id", F.coalesce("label", "key").alias("label"))
+        best = _with_label(rest, labels, "b").groupBy("a", "b_label").agg(most).select("a", "b")
+        labels = _linked(rest, best, labels, nodes, rows, least, folder, "searched")
+    node_class = nodes.select("key", "id").join(labels.withColumnRenamed("node", "key"), "key")
     heads = node_class.groupBy("label").agg(F.min("id").alias("class_id"), F.min_by("key", F.struct(F.col("id").isNull(), "id", "key")).alias("keep_key"))
     of_key = written(node_class.join(heads, "label").select("key", "class_id", "keep_key"), folder, "classes")
     return sketches.select("id", "key").join(of_key, "key").select("id", "key", "class_id", "keep_key")
