@@ -10,9 +10,9 @@ from codequarry.llm.shared import shared_folder, written
 def components(links: DataFrame) -> DataFrame:
     """Links (a, b) of any ordered type to (node, label): the smallest node of each component.
 
-    A step gives each node the label of the smallest label among its own and its
-    neighbours', written to the shared folder; it ends when no label moved, which
-    the write itself counts.
+    A step takes the smallest label among a node's own and its neighbours' and goes
+    two labels further from there. Labels are written to the shared folder; the
+    steps end when none moved, which the write itself counts.
     """
     folder = shared_folder(links.sparkSession)
     links = written(links.where("a <> b").select("a", "b").distinct(), folder, "links")
@@ -23,10 +23,11 @@ def components(links: DataFrame) -> DataFrame:
         step += 1
         reached = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("reached"))
         lower = labels.join(reached, labels.node == reached.a).select("node", "label", F.least("label", "reached").alias("low"))
-        jumps = labels.select(F.col("node").alias("via"), F.col("label").alias("jump"))
+        jumps = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
+        again = labels.select(F.col("node").alias("far"), F.col("label").alias("farther"))
         seen = Observation()
-        stepped = lower.join(jumps, lower.low == jumps.via).observe(seen, F.count_if(F.col("jump") != F.col("label")).alias("moved"))
-        labels = written(stepped.select("node", F.col("jump").alias("label")), folder, f"labels-{step}")
+        stepped = lower.join(jumps, "low").join(again, "far").observe(seen, F.count_if(F.col("farther") != F.col("label")).alias("moved"))
+        labels = written(stepped.select("node", F.col("farther").alias("label")), folder, f"labels-{step}")
         if not seen.get["moved"]:
             return labels
 
