@@ -1,29 +1,46 @@
-"""Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
-
-The model predicts each symbol of a text from the three before it. Symbols are
-64 classes of UTF-8 bytes, so an n-gram of order four is a 24-bit number and no
-table of the model can have more than 64^4 rows, whatever the corpus: that is
-the proven bound by which it is broadcast. The counts it is made of come from all
-trusted texts: n-grams are counted per task, summed up by n-gram, and joined
-with the sums of their contexts and with the continuation counts of the lower
-orders.
+"""Quality classifier: an interpolated modified Kneser-Ney model of the words of trusted text.
+
+Words are runs of letters, digits and bytes from 0x80, marks are runs of other
+signs; both keep their case and are told apart by 64-bit hashes. The model
+predicts each of them from the one before. Words that trusted text does not
+hold are spelled by a model of bytes of order four over 64 classes, the base
+of the interpolation; only that base, of at most 64^4 rows whatever the
+corpus, is broadcast. The counts of words and pairs grow with the corpus and
+never pass the driver: the distinct words and pairs of each document are
+joined with the terms of the model by hash, and the terms summed up by
+document. Rows of a frequent word are skewed; adaptive execution splits them.
+
+Each text belongs to one of two folds by its hash and is scored by the model
+of the trusted texts of the other fold, so no text is known from itself or from
+an equal copy, and thresholds hold for texts outside the trusted ones.
 
 A document's score is its mean negative log likelihood per byte, drawn towards
 the mean of its language by ``prior`` bytes, so that a few words cannot look
 extreme. It is kept if the score lies within language-specific quantiles of the
-trusted scores, widened by ``slack`` times their distance from the median. Very
-predictable texts (one word over and over) fall below, noise above.
+trusted scores, widened by ``errors`` standard errors of such quantiles, which
+vanish as trusted documents grow in number.
+
+Besides, each word has an evidence of toxicity: the log ratio of its shares of
+toxic and of trusted documents, less ``errors`` standard errors. A document
+whose strongest word lies above zero and above the ``high`` quantile of trusted
+documents of its language is not kept. Nor is one whose share of words that
+equal one of the two before lies above that quantile: a frequent word over and
+over has a usual likelihood.
 
 Defined results: null and empty texts score the mean of their language and are
 kept; a null language is a language; a language with fewer than ``least``
 trusted documents takes the quantiles of all of them; without trusted
 documents all are kept; repeated labels and rows count once and as often as
-they occur; a document is trusted if all its labels say so.
+they occur; a document is trusted if all its labels say so, toxic if any does;
+equal texts have equal scores within a language. Sums are of integers, so that
+scores do not depend on the order of rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -124,36 +141,248 @@ def loss_table(order: np.ndarray, key: np.ndarray, term: np.ndarray) -> np.ndarr
 
 def trusted_ids(labels: DataFrame, id: str = "doc_id") -> DataFrame:
     """Ids that all their labels call good and not toxic."""
+    return labelled_ids(labels, id).where("not bad").select("trusted")
+
+
+def labelled_ids(labels: DataFrame, id: str = "doc_id") -> DataFrame:
+    """Trusted and toxic ids: trusted, bad."""
     return (
         labels.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("trusted"))
         .agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-        .where("q = 1 and t = 0").select("trusted")
+        .where("q = 1 and t = 0 or t = 1").select("trusted", (F.col("t") == 1).alias("bad"))
     )
 
 
+#: Class of each byte as part of a word: 0 for white space, 1 for marks, 2 for letters and digits.
+_CLASS = np.ones(256, np.int8)
+_CLASS[kernels.SPACE] = 0
+_CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 2
+_START, _PAIR, _FOLD = (np.uint64(x) for x in (0x5851F42D4C957F2D, 0x9E3779B97F4A7C15, 0xD1342543DE82EF95))
+#: Terms are rounded to multiples of its inverse.
+_UNIT = 1 << 20
+#: Words without repeats that each text is taken to have besides its own.
+_DRAWN = 10
+
+
+def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of each run of word bytes and of marks."""
+    if not len(data):
+        return (np.zeros(0, np.int64),) * 3
+    kinds = _CLASS[data]
+    new = np.ones(len(data) + 1, bool)
+    new[1:-1] = kinds[1:] != kinds[:-1]
+    new[bounds] = True
+    edges = np.flatnonzero(new)
+    inner = kinds[edges[:-1]] > 0
+    starts = edges[:-1][inner]
+    return np.searchsorted(bounds, starts, "right") - 1, starts, edges[1:][inner]
+
+
+def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, losses: np.ndarray) -> np.ndarray:
+    """Negative log probability of each word and the space after it, spelled after a space; in units."""
+    sizes = ends - starts + 2
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    text = np.full(bounds[-1], 32, np.uint8)
+    lengths = ends - starts
+    within = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    text[within + np.repeat(bounds[:-1] + 1, lengths)] = data[within + np.repeat(starts, lengths)]
+    each = np.rint(losses[codes(text, bounds)].astype(np.float64) * _UNIT).astype(np.int64)
+    each[bounds[:-1]] = 0
+    sums = np.concatenate(([0], np.cumsum(each)))
+    return np.diff(sums[bounds])
+
+
+def folds(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Fold of each text."""
+    return (kernels.span_hashes(kernels.BYTE_CODES[data], bounds[:-1], bounds[1:]) & np.uint64(1)).astype(np.int32)
+
+
+def pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return kernels.mix(before * _PAIR + word * np.uint64(3) + np.uint64(1))
+
+
+def of_fold(gram: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """Hash of a word or pair in the model of a fold."""
+    return kernels.mix(gram + (fold.astype(np.uint64) + np.uint64(1)) * _FOLD)
+
+
+def _before(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each word, and whether it is the first of its row."""
+    first = np.ones(len(rows), bool)
+    first[1:] = rows[1:] != rows[:-1]
+    before = np.roll(hashes, 1)
+    before[first] = _START
+    return before, first
+
+
+def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An index of each distinct tuple, and the number of that tuple for each row."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for column in columns:
+        new[1:] |= column[order][1:] != column[order][:-1]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
+def word_counts(texts: DataFrame, spelling) -> DataFrame:
+    """Counts of (text, bad): fold, before, word, n, good, toxic, spelled; before is null for words on their own.
+
+    Pairs have the number n of their occurrences in trusted texts, words the numbers of trusted and of toxic texts.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        losses = loss_table(*spelling.value)
+        for batch in kernels.slices(batches, 0, _COUNT_SLICE):
+            data, bounds = kernels.buffer(batch.column(0))
+            if not len(data):
+                continue
+            bad = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            rows, starts, ends = words(data, bounds)
+            hashes, fold = kernels.span_hashes(kernels.BYTE_CODES[data], starts, ends), folds(data, bounds)[rows]
+            before, _first = _before(rows, hashes)
+            of_bad = bad[rows]
+            one, number = _groups(fold, hashes)
+            met, _ = _groups(number, rows)
+            toxic = np.bincount(number[met], of_bad[met], len(one)).astype(np.int64)
+            good = np.bincount(number[met], minlength=len(one)) - toxic
+            ours = np.flatnonzero(~of_bad)
+            two, times = _groups(fold[ours], before[ours], hashes[ours])
+            n, two = np.bincount(times, minlength=len(two)), ours[two]
+            none, signed = np.zeros(len(two), np.int64), lambda x: x.view(np.int64)
+            at = np.concatenate((one, two))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(fold[at]), pa.array(signed(before[at]), mask=np.arange(len(at)) < len(one)), pa.array(signed(hashes[at])),
+                 *(pa.array(np.concatenate(x).astype(np.int64)) for x in (
+                     (np.zeros(len(one)), n), (good, none), (toxic, none), (spelled(data, starts[one], ends[one], losses), none)))],
+                names=["fold", "before", "word", "n", "good", "toxic", "spelled"])
+
+    found = texts.mapInArrow(count, "fold int, before bigint, word bigint, n bigint, good bigint, toxic bigint, spelled bigint")
+    sums = [F.sum(c).alias(c) for c in ("n", "good", "toxic")]
+    return found.groupBy("fold", "before", "word").agg(*sums, F.max("spelled").alias("spelled"))
+
+
+def _discounted(n: str, discounts: list[float]) -> Column:
+    d1, d2, d3 = discounts
+    return F.col(n) - F.when(F.col(n) == 1, d1).when(F.col(n) == 2, d2).otherwise(d3)
+
+
+def word_terms(counts: DataFrame, texts: dict[int, tuple[int, int]], errors: float, folder: str) -> tuple[DataFrame, dict[int, float]]:
+    """Terms (gram, own, after, evidence) of the model, and the log weight of spelling by fold.
+
+    The log likelihood of a text is the sum, over its words, of the weight and of
+    the spelled log probability, plus ``own`` of each of its words and pairs, plus
+    ``after`` of each word that another one follows: what the pair adds to its
+    back-off, the word to its spelling, and the weight of backing off. ``texts`` has
+    the numbers of trusted and of toxic texts by fold.
+    """
+    pairs = counts.where("before is not null")
+    by_pair = _discounts(pairs.select("n"))
+    many = lambda n, d: sum((F.count_if(c) * x for c, x in zip((F.col(n) == 1, F.col(n) == 2, F.col(n) > 2), d, strict=True)), F.lit(0.0))
+    heads = written(pairs.groupBy("fold", F.col("before").alias("word")).agg(F.log(many("n", by_pair) / F.sum("n")).alias("after"), F.sum("n").alias("total")), folder, "heads")
+    ends = written(pairs.groupBy("fold", "word").agg(F.count("*").alias("n")), folder, "ends")
+    by_word = _discounts(ends)
+    sums = {r.fold: (r.total, r.left) for r in ends.groupBy("fold").agg(F.sum("n").alias("total"), many("n", by_word).alias("left")).collect()}
+    weights = {fold: math.log(left / total) for fold, (total, left) in sums.items()}
+    of_fold_ = lambda of: F.element_at(F.create_map(*(F.lit(x) for f in (0, 1) for x in (f, float(of.get(f, 0.0))))), F.col("fold"))
+    spell, weight = F.col("spelled") / -float(_UNIT), of_fold_(weights)
+    share = F.when(F.col("n").isNotNull(), _discounted("n", by_word) / of_fold_({f: t for f, (t, _) in sums.items()})).otherwise(0.0)
+    part = lambda n, k: (F.col(n) + 0.5) / (of_fold_({f: t[k] for f, t in texts.items()}) + 1)
+    doubt = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("good") + 0.5))
+    alone = counts.where("before is null").select("fold", "word", "good", "toxic", "spelled").join(ends, ["fold", "word"], "left")
+    alone = written(alone.select(
+        "fold", "word", F.log(share + F.exp(weight + spell)).alias("p"), (weight + spell).alias("base"),
+        (F.log(part("toxic", 1) / part("good", 0)) - errors * doubt).alias("evidence")), folder, "words")
+    rounded = lambda x: F.round(x * _UNIT).cast("bigint")
+    # The start of a text is no word of its own, only one that others follow.
+    singles = alone.join(heads, ["fold", "word"], "full").select(
+        "fold", F.lit(None).cast("bigint").alias("before"), "word", rounded(F.coalesce(F.col("p") - F.col("base"), F.lit(0.0))).alias("own"),
+        rounded(F.coalesce("after", F.lit(0.0))).alias("after"), "evidence")
+    leads = heads.withColumnRenamed("word", "before")
+    met = pairs.select("fold", "before", "word", "n").join(leads, ["fold", "before"]).join(alone.select("fold", "word", "p"), ["fold", "word"])
+    doubles = met.select(
+        "fold", "before", "word",
+        rounded(F.log(_discounted("n", by_pair) / F.col("total") + F.exp(F.col("after") + F.col("p"))) - F.col("after") - F.col("p")).alias("own"),
+        F.lit(0).cast("bigint").alias("after"), F.lit(None).cast("double").alias("evidence"))
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fold = batch.column(0).to_numpy()
+            before, word = (batch.column(k).fill_null(0).to_numpy().view(np.uint64) for k in (1, 2))
+            single = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            gram = of_fold(np.where(single, word, pair(before, word)), fold)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), *batch.columns[3:]], names=["gram", "own", "after", "evidence"])
+
+    return singles.unionByName(doubles).mapInArrow(key, "gram bigint, own bigint, after bigint, evidence double"), weights
+
+
 class Scorer:
-    """A trained model, broadcast once, that adds scores to DataFrames."""
+    """A trained model: terms joined with the words of documents, and the broadcast spelling of bounded size."""
 
-    def __init__(self, terms: DataFrame):
-        table = terms.toArrow()
-        # At most twice the sum of 64^n rows for n up to the order.
-        self.shared = terms.sparkSession.sparkContext.broadcast(
-            (table["order"].to_numpy().astype(np.int8), table["key"].to_numpy().astype(np.int32), table["term"].to_numpy().astype(np.float32)))
+    def __init__(self, spelling, terms: DataFrame, weights: dict[int, float]):
+        self.spelling, self.terms, self.weights = spelling, terms, weights
 
-    def scored(self, docs: DataFrame, text: str, name: str) -> DataFrame:
-        """``docs`` with a struct ``name``: n bytes and the sum of their negative log likelihoods."""
-        shared, at = self.shared, docs.columns.index(text)
-        kind = pa.struct([("n", pa.int64()), ("loss", pa.float64())])
+    def basic(self, docs: DataFrame, text: str, name: str) -> DataFrame:
+        """``docs`` with a struct ``name``: n bytes, its negative log likelihood spelled word by word, share of repeats."""
+        spelling, weights, at = self.spelling, self.weights, docs.columns.index(text)
+        kind = pa.struct([("n", pa.int64()), ("base", pa.int64()), ("again", pa.float64())])
 
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            losses = loss_table(*shared.value)
+        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            losses = loss_table(*spelling.value)
+            weight = np.rint(np.array([weights.get(f, 0.0) for f in (1, 0)]) * _UNIT).astype(np.int64)
             for batch in kernels.slices(batches, at):
                 data, bounds = kernels.buffer(batch.column(at))
-                sums = np.concatenate(([0.0], np.cumsum(losses[codes(data, bounds)], dtype=np.float64)))
-                values = [pa.array(np.diff(bounds), pa.int64()), pa.array(np.diff(sums[bounds]), pa.float64())]
+                base, again = np.zeros(len(batch), np.int64), np.zeros(len(batch))
+                if len(data):
+                    rows, starts, ends = words(data, bounds)
+                    np.add.at(base, rows, spelled(data, starts, ends, losses) - weight[folds(data, bounds)[rows]])
+                    hashes = kernels.span_hashes(kernels.BYTE_CODES[data], starts, ends)
+                    same = np.zeros(len(rows), bool)
+                    for k in (1, 2):
+                        same[k:] |= (hashes[k:] == hashes[:-k]) & (rows[k:] == rows[:-k])
+                    again = np.bincount(rows, same, len(batch)) / (np.bincount(rows, minlength=len(batch)) + _DRAWN)
+                values = [pa.array(np.diff(bounds), pa.int64()), pa.array(base), pa.array(again)]
                 yield with_column(batch, name, pa.StructArray.from_arrays(values, fields=list(kind)))
 
-        return docs.mapInArrow(score, schema_with(docs, name, "struct<n: bigint, loss: double>"))
+        return docs.mapInArrow(spell, schema_with(docs, name, "struct<n: bigint, base: bigint, again: double>"))
+
+    def gained(self, docs: DataFrame, text: str) -> DataFrame:
+        """Per different text: hash of the text, gain of its log likelihood over its spelling, strongest evidence."""
+
+        def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in kernels.slices(batches, 0):
+                data, bounds = kernels.buffer(batch.column(0))
+                if not len(data):
+                    continue
+                rows, starts, ends = words(data, bounds)
+                hashes, other = kernels.span_hashes(kernels.BYTE_CODES[data], starts, ends), 1 - folds(data, bounds)
+                before, first = _before(rows, hashes)
+                heads = rows[first]
+                row = np.concatenate((rows, rows, heads))
+                gram = of_fold(np.concatenate((hashes, pair(before, hashes), np.full(len(heads), _START))), other[row])
+                # How often a word or pair occurs, and how often another one follows it.
+                times = np.repeat([1, 1, 0], [len(rows), len(rows), len(heads)])
+                follows = np.concatenate((~np.append(first[1:], True), np.zeros(len(rows), bool), np.ones(len(heads), bool)))
+                one, number = _groups(row, gram)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(1).take(pa.array(row[one])), pa.array(gram[one].view(np.int64)),
+                     *(pa.array(np.bincount(number, x, len(one)).astype(np.int32)) for x in (times, follows))],
+                    names=["key", "gram", "times", "follows"])
+
+        held = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("key"))
+        asked = held.mapInArrow(grams, "key bigint, gram bigint, times int, follows int")
+        found = asked.join(self.terms.hint("merge"), "gram")
+        gain = F.sum(F.col("times") * F.col("own") + F.col("follows") * F.col("after"))
+        return found.groupBy("key").agg(gain.alias("gain"), F.max("evidence").alias("evidence"))
+
+    def losses(self, rows: DataFrame, gained: DataFrame) -> DataFrame:
+        """Rows (key, score) with n, loss, again and evidence; equal texts share what they gain."""
+        copies = rows.groupBy("key").agg(F.count("*").alias("copies"))
+        each = gained.join(copies, "key").withColumn("gain", F.col("gain") / F.col("copies")).drop("copies")
+        loss = (F.col("score.base") - F.coalesce("gain", F.lit(0.0))) / float(_UNIT)
+        return rows.join(each, "key", "left").withColumns({"n": F.col("score.n"), "again": F.col("score.again"), "loss": loss}).drop("score", "gain")
 
 
 class Classifier:
@@ -161,64 +390,90 @@ class Classifier:
 
     def __init__(
         self, docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang",
-        low: float = 0.005, high: float = 0.995, slack: float = 1.5, prior: float = 60.0, least: int = 50,
+        low: float = 0.005, high: float = 0.995, errors: float = 2.0, prior: float = 60.0, least: int = 50,
     ):
         folder = shared_folder(docs.sparkSession)
         self.text, self.lang, self.prior = text, lang, prior
         rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-        trusted = trusted_ids(labels)
+        marked = labelled_ids(labels)
+        trusted = marked.where("not bad").select("trusted")
         # One plan at every size: texts meet their labels in a shuffle, never by a broadcast that grows with the labels.
-        texts = rows.join(trusted.hint("merge"), F.col("id") == F.col("trusted"), "left_semi").select("text")
-        counts = written(ngram_counts(texts), folder, "counts")
-        self.scorer = Scorer(train(counts))
-        self.scores = written(
-            self.scorer.scored(rows, "text", "score").select("id", "lang", "score.n", "score.loss"), folder, "scores")
+        texts = written(rows.join(marked.hint("merge"), F.col("id") == F.col("trusted")).select("text", "bad"), folder, "labelled")
+        letters = train(written(ngram_counts(texts.where("not bad").select("text")), folder, "counts")).toArrow()
+        # At most twice the sum of 64^n rows for n up to the order.
+        spelling = docs.sparkSession.sparkContext.broadcast(
+            (letters["order"].to_numpy().astype(np.int8), letters["key"].to_numpy().astype(np.int32), letters["term"].to_numpy().astype(np.float32)))
+        numbers = _fold_sizes(texts)
+        terms, weights = word_terms(written(word_counts(texts, spelling), folder, "words_counted"), numbers, errors, folder)
+        self.scorer = Scorer(spelling, written(terms, folder, "terms"), weights)
+        basic = self.scorer.basic(rows, "text", "score").select("id", "lang", F.xxhash64("text").alias("key"), "score")
+        basic = written(basic, folder, "basic")
+        self.scores = written(self.scorer.losses(basic, self.scorer.gained(rows, "text")), folder, "scores")
         good = self.scores.join(trusted, F.col("id") == F.col("trusted"), "left_semi").where("n > 0")
         means = good.groupBy("lang").agg((F.sum("loss") / F.sum("n")).alias("mean"), F.count("*").alias("k"))
         overall = good.agg((F.sum("loss") / F.sum("n")).alias("mean")).first().mean or 0.0
         self.means = written(means.where(F.col("k") >= least).select("lang", "mean"), folder, "means")
         self.overall = overall
         drawn = self._drawn(good.alias("d").join(self.means.alias("m"), F.expr("d.lang <=> m.lang"), "left"), "d.n", "d.loss")
-        limits = F.percentile_approx("score", [low, 0.5, high], 10_000)
-        of_all = drawn.select(drawn_score().alias("score")).agg(limits.alias("q")).first().q or [-1e9, 0.0, 1e9]
-        limits = drawn.select(F.col("d.lang").alias("lang"), "m.mean", drawn_score().alias("score")).groupBy("lang", "mean").agg(limits.alias("q"))
-        bounds = written(limits.where("mean is not null").select("lang", "mean", "q"), folder, "limits")
-        self.limits = bounds.select(
-            F.col("lang").alias("limit_lang"), F.col("mean").alias("limit_mean"),
-            (F.col("q")[0] - slack * (F.col("q")[1] - F.col("q")[0])).alias("limit_low"),
-            (F.col("q")[2] + slack * (F.col("q")[2] - F.col("q")[1])).alias("limit_high"))
-        a, b, c = of_all
-        self.low, self.high = a - slack * (b - a), c + slack * (c - b)
+        q = F.percentile_approx("score", [low, 0.5, high], 10_000)
+        often = F.percentile_approx("again", [0.5, high], 10_000)
+        worst = F.greatest(F.percentile_approx("evidence", high, 10_000), F.lit(0.0))
+        # Standard error of a normal quantile over its distance from the median, times the root of the number.
+        wide = {p: errors * math.sqrt(p * (1 - p)) / (NormalDist().pdf(z := NormalDist().inv_cdf(p)) * abs(z)) for p in (low, high)}
+        slack = lambda p: F.lit(wide[p]) / F.sqrt(F.greatest("k", F.lit(1)))
+        limits = (
+            drawn.select(F.col("d.lang").alias("lang"), "m.mean", drawn_score().alias("score"), F.coalesce("evidence", F.lit(0.0)).alias("evidence"), "again")
+        )
+        bounds = lambda t: t.select(
+            *(c for c in t.columns if c in ("lang", "mean")), (F.col("q")[0] - slack(low) * (F.col("q")[1] - F.col("q")[0])).alias("low"),
+            (F.col("q")[2] + slack(high) * (F.col("q")[2] - F.col("q")[1])).alias("high"), "worst",
+            (F.col("often")[1] + slack(high) * (F.col("often")[1] - F.col("often")[0])).alias("often"))
+        of = [q.alias("q"), worst.alias("worst"), often.alias("often"), F.count("*").alias("k")]
+        of_all = bounds(limits.agg(*of)).first()
+        self.low, self.high, self.worst, self.often = of_all if of_all.low is not None else (-1e9, 1e9, 1e9, 1e9)
+        of_lang = written(bounds(limits.groupBy("lang", "mean").agg(*of)).where("mean is not null"), folder, "limits")
+        self.limits = of_lang.select(*(F.col(c).alias(f"limit_{c}") for c in ("lang", "mean", "low", "high", "worst", "often")))
 
     def _drawn(self, rows: DataFrame, n: str, loss: str) -> DataFrame:
         mean = F.coalesce(F.col("m.mean"), F.lit(float(self.overall)))
         return rows.withColumn("_drawn", (F.col(loss) + self.prior * mean) / (F.col(n) + self.prior))
 
-    def judged(self, rows: DataFrame, n: Column, loss: Column, lang: str) -> tuple[DataFrame, Column, Column, Column]:
-        """Rows joined with the limits of their language; score, lower and upper limit. One limit row per language."""
-        names = {c: free_name(rows.columns, c) for c in self.limits.columns}
-        limits = self.limits.select(*(F.col(c).alias(k) for c, k in names.items()))
-        joined = rows.join(limits, F.col(lang).eqNullSafe(F.col(names["limit_lang"])), "left")
-        mean = F.coalesce(F.col(names["limit_mean"]), F.lit(float(self.overall)))
-        score = (loss + self.prior * mean) / (n + self.prior)
-        low = F.coalesce(F.col(names["limit_low"]), F.lit(float(self.low)))
-        return joined, score, low, F.coalesce(F.col(names["limit_high"]), F.lit(float(self.high)))
+    def judged(self, rows: DataFrame) -> DataFrame:
+        """Rows (lang, n, loss, evidence, again) with score, low, high and kept. One limit row per language."""
+        joined = rows.join(self.limits, F.col("lang").eqNullSafe(F.col("limit_lang")), "left")
+        limit = lambda name, of: F.coalesce(f"limit_{name}", F.lit(float(of)))
+        score = (F.col("loss") + self.prior * limit("mean", self.overall)) / (F.col("n") + self.prior)
+        judged = joined.withColumn("score", score).withColumn("low", limit("low", self.low)).withColumn("high", limit("high", self.high))
+        clean = (F.coalesce("evidence", F.lit(0.0)) <= limit("worst", self.worst)) & (F.col("again") <= limit("often", self.often))
+        return judged.withColumn("kept", (F.col("n") == 0) | F.col("score").between(F.col("low"), F.col("high")) & clean)
 
     def kept(self, docs: DataFrame) -> DataFrame:
-        """The documents whose score is within the limits; texts cross no shuffle but for a table of very many languages."""
-        name = free_name(docs.columns, "score")
-        scored = self.scorer.scored(docs, self.text, name)
-        joined, score, low, high = self.judged(scored, F.col(name)["n"], F.col(name)["loss"], self.lang)
-        return joined.where((F.col(name)["n"] == 0) | score.between(low, high)).select(*docs.columns)
+        """The documents whose score is within the limits."""
+        key, lang = free_name(docs.columns, "key"), free_name([*docs.columns, "key"], "language")
+        named = docs.withColumn(key, F.xxhash64(self.text)).withColumn(lang, F.col(self.lang))
+        basic = self.scorer.basic(docs.select(F.col(self.text).alias("text"), F.col(self.lang).alias("lang")), "text", "score")
+        basic = written(basic.select(F.xxhash64("text").alias("key"), "lang", "score"))
+        judged = self.judged(self.scorer.losses(basic, self.scorer.gained(docs, self.text)))
+        good = judged.where("kept").select(F.col("key").alias("_good"), F.col("lang").alias("_of")).distinct()
+        same = (F.col(key) == F.col("_good")) & F.col(lang).eqNullSafe(F.col("_of"))
+        return named.join(good, same, "left_semi").select(*docs.columns)
 
     def results(self) -> DataFrame:
         """Per document: doc_id, lang, n_bytes, perplexity, score, lower and upper limit, kept."""
-        joined, score, low, high = self.judged(self.scores, F.col("n"), F.col("loss"), "lang")
-        return joined.select(
+        return self.judged(self.scores).select(
             F.col("id").alias("doc_id"), "lang", F.col("n").alias("n_bytes"),
-            F.exp(F.when(F.col("n") > 0, F.col("loss") / F.col("n"))).alias("perplexity"),
-            score.alias("score"), low.alias("low"), high.alias("high"),
-            ((F.col("n") == 0) | score.between(low, high)).alias("kept"))
+            F.exp(F.when(F.col("n") > 0, F.col("loss") / F.col("n"))).alias("perplexity"), "score", "low", "high", "kept")
+
+
+def _fold_sizes(texts: DataFrame) -> dict[int, tuple[int, int]]:
+    """Numbers of trusted and of toxic texts by fold."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in kernels.slices(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.array(folds(*kernels.buffer(batch.column(0)))), batch.column(1)], names=["fold", "bad"])
+
+    counts = texts.mapInArrow(fold, "fold int, bad boolean").groupBy("fold").agg(F.count_if(~F.col("bad")).alias("good"), F.count_if(F.col("bad")).alias("bad"))
+    return {r.fold: (r.good, r.bad) for r in counts.collect()}
 
 
 def drawn_score() -> Column:

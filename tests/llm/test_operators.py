@@ -134,6 +134,22 @@ def test_classifier_tells_noise_from_text(spark):
     assert not quality.Classifier(table.limit(0), labels).results().collect()
 
 
+def test_classifier_scores_words_and_tells_toxic_ones(spark):
+    """Words of usual letters that trusted text lacks, words of toxic documents, and one usual word over and over."""
+    draw = random.Random(6)
+    made = [f"{a}{b}{c}" for a in "brst" for b in "aeiou" for c in ("n", "ma", "lo", "ter", "ri")]
+    insults, vocabulary = made[::50], [w for k, w in enumerate(made) if k % 50]
+    clean = lambda: [draw.choice(vocabulary) for _ in range(80)]
+    texts = [" ".join(clean()) for _ in range(300)] + [" ".join([*clean(), insults[k % 2], *clean()]) for k in range(120)]
+    texts += [" ".join(insults[k % 2] for k in range(80)), " ".join([vocabulary[3]] * 80)]
+    table = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(200)] + [(k, 1, 1) for k in range(300, 340)], "doc_id bigint, quality int, toxic int")
+    found = {r.doc_id: r for r in quality.Classifier(table, labels).results().collect()}
+    assert sum(found[k].kept for k in range(200, 300)) >= 97
+    assert not any(found[k].kept for k in range(340, 382))
+    assert found[380].perplexity > found[0].perplexity
+
+
 def test_model_is_a_distribution(spark):
     texts = spark.createDataFrame([("the cat sat on the mat",), ("the dog",), (None,)], "text string")
     terms = quality.train(quality.ngram_counts(texts)).toPandas()
