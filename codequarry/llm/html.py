@@ -7,12 +7,20 @@ templates, which are deleted. Copies of one article count once, so an article
 is no template of its own copies. From the rest, the main element is taken, less
 the parts that are by name or role no article text.
 
+Where an element, role or name tells the main element, pages are different
+articles if it differs, and it and the boxes that hold it are not counted. Where
+nothing tells it, all boxes are counted, each over the different texts outside
+of it: those differ around a template and agree around copies of an article. There
+the main element is the box with most paragraph text among what is left, and its
+siblings with paragraphs belong to it. Copies of such an article between varying
+frames are not told from templates.
+
 A host's templates are at most containers per page / ``share``, so the set that
 joins its pages is bounded. Counts are pre-aggregated; the join on hosts is an
 outer join from the pages, which adaptive execution splits for a hot host.
 
 Defined results: null, blank and tag-less html is read as text of one page; pages
-without text give an empty string; a null or hostless url has no templates;
+of templates only keep them; pages without text give an empty string; a null or hostless url has no templates;
 repeated rows stay; unknown and unclosed tags are tolerated at any depth.
 """
 
@@ -170,8 +178,8 @@ def blocks(root: Node, kept) -> list[str]:
     return found
 
 
-def main_element(root: Node, kept) -> Node:
-    """The article: by element, else by role or name, else the box with most paragraph text, else the page."""
+def main_element(root: Node, kept) -> tuple[Node, bool]:
+    """The article, and whether it is told: by element, else by role or name; else the box with most paragraph text, else the page."""
     every = list(nodes(root, kept))
     size = lambda node: sum(map(len, blocks(node, kept)))
     for chosen in (
@@ -179,17 +187,38 @@ def main_element(root: Node, kept) -> Node:
         [n for n in every if n.may_be_main()],
     ):
         if chosen and (best := max(chosen, key=size)) and size(best):
-            return best
+            return best, True
     paragraphs = [(sum(size(c) for c in n.children if isinstance(c, Node) and c.tag == "p"), -k, n) for k, n in enumerate(every)]
     most = max(paragraphs, key=lambda x: x[:2])
-    return most[2] if most[0] else root
+    if not most[0] or most[2] is root:
+        return root, False
+    around = next(n for n in every if any(c is most[2] for c in n.children))
+    parts = [c for c in around.children if isinstance(c, Node) and kept(c)]
+    several = sum(any(n.tag == "p" and size(n) for n in nodes(c, kept)) for c in parts) > 1
+    return around if several else most[2], False
 
 
-def page_parts(source: str | None) -> tuple[Node, Node, list[Node]]:
-    """Page, main element, and the boxes that may be templates: those that neither are nor hold the main element."""
+def texts_outside(root: Node, boxes: list[Node]) -> dict[int, int]:
+    """For each box by its id, and for the page, a hash of the texts that are outside of it."""
+    inside: dict[int, int] = {}
+    for node in reversed(list(nodes(root))):
+        total = 0
+        for child in node.children:
+            if isinstance(child, Node):
+                total += inside[id(child)]
+            elif text := " ".join(child.split()):
+                total += int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest())
+        inside[id(node)] = total
+    return {id(n): (inside[id(root)] - inside[id(n)]) % (1 << 64) for n in boxes} | {0: inside[id(root)] % (1 << 64)}
+
+
+def page_parts(source: str | None) -> tuple[Node, Node, bool, list[Node]]:
+    """Page, main element, whether it is told, and the boxes that may be templates: all, or those that neither are nor hold a told one."""
     root = parse(source or "")
     hash_subtrees(root)
-    main = main_element(root, lambda node: not node.no_article())
+    main, told = main_element(root, lambda node: not node.no_article())
+    if not told:
+        return root, main, told, [n for n in nodes(root) if n.tag in _BOXES]
     above = set()
     pending = [(root, (id(root),))] if main is not root else []
     while pending:
@@ -199,14 +228,17 @@ def page_parts(source: str | None) -> tuple[Node, Node, list[Node]]:
             break
         pending += [(c, (*path, id(c))) for c in node.children if isinstance(c, Node) and c.tag in _BOXES | {"html", "body"}]
     boxes = [n for n in nodes(root) if n.tag in _BOXES and n is not main and id(n) not in above]
-    return root, main, boxes
+    return root, main, told, boxes
 
 
 def extract(source: str | None, templates: set[bytes]) -> str:
     """Main text of a page without its boxes among ``templates``."""
-    _root, main, boxes = page_parts(source)
+    root, main, told, boxes = page_parts(source)
     deleted = {id(n) for n in boxes if n.digest in templates}
     kept = lambda node: id(node) not in deleted and not node.no_article()
+    if not told and deleted:
+        left = "\n".join(blocks(main_element(root, kept)[0], kept))
+        return left or "\n".join(blocks(main, lambda node: not node.no_article()))
     return "\n".join(blocks(main, kept))
 
 
@@ -221,9 +253,13 @@ def site_templates(pages: DataFrame, url: str = "url", source: str = "html", sha
         for batch in kernels.slices(batches, 1):
             rows = []
             for host, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                _root, main, found = page_parts(text)
-                digests = {b"", *(n.digest for n in found)}
-                rows += [(host, digest, main.digest) for digest in digests]
+                root, main, told, found = page_parts(text)
+                if told:
+                    rows += [(host, digest, main.digest) for digest in {b"", *(n.digest for n in found)}]
+                    continue
+                outside = texts_outside(root, found)
+                seen_by = {(n.digest, outside[id(n)]) for n in found} | {(b"", outside[0])}
+                rows += [(host, digest, around.to_bytes(8)) for digest, around in seen_by]
             hosts, subtrees, mains = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hosts, pa.string()), pa.array(subtrees, pa.binary()), pa.array(mains, pa.binary())],

@@ -295,6 +295,19 @@ def test_base_spans():
         "1.2.3.4.5 256.1.1.1 0255.0.0.1": [(0, 1, 7), (20, 1, 30)],
         "4111 1111-1111 1111, 4111111111111112": [(0, 2, 19)],
         "+1 (017) 555-7713. +12 3": [(0, 3, 17)],
+def test_sites_without_telling_elements(spark):
+    """The longest box of each page is the same on all, and the article lies in two boxes."""
+    legal = "<div class=c9><p>" + "All rights are reserved by the owners of this site. " * 9 + "</p></div>"
+    links = "<div class=c1><a href=/>Home</a> <a href=/x>More</a></div>"
+    page = "<body>{1}<div class=c2><div class=c3><p>Article {0} begins here.</p></div><div class=c3><p>It goes on, {0}.</p></div></div>{2}</body>"
+    pages = [(k, "http://d.example/", page.format(k, links, legal)) for k in range(8)]
+    pages += [(k, "http://e.example/", page.format(1, links, legal)) for k in range(20, 28)]
+    table = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    found = {r.page_id: r.text for r in html.main_texts(table).collect()}
+    assert [found[k] for k in range(8)] == [f"Article {k} begins here.\nIt goes on, {k}." for k in range(8)]
+    assert all("Article 1 begins here." in found[k] for k in range(20, 28))
+
+
         "é 1.2.3.4": [(2, 1, 9)], "": [], "a" * 100_000 + "@": [], "1" * 100_000: [],
     }
     for text, spans in cases.items():
