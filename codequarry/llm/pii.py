@@ -3,12 +3,14 @@
 Four kinds of spans follow fixed patterns (the base). On top, a CRF labels the
 tokens of every stretch of words with a digit or an at sign; tokens of other
 words are outside by definition, so stretches are decoded on their own and
-exactly. The CRF is trained on the driver from a labelled table of at most
-``sample_docs`` documents, whose labels are the base spans, on features that do
-not spell the patterns out: shapes, neighbours, lengths, check digits. It so
-also finds what is shaped like personal data but misses a pattern, such as a
-phone number without its plus sign between other numbers. Its spans are
-added where they overlap none of the base.
+exactly. The CRF is trained on the driver from a labelled table: of each kind of
+span, and of texts without any, at most ``sample_docs`` / 5 documents. Its
+labels are the base spans and variants of them that miss their pattern: phones
+without plus sign, cards and addresses with other separators, e-mail addresses
+with "(at)". Features do not spell the patterns out: shapes, neighbours, lengths,
+check digits. Spans it finds are added where they overlap none of the base.
+Stretches of more than ``MOST_TOKENS`` tokens are no examples, as training costs
+grow with their length; they are decoded like all others.
 
 Defined results: null and empty texts have no spans; patterns scan long runs of
 digits, letters or signs in linear time; without any base span to learn from
@@ -20,10 +22,12 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from codequarry.llm import kernels
 from codequarry.llm.shared import schema_with, with_column, written
@@ -36,7 +40,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-_CUE = re.compile(r"[0-9@]")
+_CUE = re.compile(r"[0-9@]|[(\[]at[)\]]")
+#: Longest stretch to train from.
+MOST_TOKENS = 60
 _WORD = re.compile(r"\S+")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
 _PIECE = re.compile(r"[^\W\d_]+|[0-9]+")
@@ -131,9 +137,16 @@ def tokens(text: str, begin: int, end: int) -> tuple[list[tuple[int, int]], list
     return places, rows
 
 
-def labelled(text: str) -> Iterator[tuple[list[list[str]], list[int]]]:
-    """Feature rows and label numbers of every stretch, labels from the base spans."""
+def examples(text: str) -> Iterator[tuple[list[list[str]], list[int]]]:
+    """Labelled stretches of a text, and those with a span of its corrupted variant."""
     spans = base_spans(text)
+    yield from labelled(text, spans)
+    if spans:
+        yield from (row for row in labelled(*corrupted(text, spans, len(text))) if any(row[1]))
+
+
+def labelled(text: str, spans: list[Span]) -> Iterator[tuple[list[list[str]], list[int]]]:
+    """Feature rows and label numbers of every stretch, labels from ``spans``."""
     for begin, end in stretches(text):
         places, rows = tokens(text, begin, end)
         marks = [0] * len(places)
@@ -147,6 +160,29 @@ def labelled(text: str) -> Iterator[tuple[list[list[str]], list[int]]]:
         yield rows, marks
 
 
+def corrupted(text: str, spans: list[Span], way: int) -> tuple[str, list[Span]]:
+    """``text`` with each span altered so that it misses its pattern, and the spans as they then are; overlapping ones are left."""
+    out, marks, at = [], [], 0
+    for start, kind, end in spans:
+        if start < at:
+            continue
+        old = text[start:end]
+        if kind == 0:
+            new = old.replace("@", ("(at)", "[at]")[way % 2], 1)
+        elif kind == 1:
+            new = old.replace(".", ",-"[way % 2])
+        elif kind == 2:
+            digits = re.sub(r"\D", "", old)
+            new = "./"[way % 2].join(digits[k : k + 4] for k in range(0, len(digits), 4))
+        else:
+            new = old.lstrip("+")
+        out += [text[at:start], new]
+        place = sum(map(len, out)) - len(new)
+        marks.append((place, kind, place + len(new)))
+        at = end
+    return "".join([*out, text[at:]]), marks
+
+
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
@@ -261,15 +297,25 @@ def as_text(spans: list[Span]) -> str:
 
 
 def labelled_table(docs: DataFrame, id: str = "doc_id", text: str = "text", sample_docs: int = 600) -> DataFrame:
-    """Stretches of a bounded sample of documents with features and labels: features, labels."""
-    narrow = docs.select(F.col(id).alias("id"), F.xxhash64(id).alias("draw"), F.regexp_like(text, F.lit("[0-9@]")).alias("cue"))
-    drawn = written(narrow.where("cue").select("id", "draw").orderBy("draw", "id").limit(sample_docs).select(F.col("id").alias("drawn")).distinct())
-    # At most ``sample_docs`` ids.
+    """Stretches of a bounded sample of documents of each kind with features and labels: features, labels."""
+    kind = docs.schema[id].dataType.simpleString()
+
+    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in kernels.slices(batches, 1):
+            held = [sorted({k for _, k, _ in base_spans(body)}) or [len(KINDS)] if body and _CUE.search(body) else [] for body in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.int32()))], names=["id", "kinds"])
+
+    narrow = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(kinds, f"id {kind}, kinds array<int>")
+    narrow = written(narrow.where(F.size("kinds") > 0).withColumn("draw", F.xxhash64("id")))
+    some = -(-sample_docs // (len(KINDS) + 1))
+    of = [narrow.where(F.array_contains("kinds", k)).orderBy("draw", "id").limit(some).select(F.col("id").alias("drawn")) for k in range(len(KINDS) + 1)]
+    drawn = written(reduce(DataFrame.unionByName, of).distinct())
+    # About ``sample_docs`` ids at most.
     texts = docs.join(F.broadcast(drawn), F.col(id).eqNullSafe(F.col("drawn")), "left_semi").select(F.col(text).alias("text"))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernels.slices(batches, 0):
-            rows = [row for body in batch.column(0).to_pylist() for row in labelled(body or "") if len(row[1]) <= 60]
+            rows = [row for body in batch.column(0).to_pylist() for row in examples(body or "") if len(row[1]) <= MOST_TOKENS]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.list_(pa.list_(pa.string()))), pa.array([r[1] for r in rows], pa.list_(pa.int32()))],
                 names=["features", "labels"])
@@ -278,8 +324,14 @@ def labelled_table(docs: DataFrame, id: str = "doc_id", text: str = "text", samp
 
 
 def train(table: DataFrame, examples: int = 800) -> Crf | None:
-    """CRF fitted to at most ``examples`` different stretches of a labelled table; None if none holds a span."""
-    rows = table.distinct().orderBy(F.xxhash64("features"), "features", "labels").limit(examples).collect()
+    """CRF fitted to about ``examples`` different stretches of a labelled table, of each kind alike; None if none holds a span."""
+    some, order = -(-examples // (len(KINDS) + 1)), (F.xxhash64("features"), "features", "labels")
+    of = [F.array_contains("labels", 1 + 2 * k) for k in range(len(KINDS))]
+    of.append(~reduce(Column.__or__, of))
+    different = written(table.distinct())
+    taken = {(tuple(map(tuple, row.features)), tuple(row.labels)): row for k in of for row in different.where(k).orderBy(*order).limit(some).collect()}
+    # In an order that deals the kinds out evenly.
+    rows = sorted(taken.values(), key=lambda row: crc32(repr(row).encode()))
     if not any(any(row.labels) for row in rows):
         return None
     names = dict.fromkeys(f for row in rows for token in row.features for f in token)

@@ -340,6 +340,25 @@ def test_viterbi_is_the_best_path():
     n = len(pii.LABELS)
     scores = draw.normal(size=(2, 3, n))
     for path, e in zip(crf.decode(scores), scores, strict=True):
+def test_crf_adds_spans_that_miss_a_pattern(spark):
+    draw = random.Random(9)
+    number = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
+    phone = lambda: f"{number(1)} ({number(3)}) {number(3)}-{number(4)}"
+    texts = [f"call +{phone()} or mail bob{k}@mail{k % 9}.example.com in {number(4)}" for k in range(100)]
+    texts += [f"host {draw.randrange(256)}.{draw.randrange(256)}.0.{k} has {number(3)} users" for k in range(3)]
+    missed = [f"call {phone()} in {number(4)}" for _ in range(10)] + [f"mail bob{k}(at)mail{k}.example.com now" for k in range(10)]
+    texts += [f"in {number(4)} there were {number(3)} of {number(2)}" for _ in range(400)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labelled = pii.labelled_table(table).collect()
+    assert any(3 in row.labels for row in labelled)
+    model = pii.train(pii.labelled_table(table))
+    found = model.spans(missed)
+    assert not any(pii.base_spans(text) for text in missed)
+    wanted = [(5, 3, text.index(" in ")) for text in missed[:10]] + [(5, 0, text.index(" now")) for text in missed[10:]]
+    assert sum(span in spans for span, spans in zip(wanted, found, strict=True)) >= 16
+    assert sum(map(bool, model.spans(texts[103:]))) < 20
+
+
         best = max(((crf.moves[n, a] + e[0, a] + crf.moves[a, b] + e[1, b] + crf.moves[b, c] + e[2, c], (a, b, c))
                     for a in range(n) for b in range(n) for c in range(n)))
         assert tuple(path) == best[1]
