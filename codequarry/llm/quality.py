@@ -12,7 +12,8 @@ document. Rows of a frequent word are skewed; adaptive execution splits them.
 
 Each text belongs to one of two folds by its hash and is scored by the model
 of the trusted texts of the other fold, so no text is known from itself or from
-an equal copy, and thresholds hold for texts outside the trusted ones.
+an equal copy, and thresholds hold for texts outside the trusted ones. Only the
+spelling is counted over both folds.
 
 A document's score is its mean negative log likelihood per byte, drawn towards
 the mean of its language by ``prior`` bytes, so that a few words cannot look
