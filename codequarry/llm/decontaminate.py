@@ -11,7 +11,8 @@ the hits so far carried along, so a task never holds more than one slice.
 
 Defined results: null and word-less texts have no words, no hits, no items; an
 item without words is never found; an item shorter than the window is one
-window; windows that items share count for each of them; rows of equal id are
+window; windows that items share count for each of them; items without an id
+count as hits and are no items found; rows of equal id are
 separate documents; other columns pass through untouched, whatever their names.
 """
 
@@ -72,7 +73,7 @@ class Patterns:
                 for pattern, of in buckets[join(words[end - block : end])]:
                     if words[end - size : end] == pattern:
                         spans.append((end - size, end))
-                        found.update(of)
+                        found.update(item for item in of if item is not None)
                 end += 1
         return spans, found
 

@@ -391,6 +391,16 @@ def test_contamination_without_items_or_documents(spark, table, empty):
 
 
 # 9
+def test_items_without_an_id_count_as_hits_only(spark):
+    text = " ".join(f"w{k}" for k in range(20))
+    benchmark = spark.createDataFrame([(None, text), (1, text)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    row = decontaminate.with_contamination(docs, benchmark, "found").first().found
+    assert row["items"] == ["1"] and row.hits == [0, 20]
+    alone = decontaminate.with_contamination(docs, benchmark.where("item_id is null"), "found").first().found
+    assert alone["items"] == [] and alone.hits == [0, 20]
+
+
 def naive_plan(tokens, budget_share, balance, max_repeats):
     """Exponent by scanning all multiples of 2^-12 around; weights and goals."""
     total = sum(tokens.values())
