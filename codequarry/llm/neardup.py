@@ -179,13 +179,13 @@ def _alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return joined.select("a", "b", "a_bytes", "b_bytes").mapInArrow(agree, "a bigint, b bigint, share double")
 
 
-def _open_members(met: DataFrame) -> DataFrame:
-    """(bucket, key, label) of buckets with several labels and over three members, with their size.
+def _open_members(met: DataFrame, paired: int) -> DataFrame:
+    """(bucket, key, label) of buckets with several labels and more than ``paired`` members, with their size.
 
-    Smaller buckets need no search: both drawn members are paired with all others.
+    Buckets that were paired need no search up to three members: both drawn ones met all others. Fine buckets were not paired.
     """
     open_ = met.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
-    return met.join(open_.where("size > 3 and low <> high").select("bucket", "size"), "bucket")
+    return met.join(open_.where((F.col("size") > paired) & (F.col("low") != F.col("high"))).select("bucket", "size"), "bucket")
 
 
 def _fine_buckets(nodes: DataFrame) -> DataFrame:
@@ -257,9 +257,9 @@ def _searched(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 def _rest(nodes: DataFrame, labels: DataFrame, least: float, folder: str) -> DataFrame:
     """Pairs (a, b, share) between the components that still meet in a bucket."""
     labelled = nodes.where(F.size("bands") > 0).join(labels.withColumnRenamed("node", "key"), "key")
-    coarse = written(_open_members(labelled.select(F.explode("bands").alias("bucket"), "key", "label")), folder, "open")
+    coarse = written(_open_members(labelled.select(F.explode("bands").alias("bucket"), "key", "label"), paired=3), folder, "open")
     crowded = coarse.where(F.col("size") > BLOCK).select("key", "label").distinct()
-    fine = written(_open_members(_fine_buckets(crowded.join(nodes.select("key", "bytes"), "key"))), folder, "open-fine")
+    fine = written(_open_members(_fine_buckets(crowded.join(nodes.select("key", "bytes"), "key")), paired=1), folder, "open-fine")
     return _searched(coarse.where(F.col("size") <= BLOCK).unionByName(fine), nodes, least)
 
 

@@ -94,6 +94,13 @@ def test_links_to_one_member_of_a_large_bucket(spark, monkeypatch, block):
     assert rows(neardup.near_duplicates(frame(spark, apart))) == sorted(brute.classes(apart))
 
 
+def test_fine_buckets_of_two_members_are_open(spark):
+    """Nobody paired the members of a fine bucket, unlike those of a coarse one."""
+    met = spark.createDataFrame([(1, 10, 10), (1, 11, 11), (2, 10, 10), (2, 12, 10)], "bucket bigint, key bigint, label bigint")
+    assert sorted(r.key for r in neardup._open_members(met, paired=1).collect()) == [10, 11]
+    assert not neardup._open_members(met, paired=3).collect()
+
+
 def test_signatures_estimate_probability_jaccard():
     draw = np.random.default_rng(3)
     hashes = kernels.mix(np.arange(1, 401, dtype=np.uint64))
