@@ -15,7 +15,7 @@ DEFAULT_SIZE_LIMIT = 2 * 1024 * 1024
 # Names of the two ignore files, in the order they apply within a directory.
 IGNORE_NAMES = (".gitignore", ".quarryignore")
 
-# Longest path list sent to the scan as an In filter; longer ones are joined.
+# A long path list; lists of all lengths take one plan.
 MAX_IN_LIST = 1000
 
 
@@ -35,10 +35,10 @@ def among(files: DataFrame, wanted: Sequence[str] | DataFrame | None) -> DataFra
     if not wanted:
         return files
     absolute = sorted({paths.absolute(path) for path in wanted})
-    if len(absolute) <= MAX_IN_LIST:
-        return files.where(F.col("path").isin(absolute))
     listed = local_table(files.sparkSession, "path string", [(path,) for path in absolute])
-    return files.join(listed, "path", "left_semi")
+    # The range is pushed to the scan.
+    within = files.where(F.col("path").between(absolute[0], absolute[-1]))
+    return within.join(listed, "path", "left_semi").select(*files.columns)
 
 
 def without_links(files: DataFrame) -> DataFrame:

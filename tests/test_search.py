@@ -51,6 +51,14 @@ def test_paths(spark, corpus):
     assert search.search(files, "x", paths=files.where("path > '/r/a'")).count() == 2
 
 
+def test_short_and_long_path_lists_take_one_plan(corpus):
+    files = corpus({f"/r/{name}": "x" for name in "abc"}).select("text", "path")
+    for listed in (["/r/c", "/r/a"], [f"/r/{i}" for i in range(scope.MAX_IN_LIST + 1)] + ["/r/a"]):
+        among = scope.among(files, listed)
+        assert among.columns == ["text", "path"]
+        assert "LeftSemi" in among._jdf.queryExecution().analyzed().toString()
+
+
 def test_limit_and_order(corpus):
     files = corpus({"/b": "x\n" * 10, "/a": "xx\nx"})
     assert found(search.search(files, "x", max_results=3)) == [("/a", 1, "xx"), ("/a", 1, "xx"), ("/a", 2, "x")]
