@@ -49,3 +49,67 @@ select doc_id, len(words)::bigint as n_words, coalesce(hit.n, 0)::bigint as n_hi
        sha256(coalesce(list, '')) as items_sha256, hit.n is not null as contaminated
 from texts left join hit using (doc_id) left join of_items using (doc_id)
 """
+
+HARD_NEGATIVES = """
+with vectors as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+           list_transform(embedding, lambda x: floor(256 * x::double)) as parts
+    from embeddings
+    where vec_id is not null and label is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scores as (
+    select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, list_inner_product(a.parts, b.parts)::bigint as score
+    from vectors as a join vectors as b on a.vec_id <> b.vec_id
+    where a.vec_id % 50 = 0
+), positives as (
+    select anchor_id, other_id as positive_id, score as positive_score from scores where same
+    qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5
+), ranked as (
+    select anchor_id, positive_id, other_id as negative_id, positive_score, score as negative_score,
+           row_number() over (partition by anchor_id, positive_id order by score desc, other_id)::int as rank
+    from positives join scores using (anchor_id)
+    where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+)
+select * from ranked where rank <= 3
+"""
+
+# Pattern, and the group whose length counts with its least length, of every kind in its order.
+_ASSIGN = (
+    r'([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])'
+    r'["\x27]?\x20*[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+)'
+)
+_SECRETS = (
+    ("assign", _ASSIGN, 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16),
+    ("pem", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", 0, 0), ("github", "gh[pousr]_[A-Za-z0-9]+", 0, 40), ("slack", "xox[abpr]-[0-9A-Za-z-]+", 0, 25),
+)
+
+
+def _kind(order: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Spans of one kind: matches are put between two control characters, at which the text is split."""
+    return rf"""
+    select doc_id, {order} as kind_no, '{kind}' as kind, start, start + len(match) as stop
+    from (
+        select doc_id, split_part(piece, chr(3), 1) as match, k,
+               (coalesce(sum(len(piece) - (k > 1)::int) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0))::bigint as start
+        from (
+            select doc_id, unnest(pieces) as piece, unnest(range(1, len(pieces) + 1)) as k
+            from (select doc_id, string_split(regexp_replace(body, '{pattern}', chr(2) || '\0' || chr(3), 'g'), chr(2)) as pieces from texts)
+        )
+    )
+    where k > 1 and len(regexp_extract(match, '{pattern}', {group})) >= {least}"""
+
+
+SECRETS = rf"""
+with texts as (
+    select doc_id, translate(coalesce(text, ''), chr(2) || chr(3), chr(1) || chr(1)) as body from documents
+), spans as ({" union all ".join(_kind(k, *kind) for k, kind in enumerate(_SECRETS))}
+), lists as (
+    select doc_id, count(*) filter (kind_no = 0) as n_assign, count(*) filter (kind_no = 1) as n_access, count(*) filter (kind_no = 2) as n_hex,
+           string_agg(concat(kind, ':', start, ':', stop), ',' order by start, kind_no) filter (kind_no < 3) as base,
+           string_agg(concat(kind, ':', start, ':', stop), ',' order by start, kind_no) as spans
+    from spans group by doc_id
+)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from texts left join lists using (doc_id)
+"""

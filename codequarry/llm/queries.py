@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm import decontaminate, fingerprints, html, mixture, neardup, oracles, pii, quality, records, substrings, suffixes
+from codequarry.llm import (
+    decontaminate, fingerprints, html, mixture, neardup, negatives, oracles, pii, quality, records, secretscan, substrings, suffixes, whitening,
+)
 from codequarry.llm.shared import shared_folder, table
 
 
@@ -54,6 +56,18 @@ def token_output(spark: SparkSession, folder: str) -> DataFrame:
     return records.token_records(table(spark, folder, "documents"), shared_folder(spark), tokenizer_path())
 
 
+def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.mined(table(spark, folder, "embeddings"))
+
+
+def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secretscan.secrets(table(spark, folder, "documents"))
+
+
+def embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,10 +85,15 @@ QUERIES = {
     "op6_personal_data": personal_data,
     "op7_benchmark_decontamination": benchmark_decontamination,
     "op10_token_output": token_output,
+    "op11_hard_negatives": hard_negatives,
+    "op12_secret_scan": secret_scan,
+    "op13_embedding_whitening": embedding_whitening,
     "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
     "op4_substring_dedup": oracles.SUBSTRINGS,
     "op7_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op11_hard_negatives": oracles.HARD_NEGATIVES,
+    "op12_secret_scan": oracles.SECRETS,
 }
