@@ -92,10 +92,13 @@ class Ledger:
 
     def entries(self) -> DataFrame:
         """blob, rule, version, spans; one row per pair."""
+        return self._stored().dropDuplicates(["blob", "rule", "version"])
+
+    def _stored(self) -> DataFrame:
         system, path = file_system(self.spark, self.location)
         if not system.exists(path):
             return self.spark.createDataFrame([], LEDGER)
-        return self.spark.read.schema(LEDGER).parquet(self.location).dropDuplicates(["blob", "rule", "version"])
+        return self.spark.read.schema(LEDGER).parquet(self.location)
 
     def pending(self, blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         """Blobs that some rule has not scanned: blob, todo (names of those rules)."""
@@ -118,13 +121,15 @@ class Ledger:
         """Blobs with spans: blob, found (array of start, order of the rule, end; sorted)."""
         order = F.create_map(*(F.lit(v) for k, rule in enumerate(rules) for v in (rule.name, k)))
         ordered = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("order"), s["end"].alias("end")))
-        some = self._of(rules).where(F.size("spans") > 0).withColumn("order", order[F.col("rule")])
+        # Most pairs have no spans and are left out before anything is shuffled.
+        some = self._of(rules).where(F.size("spans") > 0).dropDuplicates(["blob", "rule"]).withColumn("order", order[F.col("rule")])
         # One list per rule and blob, so no more lists than rules meet.
         return some.select("blob", ordered.alias("own")).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("own"))).alias("found"))
 
     def _of(self, rules: Sequence[Rule]) -> DataFrame:
+        """Stored rows of these rules in their versions; a pair may occur twice."""
         versions = F.create_map(*(F.lit(v) for rule in rules for v in (rule.name, rule.version)))
-        return self.entries().where(versions[F.col("rule")] == F.col("version"))
+        return self._stored().where(versions[F.col("rule")] == F.col("version"))
 
 
 def _scanner(rules: Sequence[Rule]):
