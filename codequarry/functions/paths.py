@@ -7,6 +7,8 @@ except :func:`absolute`, which resolves a root given by the caller.
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -36,6 +38,17 @@ def is_below(path: Column, root: str) -> Column:
     return path.startswith(root_prefix(root))
 
 
+def in_ranges(path: Column, ranges: Sequence[tuple[str, str]]) -> Column:
+    """True from the first to the last path of any range; reaches Parquet as ranges.
+
+    A balanced tree of tests, whose depth is the logarithm of their number.
+    """
+    tests = [path.between(first, last) for first, last in ranges] or [F.lit(False)]
+    while len(tests) > 1:
+        tests = [reduce(Column.__or__, tests[i : i + 2]) for i in range(0, len(tests), 2)]
+    return tests[0]
+
+
 def relative(path: Column, root: str) -> Column:
     """The path without its root prefix; only meaningful for rows below ``root``."""
     return F.substring(path, len(root_prefix(root)) + 1, _TO_END)

@@ -1,6 +1,7 @@
 """Files and lines per language, and their renderings.
 
-The grouping key has fewer than a hundred values, so partial aggregation
+A corpus has ``path, text``, or ``path, language, n_lines`` as an index stores
+them, and then no text is read. The grouping key has fewer than a hundred values, so partial aggregation
 leaves almost nothing to shuffle and the collected lists below are tiny
 whatever the corpus.
 """
@@ -115,11 +116,18 @@ def totals_line(total: DataFrame) -> DataFrame:
     return total.select(F.format_string("Totals: %d files, %d lines", "files", "lines").alias("line"))
 
 
+def line_numbers(text: Column) -> Column:
+    """Lines of a text, 0 for an empty one."""
+    return F.when(text == "", 0).otherwise(line_count(text))
+
+
 def _counted(corpus: DataFrame, root: str | None, min_lines: int) -> DataFrame:
-    counted = scope.below(corpus, root).where(F.col("text") != "").select(
-        language_of(F.col("path")).alias("language"), line_count(F.col("text")).alias("lines")
-    )
-    return counted.withColumn("lines", F.when(F.col("lines") >= min_lines, F.col("lines")).otherwise(0))
+    """``language, lines`` of files with text, from stored columns where there are such."""
+    counted = scope.below(corpus, root)
+    if "n_lines" not in corpus.columns or "language" not in corpus.columns:
+        counted = counted.select(language_of(F.col("path")).alias("language"), line_numbers(F.col("text")).alias("n_lines"))
+    lines = F.when(F.col("n_lines") >= min_lines, F.col("n_lines")).otherwise(0)
+    return counted.where(F.col("n_lines") > 0).select("language", lines.alias("lines"))
 
 
 def _per_language(corpus: DataFrame, root: str | None, min_lines: int) -> DataFrame:

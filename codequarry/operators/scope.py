@@ -15,8 +15,9 @@ DEFAULT_SIZE_LIMIT = 2 * 1024 * 1024
 # Names of the two ignore files, in the order they apply within a directory.
 IGNORE_NAMES = (".gitignore", ".quarryignore")
 
-# A long path list; lists of all lengths take one plan.
-MAX_IN_LIST = 1000
+# Ranges of paths that a scan is given for a path list of any length. Where paths are computed,
+# each test repeats the expression, so there are few.
+MOST_RANGES = 4
 
 
 def below(files: DataFrame, root: str | None) -> DataFrame:
@@ -36,8 +37,10 @@ def among(files: DataFrame, wanted: Sequence[str] | DataFrame | None) -> DataFra
         return files
     absolute = sorted({paths.absolute(path) for path in wanted})
     listed = local_table(files.sparkSession, "path string", [(path,) for path in absolute])
-    # The range is pushed to the scan.
-    within = files.where(F.col("path").between(absolute[0], absolute[-1]))
+    # Ranges with as many listed paths each; short lists are ranges of one path.
+    size = -(-len(absolute) // MOST_RANGES)
+    runs = [absolute[i : i + size] for i in range(0, len(absolute), size)]
+    within = files.where(paths.in_ranges(F.col("path"), [(run[0], run[-1]) for run in runs]))
     return within.join(listed, "path", "left_semi").select(*files.columns)
 
 

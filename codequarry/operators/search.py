@@ -38,6 +38,8 @@ def search(
     if max_results is not None:
         max_results = max(max_results, 0)
     scoped = scope.among(scope.below(corpus, root), paths)
+    if max_results is not None and pattern:
+        scoped = _first_files(scoped, pattern, max_results, case)
     counted = matching_lines(scoped, pattern, case)
     # Hits of one line are equal rows, so a line never needs more copies than
     # rows are asked for.
@@ -50,6 +52,25 @@ def search(
     return hits.select("path", "lineno", "text", dirname(F.col("path")).alias("root"))
 
 
+def _first_files(corpus: DataFrame, pattern: str, most: int, case: bool) -> DataFrame:
+    """The files up to the ``most``-th that has a hit, by path.
+
+    As each such file, or matching line, has a hit at least, the first ``most`` hits lie in them.
+    Only paths meet here; of the texts of later files no line is split or moved.
+    """
+    if case or pattern.isascii() and "\n" not in pattern:
+        # The text has a hit just if a line has one.
+        found = _candidates(corpus, pattern, _fold(case))
+    else:
+        found = matching_lines(corpus, pattern, case)
+    last = found.select("path").orderBy("path").limit(most).agg(F.max("path"))
+    return corpus.where(F.col("path") <= last.scalar())
+
+
+def _candidates(corpus: DataFrame, pattern: str, fold) -> DataFrame:
+    return corpus.where(F.contains(fold(F.col("text")), fold(F.lit(pattern))))
+
+
 def matching_lines(corpus: DataFrame, pattern: str, case: bool = False) -> DataFrame:
     """Lines with a hit: ``path, lineno, text, hits``, ``hits`` being their number.
 
@@ -60,7 +81,7 @@ def matching_lines(corpus: DataFrame, pattern: str, case: bool = False) -> DataF
             "path", F.lit(0).cast("bigint").alias("lineno"), "text", F.lit(0).alias("hits")
         )
     fold = _fold(case)
-    candidates = corpus.where(F.contains(fold(F.col("text")), fold(F.lit(pattern))))
+    candidates = _candidates(corpus, pattern, fold)
     if "\n" in pattern:
         return _multi_line(candidates, pattern, fold)
     return _single_line(candidates, pattern, fold)

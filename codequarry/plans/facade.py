@@ -45,7 +45,8 @@ class CodeIndex:
         max_results: int | None = search_ops.DEFAULT_MAX_RESULTS,
         case: bool = False,
     ) -> DataFrame:
-        return search_ops.search(self.store.snapshot().content(), pattern, root, paths, max_results, case)
+        texts = self.store.snapshot().content_with(pattern, case)
+        return search_ops.search(texts, pattern, root, paths, max_results, case)
 
     def search_envelope(
         self, pattern: str, root: str | None = None, max_results: int = search_ops.TOOL_MAX_RESULTS
@@ -53,16 +54,17 @@ class CodeIndex:
         return search_ops.envelope(self.search(pattern, root, max_results=max_results))
 
     def stats(self, root: str | None = None, min_lines: int = langstats.DEFAULT_MIN_LINES) -> DataFrame:
-        return langstats.language_stats(self.store.snapshot().content(), root, min_lines)
+        return langstats.language_stats(self.store.snapshot().files(), root, min_lines)
 
     def totals(self, root: str | None = None, min_lines: int = langstats.DEFAULT_MIN_LINES) -> DataFrame:
-        return langstats.totals(self.store.snapshot().content(), root, min_lines)
+        return langstats.totals(self.store.snapshot().files(), root, min_lines)
 
     def stats_envelope(self, root: str | None = None) -> DataFrame:
-        return langstats.stats_envelope(self.store.snapshot().content(), root)
+        return langstats.stats_envelope(self.store.snapshot().files(), root)
 
     def files(self) -> DataFrame:
-        return self.store.snapshot().files().drop("gen")
+        """``path, size, mtime, text_hash, indexed_at``."""
+        return self.store.snapshot().files().drop("gen", "n_lines", "language")
 
     def roots(self) -> DataFrame:
         return self.store.snapshot().roots().select("path").orderBy("path")
@@ -73,5 +75,6 @@ class CodeIndex:
         self.store.clear()
         return count
 
-    def compact(self) -> None:
-        self.store.compact()
+    def compact(self, **layout) -> None:
+        """Rewrite the index for reading; see :meth:`sources.store.IndexStore.compact`."""
+        self.store.compact(**layout)

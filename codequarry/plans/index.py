@@ -15,8 +15,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths
+from ..functions.language import language_of
 from ..functions.text import text_hash
 from ..operators import diff, ignore, scope
+from ..operators.langstats import line_numbers
 from ..sources import filetree, schemas
 from ..sources.scratch import Staging
 from ..sources.store import IndexStore
@@ -123,9 +125,10 @@ def index_root(
         keep = (lambda table: flagged(table).where(~F.col("skipped"))) if first else None
         texts = scope.text_files(source.fetch(wanted, keep)).select(
             "path", "size", "mtime", text_hash(F.col("text")).alias("text_hash"),
-            F.col("gen").alias("replaces"), "text",
+            line_numbers(F.col("text")).alias("n_lines"), language_of(F.col("path")).alias("language"),
+            F.col("gen").alias("replaces"), "text", F.lit(None).cast("bigint").alias("block"),
         )
-        written = store.write("content", gen, texts).drop("text")
+        written = store.write("content", gen, texts).drop("text", "block")
 
         store.write("files", gen, written.drop("replaces").withColumn("indexed_at", F.lit(now)))
         gone = staging.read_parts(changes, "changes", "status", [diff.REMOVED, diff.SKIPPED_REMOVED])

@@ -13,10 +13,16 @@ LISTING = "path string, size bigint, mtime double, is_link boolean"
 
 # What an index holds.
 ROOTS = "path string, created_at string"
-FILES = "path string, size bigint, mtime double, text_hash string, indexed_at string"
+# ``n_lines`` and ``language`` follow from text and path; an empty text has 0 lines.
+FILES = (
+    "path string, size bigint, mtime double, text_hash string, n_lines bigint, language string, indexed_at string"
+)
 CONTENT = (
-    "path string, size bigint, mtime double, text_hash string, replaces bigint, text string"
+    "path string, size bigint, mtime double, text_hash string, n_lines bigint, language string, "
+    "replaces bigint, text string, block bigint"
 )
+GRAMS = "gram int, block bigint"
+BLOCKS = "block bigint, zone int, first string, last string"
 REPLACED = "path string, replaced_gen bigint"
 COMMITS = (
     "gen bigint, base boolean, added bigint, updated bigint, removed bigint, skipped bigint, total bigint"

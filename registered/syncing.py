@@ -166,6 +166,23 @@ def index_compact(spark, folder):
     return index.stats(ROOT)
 
 
+def index_stats(spark, folder):
+    """Statistics from stored columns, part of the rows being replaced."""
+    index, _ = _synced_index(spark, folder)
+    return index.stats(ROOT)
+
+
+def index_search_compacted(spark, folder):
+    """A search by grams, and one after a later run that removes a source and adds files."""
+    index, _ = _synced_index(spark, folder)
+    index.compact()
+    first = index.search("ouou", root=ROOT, max_results=None).withColumn("run", F.lit(1))
+    left = file_table(spark, folder).where(~F.col("path").startswith("/corpus/src3/"))
+    more = left.where(F.col("path").endswith(".py")).withColumn("path", F.concat("path", F.lit("x")))
+    index.index(ROOT, TableSource(left.unionByName(more), ignore_files(spark, folder)), extra_ignores=EXTRA, size_limit=SIZE_LIMIT)
+    return first.unionByName(index.search("OUOU", root=ROOT, max_results=None).withColumn("run", F.lit(2)))
+
+
 def clear_count(spark, folder):
     index = _new_index(spark)
     index.index(ROOT, TableSource(file_table(spark, folder), ignore_files(spark, folder)), no_ignore=True)
@@ -201,6 +218,8 @@ QUERIES = {
     "sync_apply": sync_apply,
     "index_search": index_search,
     "index_compact": index_compact,
+    "index_stats": index_stats,
+    "index_search_compacted": index_search_compacted,
     "clear_count": clear_count,
     "roots_register": roots_register,
     "roots_list": roots_list,
@@ -236,6 +255,19 @@ ORACLES = {
         select path, lineno, text, root from hits""",
     "index_compact": f"""{_AFTER_SQL}, {stats_sql().replace('from corpus', 'from after')}
         select * from stats""",
+    "index_stats": f"""{_AFTER_SQL}, {stats_sql().replace('from corpus', 'from after')}
+        select * from stats""",
+    # A stale binary keeps its old row as long as its file is there.
+    "index_search_compacted": f"""{_AFTER_SQL}, {hits_sql('ouou', source='after')},
+        second as (
+            select path, text from after where not starts_with(path, '/corpus/src3/')
+            union all
+            select concat(corpus.path, 'x'), corpus.text from corpus join seen on corpus.path = seen.path
+            where ends_with(corpus.path, '.py') and not skipped and not corpus.is_binary
+            and not starts_with(corpus.path, '/corpus/src3/')),
+        {hits_sql('ouou', source='second').replace('lines as', 'lines2 as').replace('from lines', 'from lines2')
+          .replace('positions as', 'positions2 as').replace('from positions', 'from positions2').replace('hits as', 'hits2 as')}
+        select path, lineno, text, root, 1 as run from hits union all select path, lineno, text, root, 2 from hits2""",
     "clear_count": f"""with {SQL} select count(*) as cleared, cast(0 as bigint) as left from corpus
         where not is_link and not is_binary and size <= 2097152
         and regexp_extract(path, '[^/]*$') not in ('.gitignore', '.quarryignore')""",

@@ -2,6 +2,7 @@ import os
 
 import pytest
 from naive import is_binary, walk
+from test_search import rows_scanned
 from pyspark.sql import functions as F
 
 from codequarry import CodeIndex, TableSource
@@ -196,10 +197,10 @@ def test_leftovers_of_a_failed_commit_do_not_matter(spark, index):
 
 
 def test_two_writers_are_noticed(spark, index):
-    for _ in range(2):
+    index.index("/r", TableSource(file_table(spark, {"/r/a": b"x"})))
+    with pytest.raises(ValueError, match="another run has written generation 1"):
         index.store.commit(1, {})
-    with pytest.raises(ValueError, match="same generation"):
-        index.files()
+    assert indexed(index, "/r") == {"a"}
 
 
 def test_reader_keeps_its_snapshot(spark, index):
@@ -366,3 +367,77 @@ def test_entries_that_cannot_be_read(tmp_path, monkeypatch):
     assert not list(filetree._entries(str(tmp_path / "none")))
     with pytest.raises(FileNotFoundError):
         list(filetree._entries(str(tmp_path / "none"), required=True))
+
+
+def words(rng, count):
+    return " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(count))
+
+
+def test_compacted_search_equals_search_of_everything_and_reads_less(spark, index):
+    import random
+
+    rng = random.Random(11)
+    files = {f"/r/{i:04}.py": f"{words(rng, 60)}\r\n{words(rng, 300)}" for i in range(400)}
+    files["/r/0200.py"] = "xyzzy ÄÖÜ straße\nnext line\tΑΣ Σα İx 日本語テキスト"
+    files["/r/0201.py"] = "Xyzzy äöü"
+    files |= {"/r/empty": "", "/r/zz": "ab", "/r/0399.py": "quux " * 5000}
+    table = {path: text.encode() for path, text in files.items()}
+    index.index("/r", TableSource(file_table(spark, table)))
+    patterns = ["xyzzy", "ÄÖÜ", "straße\nNEXT", "line\t", "ΑΣ", "Σα", "i̇x", "日本", "ab", "quux quux", "\r\n", "no such text"]
+    runs = [(p, case, None) for p in patterns for case in (False, True)] + [("abc", False, 7), ("XYZZY", False, 1)]
+    answers = lambda: [
+        sorted(map(tuple, index.search(p, max_results=n, case=case).collect())) for p, case, n in runs
+    ]
+    before = answers()
+    assert sum(map(bool, before)) > 15
+    index.compact(block_bytes=16 * 1024, row_group_bytes=64 * 1024)
+    assert answers() == before
+    rare, frequent = (index.search(p, max_results=None) for p in ("xyzzy", "abc"))
+    assert rare.count() == len(rare.collect()) == 2 and rows_scanned(rare) <= 200
+    assert frequent.collect() and rows_scanned(frequent) >= len(files) - 2
+    # A later generation is searched whole, and hides what it replaces.
+    table["/r/0200.py"], table["/r/new.py"] = b"changed", b"one\nxyzzy again"
+    index.index("/r", TableSource(file_table(spark, table, mtime=1.0)))
+    assert [row.path for row in index.search("xyzzy").collect()] == ["/r/0201.py", "/r/new.py"]
+    index.clear()
+    assert index.search("xyzzy").collect() == []
+
+
+def test_grams_of_a_pattern_are_among_those_of_its_texts(spark):
+    import random
+
+    import numpy as np
+
+    from codequarry.sources import grams
+
+    rng = random.Random(2)
+    letters = [*"aAbBiIkKzZ019 _-\n", "é", "É", "Σ", "σ", "İ", "ß", "K", "日", "𝒳", "ö"]
+    texts = ["".join(rng.choices(letters, k=rng.randrange(1, 40))) for _ in range(300)]
+    lows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.lower("t").alias("low")).collect()
+    for text, low in zip(texts, lows):
+        held = set(grams.numbers(np.frombuffer(low.low.encode(), np.uint8)).tolist())
+        at = rng.randrange(len(text))
+        part = text[at : at + rng.randrange(1, 12)]
+        assert set(grams.pattern_grams(spark, part, True)) <= held, (text, part)
+        if part.lower() in text.lower() and low.low.find(part.lower()) >= 0:
+            assert set(grams.pattern_grams(spark, part, False)) <= held, (text, part)
+    assert grams.pattern_grams(spark, "ab", False) == grams.pattern_grams(spark, "日a", True) == []
+    assert len(grams.pattern_grams(spark, "abcde" * 99, False)) == 5
+
+
+def test_statistics_read_no_text(spark, index):
+    files = {"/r/a.py": b"1\n2\n3\n", "/r/b.py": b"1", "/r/empty.js": b"", "/r/c.c": b"1\r\n2\r\n3", "/r/bin": b"\0"}
+    index.index("/r", TableSource(file_table(spark, files)))
+    files["/r/b.py"] = b"1\n2\n3\n4"
+    index.index("/r", TableSource(file_table(spark, files)))
+    from codequarry.operators import langstats
+
+    for _ in range(2):
+        texts = index.store.snapshot().content().select("path", "text")
+        for min_lines in (1, 3, 4):
+            assert index.stats(min_lines=min_lines).collect() == langstats.language_stats(texts, min_lines=min_lines).collect()
+            assert index.totals("/r", min_lines).collect() == langstats.totals(texts, "/r", min_lines).collect()
+        for result in (index.stats("/r"), index.totals(), index.stats_envelope()):
+            plan = result._jdf.queryExecution().executedPlan().toString()
+            assert "n_lines" in plan and "text:string" not in plan and "content" not in plan
+        index.compact()

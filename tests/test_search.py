@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from naive import hits
@@ -46,14 +47,14 @@ def test_paths(spark, corpus):
     assert search.search(files, "x", paths=["/r/a", "/r/q/../b"]).count() == 2
     assert search.search(files, "x", paths=[]).count() == 3
     assert search.search(files, "x", root="/other", paths=["/r/a"]).count() == 0
-    many = [f"/r/{i}" for i in range(scope.MAX_IN_LIST + 1)] + ["/r/a"]
+    many = [f"/r/{i}" for i in range(1000)] + ["/r/a"]
     assert search.search(files, "x", paths=many).count() == 1
     assert search.search(files, "x", paths=files.where("path > '/r/a'")).count() == 2
 
 
 def test_short_and_long_path_lists_take_one_plan(corpus):
     files = corpus({f"/r/{name}": "x" for name in "abc"}).select("text", "path")
-    for listed in (["/r/c", "/r/a"], [f"/r/{i}" for i in range(scope.MAX_IN_LIST + 1)] + ["/r/a"]):
+    for listed in (["/r/c", "/r/a"], [f"/r/{i}" for i in range(1000)] + ["/r/a"]):
         among = scope.among(files, listed)
         assert among.columns == ["text", "path"]
         assert "LeftSemi" in among._jdf.queryExecution().analyzed().toString()
@@ -119,12 +120,55 @@ def test_plan_filters_before_splitting_and_never_shuffles(spark, corpus, tmp_pat
     result = search.search(content, "needle", root="/r", paths=["/r/a.py"])
     plan = result._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(path,/r/)" in plan
-    assert "In(path" in plan or "EqualTo(path" in plan
+    assert re.search(r"Filter .*path#\d+ >= /r/a.py", plan)
     assert "TakeOrderedAndProject" in plan
-    assert "Exchange" not in plan
+    # Only the listed paths and the bound from the first step are exchanged.
+    assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
     assert "Contains(lower(text" in plan[plan.index("posexplode"):]
 
 
+def rows_scanned(result):
+    """Rows that the Parquet scans of a collected result hand on."""
+    nodes, total = [result._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName().startswith("Scan parquet"):
+            total += node.metrics().apply("numOutputRows").value()
+        inner = getattr(node, "executedPlan", None) if node.nodeName() == "AdaptiveSparkPlan" else None
+        inner = node.plan if node.nodeName().endswith("QueryStage") else inner
+        nodes += [inner()] if inner else [node.children().apply(k) for k in range(node.children().size())]
+    return total
+
+
+def test_path_lists_reach_the_scan_as_several_ranges(corpus, tmp_path):
+    """The texts between listed paths that lie far apart are not read."""
+    files = corpus({f"/r/{i:04}": f"w{i} " * 100 for i in range(400)})
+    files.repartitionByRange(1, "path").sortWithinPartitions("path").write.option("parquet.page.row.count.limit", 16).options(
+        **{"parquet.page.size.row.check.min": 8}).parquet(str(tmp_path / "content"))
+    content = files.sparkSession.read.parquet(str(tmp_path / "content"))
+    listed = ["/r/0010", "/r/0200", "/r/0390"]
+    among = scope.among(content, listed)
+    assert sorted(row.path for row in among.collect()) == listed
+    assert rows_scanned(among) <= 3 * 32 < 380
+    many = [f"/r/{i:04}" for i in range(1000)]
+    within = scope.among(content, many)._jdf.queryExecution().optimizedPlan().toString()
+    assert 2 < within.count(">= /r/") <= scope.MOST_RANGES
+
+
+def test_first_step_of_the_first_hits_moves_no_text(corpus, tmp_path):
+    files = corpus({f"/{i:02}": f"x\nneedle {i} needle\n" for i in range(40)})
+    files.repartition(4).write.parquet(str(tmp_path / "content"))
+    content = files.sparkSession.read.parquet(str(tmp_path / "content"))
+    result = search.search(content, "needle", max_results=5)
+    assert found(result) == [(f"/{i:02}", 2, f"needle {i} needle") for i in (0, 0, 1, 1, 2)]
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    first = plan[plan.index("Subquery"):]
+    first = first[first.index("TakeOrderedAndProject"):].split("\n")[0]
+    assert "output=[path" in first and "text" not in first
+    # The texts after the last of the first files are left out before lines are split.
+    assert re.search(r"path#\d+ <= Subquery", plan)
+
+
 def test_hits_of_two_files_with_equal_names_stay_apart(corpus):
     files = corpus({"/x/a": "q", "/y/a": "q"}).withColumn("extra", F.lit(1))
     assert [row.root for row in search.search(files, "q").collect()] == ["/x", "/y"]
