@@ -66,7 +66,7 @@ class TreeSource:
         return filetree.read_content(wanted, spread=False).select("path", "content")
 
     def fetch(self, wanted: DataFrame, keep) -> DataFrame:
-        return filetree.read_content(wanted)
+        return filetree.read_content(wanted, text_only=True)
 
 
 def index_root(

@@ -441,3 +441,58 @@ def test_statistics_read_no_text(spark, index):
             plan = result._jdf.queryExecution().executedPlan().toString()
             assert "n_lines" in plan and "text:string" not in plan and "content" not in plan
         index.compact()
+
+
+def test_a_binary_is_read_no_further_than_the_sample(tmp_path, monkeypatch):
+    import io
+
+    import pyarrow as pa
+
+    samples = {"bin": b"\0" + b"x" * 50_000, "late": b"a" * 8192 + b"\0" * 9000, "odd": b"\1" * 31 + b"a" * 69, "text": b"t" * 20_000, "empty": b""}
+    for name, content in samples.items():
+        (tmp_path / name).write_bytes(content)
+    read = {}
+
+    class Counted(io.FileIO):
+        def read(self, size=-1):
+            data = super().read(size)
+            read[os.path.basename(self.name)] = read.get(os.path.basename(self.name), 0) + len(data)
+            return data
+
+        def readall(self):
+            data = super().readall()
+            read[os.path.basename(self.name)] += len(data)
+            return data
+
+    monkeypatch.setattr(filetree, "open", lambda path, mode, buffering: Counted(path, "rb"), raising=False)
+    paths = pa.RecordBatch.from_pydict({"path": [str(tmp_path / name) for name in samples]})
+    rows = [row for batch in filetree._read_files(iter([paths]), text_only=True) for row in batch.to_pylist()]
+    kept = {os.path.basename(row["path"]): row["content"] for row in rows}
+    assert kept == {name: content for name, content in samples.items() if not is_binary(content)}
+    assert read == {"bin": 8192, "odd": 100, "late": 17192, "text": 20_000, "empty": 0}
+    import random
+
+    rng = random.Random(3)
+    for _ in range(2000):
+        sample = bytes(rng.choices(rng.choice([range(256), range(9, 40), [1, 65, 66, 67]]), k=rng.randrange(0, 40)))
+        assert filetree._is_binary(sample) == is_binary(sample)
+
+
+def test_a_deep_tree_takes_few_jobs(spark, tmp_path):
+    deep = tmp_path
+    for k in range(40):
+        deep = deep / f"d{k}"
+        deep.mkdir()
+        (deep / "f.txt").write_text("x")
+    for k in range(700):
+        (tmp_path / "wide" / f"w{k}" / "x").mkdir(parents=True)
+        (tmp_path / "wide" / f"w{k}" / "x" / "g").write_text("")
+    expected = sorted(os.path.join(folder, name) for folder, _, names in os.walk(tmp_path) for name in names)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("deep", "tree")
+    with Staging(spark) as staging:
+        listing = filetree.list_tree(spark, str(tmp_path), staging)
+        rounds = [name for name in os.listdir(f"{staging.folder}/tree") if name.startswith("round=")]
+        assert sorted(row.path for row in listing.collect()) == expected
+    assert len(tracker.getJobIdsForGroup("deep")) <= 20 and len(rounds) <= 4
+    spark.sparkContext.setJobGroup("", "")
