@@ -5,7 +5,10 @@ of prose) is hashed with all it holds. Spark counts, per host, on how many
 different articles' pages each box occurs, and boxes on many of them are
 templates, which are deleted. Copies of one article count once, so an article
 is no template of its own copies. From the rest, the main element is taken, less
-the parts that are by name or role no article text.
+the parts that are by name or role no article text. A name tells nothing about the
+page, an article, a main or an inline element, nor about a box that holds the main
+element or most of the page's paragraph text: sites name their frames after what
+else is in them. A form is dropped unless it is such a frame.
 
 Where an element, role or name tells the main element, pages are different
 articles if it differs, and it and the boxes that hold it are not counted. Where
@@ -21,7 +24,8 @@ outer join from the pages, which adaptive execution splits for a hot host.
 
 Defined results: null, blank and tag-less html is read as text of one page; pages
 of templates only keep them; pages without text give an empty string; a null or hostless url has no templates;
-repeated rows stay; unknown and unclosed tags are tolerated at any depth.
+repeated rows stay; unknown and unclosed tags are tolerated at any depth. Parsing and
+extraction take time in proportion to the page, whatever its nesting.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -46,6 +51,7 @@ _INLINE = frozenset(
 )
 _BOXES = frozenset("div section aside nav header footer ul ol dl table form figure details main article blockquote".split())
 _DROPPED = frozenset("head nav header footer aside form button dialog menu label fieldset video audio map".split()) | _RAW
+_OFF_PAGE = _DROPPED - {"form"}
 _CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
     "main menu nav ol p pre section table ul".split()
@@ -59,12 +65,16 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form aler
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner\w*|promo\w*|sponsor\w*|sidebar\w*|nav\w*|menu\w*|breadcrumbs?|footer|header|"
     r"masthead|cookies?|consent|notices?|notification\w*|alerts?|popup|modal|newsletter|subscri\w+|signup|share|sharing|"
-    r"social|related|recommend\w*|comments?|disqus|respond|repl(?:y|ies)|widgets?|toolbar|pager|pagination|login|search\w*|"
+    r"social|related|recommend\w*|widgets?|toolbar|pager|pagination|login|search\w*|"
     r"skip|hidden|gdpr|paywall)(?:$|[\s_-])", re.I,
 )
+_READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|respond|repl(?:y|ies))(?:$|[\s_-])", re.I)
+#: Elements about which a name tells nothing.
+_UNNAMED = frozenset(("", "html", "body", "article", "main")) | _INLINE
 _MAIN = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main)(?:$|[\s_-]|-?body)", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?[A-Za-z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
+_MARKUP = re.compile(r"<!--|<[!?]|</?[A-Za-z]")
+_STOP = re.compile("[>\"']")
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
 
@@ -75,60 +85,108 @@ class Node:
     def __init__(self, tag: str, attributes: dict[str, str]):
         self.tag, self.attributes, self.children, self.digest = tag, attributes, [], b""
 
-    def no_article(self) -> bool:
+    def off_page(self) -> bool:
+        """No article text by element, role or style."""
         a = self.attributes
-        return (
-            self.tag in _DROPPED or a.get("role", "").lower() in _ROLES or "hidden" in a or a.get("aria-hidden") == "true"
+        return self.tag in _OFF_PAGE or bool(a) and (
+            a.get("role", "").lower() in _ROLES or "hidden" in a or a.get("aria-hidden") == "true"
             or "display:none" in a.get("style", "").replace(" ", "").lower()
-            or bool(_NAMES.search(f"{a.get('class', '')} {a.get('id', '')}"))
         )
 
+    def names(self) -> str:
+        return f"{self.attributes.get('class', '')} {self.attributes.get('id', '')}"
+
+    def of_readers(self) -> bool:
+        return bool(self.attributes) and self.tag not in _UNNAMED and bool(_READERS.search(self.names()))
+
+    def aside(self) -> bool:
+        """No article text by name, or a form."""
+        return self.tag == "form" or bool(self.attributes) and self.tag not in _UNNAMED and bool(_NAMES.search(self.names()))
+
     def may_be_main(self) -> bool:
         a = self.attributes
         return a.get("role") == "main" or a.get("itemprop") == "articleBody" or bool(
             self.tag in _BOXES and _MAIN.search(f"{a.get('class', '')} {a.get('id', '')}"))
 
 
+def _tag_end(source: str, at: int, last: int) -> int:
+    """End of the tag that begins at ``at``, ``>`` in quotes left out; -1 if no ``>`` follows, ``last`` being the last one."""
+    if at > last:
+        return -1
+    place = at
+    while stop := _STOP.search(source, place):
+        if stop[0] == ">":
+            return stop.end()
+        close = source.find(stop[0], stop.end())
+        # A quote without its partner is a plain character.
+        place = close + 1 if close >= 0 else stop.end()
+    return source.find(">", at) + 1
+
+
+class _Open:
+    """The open elements, where each name and the nearest scope lie among them."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places, self.scopes = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in _SCOPES:
+            self.scopes.append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, name: str, scoped: bool = False) -> None:
+        """Close the last open element ``name`` and all in it; with ``scoped`` not across a scope."""
+        places = self.places.get(name)
+        if not places or scoped and self.scopes and self.scopes[-1] > places[-1]:
+            return
+        to = places[-1]
+        while len(self.stack) > to:
+            node = self.stack.pop()
+            self.places[node.tag].pop()
+            if node.tag in _SCOPES:
+                self.scopes.pop()
+
+
 def parse(source: str) -> Node:
     """Tree of elements and decoded texts; raw elements keep no text."""
     root = Node("", {})
-    stack, at = [root], 0
-
-    def close(name: str, within: frozenset = frozenset()) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth].tag == name:
-                del stack[depth:]
-                return
-            if stack[depth].tag in within:
-                return
+    opened, at, last = _Open(root), 0, source.rfind(">")
 
     while at < len(source):
-        match = _TOKEN.search(source, at)
+        match = _MARKUP.search(source, at)
+        tag = _TAG.match(source, match.start()) if match and match[0][-1] not in "-!?" else None
+        if tag and (end := _tag_end(source, tag.end(), last)) < 0:
+            # No tag is closed from here on; a declaration or comment would reach to the end.
+            tag, match = None, re.compile("<[!?]").search(source, match.start())
         text = source[at : match.start() if match else len(source)]
         if text:
-            stack[-1].children.append(html.unescape(text))
+            opened.stack[-1].children.append(html.unescape(text))
         if not match:
             break
-        at = match.end()
-        tag = _TAG.match(match[0])
         if not tag:
+            mark = "-->" if source.startswith("<!--", match.start()) else ">"
+            found = source.find(mark, match.start() + (4 if mark == "-->" else 2))
+            at = found + len(mark) if found >= 0 else len(source)
             continue
+        at = end
         name = tag[2].lower()
         if tag[1]:
-            close(name)
+            opened.close(name)
             continue
-        attributes = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(match[0], tag.end())}
+        inside = source[tag.end() : end]
+        attributes = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(inside)}
         if name in _CLOSES_P:
-            close("p", _SCOPES)
+            opened.close("p", True)
         for sibling in _SIBLINGS.get(name, ()):
-            close(sibling, _SCOPES)
+            opened.close(sibling, True)
         node = Node(name, attributes)
-        stack[-1].children.append(node)
+        opened.stack[-1].children.append(node)
         if name in _RAW:
-            end = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
-        elif name not in _VOID and not match[0].endswith("/>"):
-            stack.append(node)
+            closing = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(source, at)
+            at = closing.end() if closing else len(source)
+        elif name not in _VOID and not inside.endswith("/>"):
+            opened.push(node)
     return root
 
 
@@ -178,24 +236,68 @@ def blocks(root: Node, kept) -> list[str]:
     return found
 
 
-def main_element(root: Node, kept) -> tuple[Node, bool]:
-    """The article, and whether it is told: by element, else by role or name; else the box with most paragraph text, else the page."""
-    every = list(nodes(root, kept))
-    size = lambda node: sum(map(len, blocks(node, kept)))
-    for chosen in (
-        [n for n in every if n.tag == "article"], [n for n in every if n.tag == "main"],
-        [n for n in every if n.may_be_main()],
-    ):
-        if chosen and (best := max(chosen, key=size)) and size(best):
-            return best, True
-    paragraphs = [(sum(size(c) for c in n.children if isinstance(c, Node) and c.tag == "p"), -k, n) for k, n in enumerate(every)]
-    most = max(paragraphs, key=lambda x: x[:2])
-    if not most[0] or most[2] is root:
-        return root, False
-    around = next(n for n in every if any(c is most[2] for c in n.children))
-    parts = [c for c in around.children if isinstance(c, Node) and kept(c)]
-    several = sum(any(n.tag == "p" and size(n) for n in nodes(c, kept)) for c in parts) > 1
-    return around if several else most[2], False
+class Page:
+    """A parsed page with sizes of what each element holds, counted once."""
+
+    def __init__(self, root: Node):
+        self.root, self.every = root, list(nodes(root))
+        self.above = {id(c): n for n in self.every for c in n.children if isinstance(c, Node)}
+        self.off = {id(n) for n in self.every if n.off_page()}
+        self.dropped = self.off | {id(n) for n in self.every if n.of_readers()}
+        self.asides = {id(n) for n in self.every if n.aside()}
+        prose = self.sizes(lambda node: id(node) not in self.dropped, "p")
+        self.frames = {id(n) for n in self.every if prose[id(n)] * 2 > prose[id(root)]}
+
+    def sizes(self, kept, within: str = "") -> dict[int, int]:
+        """Characters that each element holds in parts that are kept, of those in elements ``within`` if given."""
+        total: dict[int, int] = {}
+        for node in reversed(self.every):
+            if node is not self.root and not kept(node):
+                total[id(node)] = 0
+            elif within and node.tag != within:
+                total[id(node)] = sum(total[id(c)] for c in node.children if isinstance(c, Node))
+            else:
+                own = total if not within else self._plain
+                total[id(node)] = sum(own[id(c)] if isinstance(c, Node) else len(c.strip()) for c in node.children)
+        return total
+
+    @cached_property
+    def _plain(self) -> dict[int, int]:
+        return self.sizes(lambda node: True)
+
+    def kept(self, node: Node) -> bool:
+        """Whether an element may hold article text."""
+        return id(node) not in self.dropped and (id(node) not in self.asides or id(node) in self.frames)
+
+    def ancestors(self, node: Node) -> Iterator[Node]:
+        while (node := self.above.get(id(node))) is not None:
+            yield node
+
+    def main(self, deleted: set[int] = frozenset()) -> tuple[Node, bool]:
+        """The article, and whether it is told: by element, else by role or name; else the box with most paragraph text, else the page."""
+        by_name = lambda node: id(node) not in deleted and self.kept(node)
+        by_kind = lambda node: id(node) not in deleted and id(node) not in self.off
+        for kept in (by_name, by_kind):
+            size = self.sizes(kept)
+            reached = list(nodes(self.root, kept))
+            tests = (lambda n: n.tag == "article", lambda n: n.tag == "main", Node.may_be_main)
+            # Frames' names tell nothing, so an article or main element in them is told all the same.
+            for test in tests if kept is by_name else tests[:2]:
+                chosen = [n for n in reached if test(n) and size[id(n)]]
+                if chosen:
+                    best = max(chosen, key=lambda n: size[id(n)])
+                    self.frames |= {id(n) for n in self.ancestors(best)}
+                    return best, True
+        size = self.sizes(by_name)
+        reached = list(nodes(self.root, by_name))
+        direct = lambda n: sum(size[id(c)] for c in n.children if isinstance(c, Node) and c.tag == "p")
+        most = max(reached, key=direct)
+        if not direct(most) or most is self.root:
+            return self.root, False
+        prose = self.sizes(by_name, "p")
+        around = self.above[id(most)]
+        several = sum(bool(prose[id(c)]) for c in around.children if isinstance(c, Node)) > 1
+        return around if several else most, False
 
 
 def texts_outside(root: Node, boxes: list[Node]) -> dict[int, int]:
@@ -212,33 +314,24 @@ def texts_outside(root: Node, boxes: list[Node]) -> dict[int, int]:
     return {id(n): (inside[id(root)] - inside[id(n)]) % (1 << 64) for n in boxes} | {0: inside[id(root)] % (1 << 64)}
 
 
-def page_parts(source: str | None) -> tuple[Node, Node, bool, list[Node]]:
+def page_parts(source: str | None) -> tuple[Page, Node, bool, list[Node]]:
     """Page, main element, whether it is told, and the boxes that may be templates: all, or those that neither are nor hold a told one."""
     root = parse(source or "")
     hash_subtrees(root)
-    main, told = main_element(root, lambda node: not node.no_article())
-    if not told:
-        return root, main, told, [n for n in nodes(root) if n.tag in _BOXES]
-    above = set()
-    pending = [(root, (id(root),))] if main is not root else []
-    while pending:
-        node, path = pending.pop()
-        if node is main:
-            above = set(path)
-            break
-        pending += [(c, (*path, id(c))) for c in node.children if isinstance(c, Node) and c.tag in _BOXES | {"html", "body"}]
-    boxes = [n for n in nodes(root) if n.tag in _BOXES and n is not main and id(n) not in above]
-    return root, main, told, boxes
+    page = Page(root)
+    main, told = page.main()
+    exempt = {id(main), *(id(n) for n in page.ancestors(main))} if told else ()
+    return page, main, told, [n for n in page.every if n.tag in _BOXES and id(n) not in exempt]
 
 
 def extract(source: str | None, templates: set[bytes]) -> str:
     """Main text of a page without its boxes among ``templates``."""
-    root, main, told, boxes = page_parts(source)
+    page, main, told, boxes = page_parts(source)
     deleted = {id(n) for n in boxes if n.digest in templates}
-    kept = lambda node: id(node) not in deleted and not node.no_article()
+    kept = lambda node: id(node) not in deleted and page.kept(node)
     if not told and deleted:
-        left = "\n".join(blocks(main_element(root, kept)[0], kept))
-        return left or "\n".join(blocks(main, lambda node: not node.no_article()))
+        left = "\n".join(blocks(page.main(deleted)[0], kept))
+        return left or "\n".join(blocks(main, page.kept))
     return "\n".join(blocks(main, kept))
 
 
@@ -253,11 +346,11 @@ def site_templates(pages: DataFrame, url: str = "url", source: str = "html", sha
         for batch in kernels.slices(batches, 1):
             rows = []
             for host, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                root, main, told, found = page_parts(text)
+                page, main, told, found = page_parts(text)
                 if told:
                     rows += [(host, digest, main.digest) for digest in {b"", *(n.digest for n in found)}]
                     continue
-                outside = texts_outside(root, found)
+                outside = texts_outside(page.root, found)
                 seen_by = {(n.digest, outside[id(n)]) for n in found} | {(b"", outside[0])}
                 rows += [(host, digest, around.to_bytes(8)) for digest, around in seen_by]
             hosts, subtrees, mains = zip(*rows, strict=True)
