@@ -394,7 +394,7 @@ class Classifier:
         low: float = 0.005, high: float = 0.995, errors: float = 2.0, prior: float = 60.0, least: int = 50,
     ):
         folder = shared_folder(docs.sparkSession)
-        self.text, self.lang, self.prior = text, lang, prior
+        self.docs, self.text, self.lang, self.prior = docs, text, lang, prior
         rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
         marked = labelled_ids(labels)
         trusted = marked.where("not bad").select("trusted")
@@ -448,16 +448,22 @@ class Classifier:
         clean = (F.coalesce("evidence", F.lit(0.0)) <= limit("worst", self.worst)) & (F.col("again") <= limit("often", self.often))
         return judged.withColumn("kept", (F.col("n") == 0) | F.col("score").between(F.col("low"), F.col("high")) & clean)
 
+    def scored(self, docs: DataFrame) -> DataFrame:
+        """Scores (key, lang, n, loss, evidence, again) of documents: those at hand if the model was fitted to this very table."""
+        if docs is self.docs:
+            return self.scores
+        basic = self.scorer.basic(docs.select(F.col(self.text).alias("text"), F.col(self.lang).alias("lang")), "text", "score")
+        basic = written(basic.select(F.xxhash64("text").alias("key"), "lang", "score"))
+        return self.scorer.losses(basic, self.scorer.gained(docs, self.text))
+
     def kept(self, docs: DataFrame) -> DataFrame:
         """The documents whose score is within the limits."""
-        key, lang = free_name(docs.columns, "key"), free_name([*docs.columns, "key"], "language")
+        taken = list(docs.columns)
+        key, lang, good, of = (taken.append(name) or name for name in (free_name(taken, n) for n in ("key", "language", "good_key", "good_language")))
         named = docs.withColumn(key, F.xxhash64(self.text)).withColumn(lang, F.col(self.lang))
-        basic = self.scorer.basic(docs.select(F.col(self.text).alias("text"), F.col(self.lang).alias("lang")), "text", "score")
-        basic = written(basic.select(F.xxhash64("text").alias("key"), "lang", "score"))
-        judged = self.judged(self.scorer.losses(basic, self.scorer.gained(docs, self.text)))
-        good = judged.where("kept").select(F.col("key").alias("_good"), F.col("lang").alias("_of")).distinct()
-        same = (F.col(key) == F.col("_good")) & F.col(lang).eqNullSafe(F.col("_of"))
-        return named.join(good, same, "left_semi").select(*docs.columns)
+        found = self.judged(self.scored(docs)).where("kept").select(F.col("key").alias(good), F.col("lang").alias(of)).distinct()
+        same = (F.col(key) == F.col(good)) & F.col(lang).eqNullSafe(F.col(of))
+        return named.join(found, same, "left_semi").select(*docs.columns)
 
     def results(self) -> DataFrame:
         """Per document: doc_id, lang, n_bytes, perplexity, score, lower and upper limit, kept."""

@@ -135,6 +135,10 @@ def test_classifier_tells_noise_from_text(spark):
     kept = {r.doc_id for r in model.kept(table).collect()}
     assert kept == {*range(300), 360, 361, 362}
     assert model.kept(table).columns == table.columns
+    # The same documents in another table are scored anew; clashing names of columns do no harm.
+    other = table.withColumns({"key": F.lit(1), "good_key": F.lit(2), "language": F.lit("x"), "_good": F.lit(3), "_of": F.lit(4)})
+    again = model.kept(other)
+    assert again.columns == other.columns and {r.doc_id for r in again.collect()} == kept
     assert {r.doc_id for r in model.results().where("kept").collect()} == kept
     untrained = quality.Classifier(table, labels.limit(0))
     assert untrained.kept(table).count() == len(texts)
