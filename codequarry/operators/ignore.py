@@ -71,8 +71,8 @@ class DirectoryRules(NamedTuple):
 
     ``directories`` has ``dir, base, pruned`` for directories that hold files
     and are pruned or in the scope of such a file, ``base`` being the deepest
-    directory with one. ``chains`` has ``base, rules``: the rules of ``base``
-    and the directories above it, the deciding ones first.
+    directory with one. ``chains`` has ``base, rules, any``: the rules of ``base``
+    and the directories above it, the deciding ones first, and their tests.
     """
 
     directories: DataFrame
@@ -182,7 +182,10 @@ def with_ignore_flags(
         flagged = _with_chain(placed.join(deeper.directories, "dir", "left"), deeper.chains).withColumn(
             "pruned", F.coalesce("pruned", F.lit(False))
         )
-        verdict = F.coalesce(verdict, _nested_verdict(globs.path_form(F.col("rel")), F.col("rules")))
+        form = globs.path_form(F.col("rel"))
+        decided = F.get(F.transform(F.array(form), lambda made: _nested_verdict(made, F.col("rules"))), 0)
+        nested = F.when(_may_match(form, F.col("any")), decided)
+        verdict = F.coalesce(verdict, nested)
     flagged = flagged.withColumn("ignored", _is_ignored(verdict))
     return flagged.select(*files.columns, "pruned", "ignored")
 
@@ -219,15 +222,15 @@ def directory_rules(
     tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = directories.join(deepest, "dir", "left").repartition(tasks, F.xxhash64("dir"))
     settled = _with_chain(placed, chains, keep_base=True).select(
-        "dir", "base", _pruned(F.col("dir"), rules, F.col("rules")).alias("pruned")
+        "dir", "base", _pruned(F.col("dir"), rules, F.col("rules"), F.col("any")).alias("pruned")
     )
     return DirectoryRules(settled.where(F.col("pruned") | F.col("base").isNotNull()), chains)
 
 
 def rule_chains(nested: DataFrame) -> DataFrame:
-    """``base, rules`` of the ``base, rank, text`` rows of ignore files.
+    """``base, rules, any`` of the ``base, rank, text`` rows of ignore files.
 
-    Rows of the root itself are left out: they belong to the root rules. A
+    ``any`` has the tests of all rules, to tell at once that none matches. Rows of the root itself are left out: they belong to the root rules. A
     chain has at most two sets for each level of its base.
     """
     depth = F.size(F.split("base", "/"))
@@ -250,16 +253,58 @@ def rule_chains(nested: DataFrame) -> DataFrame:
         .groupBy("top")
         .agg(F.array_sort(F.collect_list(F.struct(depth.alias("depth"), "rank", "rules"))).alias("sets"))
         .select(F.col("top").alias("base"), F.flatten(F.col("sets.rules")).alias("rules"))
+        .withColumn("any", _merged_tests(F.col("rules")))
     )
 
 
+def _merged_tests(rules: Column) -> Column:
+    """The tests of all rules of a chain, each once and laid out for :func:`_may_match`."""
+
+    def of(kept) -> Column:
+        return F.transform(F.filter(rules, kept), lambda entry: entry["rule"])
+
+    def needles(dir_only: bool) -> Column:
+        kept = of(lambda entry: entry["rule"]["needle"].isNotNull() & (entry["rule"]["dir_only"] == dir_only))
+        return F.array_distinct(F.transform(kept, lambda rule: rule["needle"]))
+
+    others = of(lambda entry: entry["rule"]["needle"].isNull())
+    return F.struct(
+        needles(False).alias("needles"),
+        needles(True).alias("directory_needles"),
+        F.array_distinct(
+            F.transform(others, lambda rule: F.struct(rule["piece"].alias("piece"), rule["regex"].alias("regex")))
+        ).alias("others"),
+    )
+
+
+def _may_match(form: Column, tests: Column) -> Column:
+    """False if no rule of a chain matches a path's form. The search stops at the first that does.
+
+    Most paths match none and are settled here, without looking at which rule decides.
+    """
+
+    def any_of(form: Column) -> Column:
+        return (
+            form["odd"]
+            | F.exists(tests["needles"], lambda needle: F.contains(form["closed"], needle))
+            | F.exists(tests["directory_needles"], lambda needle: F.contains(form["open"], needle))
+            | F.exists(
+                tests["others"],
+                lambda test: F.contains(form["path"], test["piece"]) & F.rlike(form["path"], test["regex"]),
+            )
+        )
+
+    # As the variable of a lambda the form is made once, not for each test.
+    return F.exists(F.array(form), any_of)
+
+
 def _with_chain(rows: DataFrame, chains: DataFrame, keep_base: bool = False) -> DataFrame:
     """``rows`` plus the ``rules`` of their ``base``, null where it is null."""
     # Rows without a base are spread by their directory, not by one null key;
     # no directory name holds a NUL, so they match nothing.
     key = F.coalesce("base", F.concat(F.lit("\0"), "dir"))
     keyed = rows.withColumn("chain", key)
-    rules = chains.select(F.col("base").alias("chain"), "rules")
+    rules = chains.select(F.col("base").alias("chain"), "rules", "any")
     joined = keyed.join(rules, "chain", "left").drop("chain")
     return joined if keep_base else joined.drop("base")
 
@@ -290,7 +335,9 @@ def _nested_verdict(form: Column, rules: Column, above: Column | None = None) ->
     return F.get(F.filter(rules, applies), 0)["rule"]["negate"]
 
 
-def _pruned(directory: Column, rules: Sequence[RootRule], nested: Column | None = None) -> Column:
+def _pruned(
+    directory: Column, rules: Sequence[RootRule], nested: Column | None = None, tests: Column | None = None
+) -> Column:
     """True when a relative directory or one above it is ignored."""
 
     def level(path: Column, above: Column) -> Column:
@@ -313,6 +360,6 @@ def _pruned(directory: Column, rules: Sequence[RootRule], nested: Column | None
     whole = globs.path_form(F.concat(directory, F.lit("/")))
     possible = _any([whole["odd"], *(rule.matches(whole) for rule in rules if not rule.negate)])
     if nested is not None:
-        possible = possible | nested.isNotNull()
+        possible = possible | (nested.isNotNull() & _may_match(whole, tests))
     levels = F.transform(paths.lineage(directory), level)
     return F.when((directory != "") & possible, F.exists(levels, ignored)).otherwise(False)
