@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import language, paths, text as text_fn
 from codequarry.operators import scope
-from codequarry.sources import filetree
+from codequarry.sources import colocated, filetree
 from codequarry.sources.scratch import Staging, scratch_dir
 
 from .corpus import ROOT, SQL, corpus, dirname_sql, table
@@ -198,7 +198,9 @@ def filter_links(spark, folder):
 def join_files_content(spark, folder):
     files = corpus(spark, folder).select("path", "size", "mtime")
     content = corpus(spark, folder).select("path", "text")
-    return files.join(content, "path")
+    location = f"{scratch_dir(spark)}/colocated-{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return colocated.joined(*(colocated.write(rows, location, buckets) for rows in (files, content)))
 
 
 QUERIES = {

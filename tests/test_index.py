@@ -496,3 +496,17 @@ def test_a_deep_tree_takes_few_jobs(spark, tmp_path):
         assert sorted(row.path for row in listing.collect()) == expected
     assert len(tracker.getJobIdsForGroup("deep")) <= 20 and len(rounds) <= 4
     spark.sparkContext.setJobGroup("", "")
+
+
+def test_join_of_colocated_tables_needs_no_exchange(spark, tmp_path):
+    from codequarry.sources import colocated
+
+    files = spark.range(300).selectExpr("concat('/r/', id) as path", "id as size")
+    content = spark.range(100, 500).selectExpr("concat('/r/', id) as path", "repeat('x', id % 7) as text")
+    left, right = (colocated.write(rows, str(tmp_path), 6) for rows in (files, content))
+    joined = colocated.joined(left, right)
+    assert joined.columns == ["path", "size", "text"]
+    assert sorted(map(tuple, joined.collect())) == sorted((f"/r/{k}", k, "x" * (k % 7)) for k in range(100, 300))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert colocated.buckets_for(10**12, 8) == 7451 and colocated.buckets_for(0, 8) == 8
