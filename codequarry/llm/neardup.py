@@ -15,13 +15,18 @@ enough are verified on their exact shingles: first the most alike of each node,
 then all that still lie between different components. With 24 bands of 4 rows a
 pair at similarity 0.8 shares no bucket with probability 3e-6.
 
-That joins nearly all members of a bucket. Buckets that still hold several
-components are then searched whole: every member outside the bucket's largest
-component is compared with all its members, in blocks of at most about ``BLOCK``
-by ``BLOCK`` signatures, so that only pairs that agree often enough leave a task.
-Members of open buckets larger than a block first meet anew in 64 bands of 8 rows,
-which keeps the buckets of unlike texts small; a pair at similarity 0.8 shares none
-of these with probability 8e-6.
+That joins nearly all members of a bucket. Members of buckets that still hold
+several components are then joined on their shingles by prefixes: all texts order
+their shingles alike, rare ones first, and two texts whose similarity is at least
+``least`` share one among the first of each, up to a share of 1 - ``least`` of its
+shingles or of their weight. (Of the linked texts' shingles, or of their weight, at
+least the share ``least`` is common, so no more precedes the first common one.) A
+shared passage is frequent and comes last, so it makes no candidates. Texts that
+share a prefix shingle are compared in blocks of at most about ``BLOCK`` by ``BLOCK``
+signatures, every one outside the shingle's largest component with all, so that
+only pairs that agree often enough leave a task. Frequencies come from ``CELLS``
+counters, whatever the number of shingles; their errors change the order, which is
+the same for all texts, but lose no link.
 
 Two texts are linked if their Jaccard similarity, weighted or plain, is at least
 ``similarity``; classes are the components of links.
@@ -45,8 +50,9 @@ from codequarry.llm.shared import free_name, schema_with, shared_folder, with_co
 
 SIZE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
-FINE_BANDS, FINE_ROWS = 64, 8
 BLOCK = 256
+#: Counters of shingle frequencies.
+CELLS = 1 << 19
 #: How much less often than ``least`` signatures of a pair worth verifying may agree.
 _MARGIN = 0.25
 _SLICE = 2 << 20
@@ -182,31 +188,59 @@ def _alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 def _open_members(met: DataFrame, paired: int) -> DataFrame:
     """(bucket, key, label) of buckets with several labels and more than ``paired`` members, with their size.
 
-    Buckets that were paired need no search up to three members: both drawn ones met all others. Fine buckets were not paired.
+    Buckets that were paired need no search up to three members: both drawn ones met all others. Those of prefixes were not paired.
     """
     open_ = met.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
     return met.join(open_.where((F.col("size") > paired) & (F.col("low") != F.col("high"))).select("bucket", "size"), "bucket")
 
 
-def _fine_buckets(nodes: DataFrame) -> DataFrame:
-    """(key, label, bytes) to (bucket, key, label): buckets of longer bands, drawn from all components."""
-    order = kernels.mix(np.arange(FINE_BANDS * BANDS * ROWS, dtype=_U)).reshape(FINE_BANDS, -1)
-    picks = np.argsort(order, axis=1)[:, :FINE_ROWS]
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """Sums of ``CELLS`` counters: in how many of the sets the shingles of each occur."""
 
-    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
         for batch in batches:
-            if not len(batch):
-                continue
-            parts = _matrix(batch.column(2))
-            out = np.broadcast_to(kernels.mix(np.arange(1, FINE_BANDS + 1, dtype=_U)), (len(parts), FINE_BANDS)).copy()
-            for k in range(FINE_ROWS):
-                out = kernels.mix(out * _U(0x9E3779B97F4A7C15) + parts[:, picks[:, k]])
-            offsets = np.arange(0, out.size + 1, FINE_BANDS, dtype=np.int32)
-            buckets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), buckets], names=["key", "label", "buckets"])
+            total += np.bincount(_cells(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32)), minlength=CELLS)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found])], names=["cell", "n"])
+
+    sums = sets.select("hashes").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.int64)
+    out[sums["cell"].to_numpy()] = sums["n"].to_numpy()
+    return out
+
+
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint32(CELLS)).astype(np.int64)
+
+
+def prefix(hashes: np.ndarray, counts: np.ndarray, frequencies: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles of a multiset in the common order that a multiset of similarity ``least`` may share first.
 
-    found = nodes.select("key", "label", "bytes").mapInArrow(band, "key bigint, label bigint, buckets array<bigint>")
-    return found.select(F.explode("buckets").alias("bucket"), "key", "label")
+    Shingles that no other multiset holds are left out.
+    """
+    often = frequencies[_cells(hashes)]
+    order = np.lexsort((hashes, often))
+    weight = counts[order].astype(np.float64)
+    slack = 1 - least + 1e-9
+    first = (np.arange(len(order)) <= slack * len(order)) | (np.cumsum(weight) - weight <= slack * weight.sum())
+    return hashes[order[first & (often[order] > 1)]]
+
+
+def _prefix_buckets(sets: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """(bucket, key, label): the prefix shingles of each member (key, label)."""
+    frequencies = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            found = [prefix(np.frombuffer(h, np.uint32), np.frombuffer(c, np.uint32), frequencies.value, least) for h, c in packed]
+            row = np.repeat(np.arange(len(batch)), [len(f) for f in found])
+            buckets = np.concatenate([np.zeros(0, np.uint32), *found]).astype(np.int64)
+            some = batch.select([0, 1]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(buckets), *some.columns], names=["bucket", "key", "label"])
+
+    return members.join(sets, "key").select("key", "label", "hashes", "counts").mapInArrow(cut, "bucket bigint, key bigint, label bigint")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -254,13 +288,15 @@ def _searched(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return found.distinct()
 
 
-def _rest(nodes: DataFrame, labels: DataFrame, least: float, folder: str) -> DataFrame:
-    """Pairs (a, b, share) between the components that still meet in a bucket."""
+def _rest(nodes: DataFrame, labels: DataFrame, rows: DataFrame, least: float, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, share) between the components that still meet in a bucket, and the shingle sets of their members."""
     labelled = nodes.where(F.size("bands") > 0).join(labels.withColumnRenamed("node", "key"), "key")
-    coarse = written(_open_members(labelled.select(F.explode("bands").alias("bucket"), "key", "label"), paired=3), folder, "open")
-    crowded = coarse.where(F.col("size") > BLOCK).select("key", "label").distinct()
-    fine = written(_open_members(_fine_buckets(crowded.join(nodes.select("key", "bytes"), "key")), paired=1), folder, "open-fine")
-    return _searched(coarse.where(F.col("size") <= BLOCK).unionByName(fine), nodes, least)
+    met = _open_members(labelled.select(F.explode("bands").alias("bucket"), "key", "label"), paired=3)
+    members = written(met.select("key", "label").distinct(), folder, "open")
+    sets = written(_shingle_sets(rows, nodes.join(members, "key", "left_semi").select("key", "id")), folder, "open-sets")
+    buckets = written(_prefix_buckets(sets, members, least), folder, "prefixes")
+    shared = written(_open_members(buckets, paired=1), folder, "open-prefixes")
+    return _searched(shared, nodes, least - _MARGIN), sets
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -327,15 +363,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(verify, "a bigint, b bigint")
 
 
-def _linked(
-    pairs: DataFrame, best: DataFrame, labels: DataFrame, nodes: DataFrame, rows: DataFrame, least: float, folder: str, name: str,
-) -> DataFrame:
+def _linked(pairs: DataFrame, best: DataFrame, labels: DataFrame, sets: DataFrame, least: float, folder: str, name: str) -> DataFrame:
     """``labels`` (node, label) of all nodes, after the verified links among ``pairs`` have joined their components.
 
     ``best``, some of the pairs (a, b), is verified first, then all pairs that still lie between components.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = written(_shingle_sets(rows, nodes.join(ends, "key", "left_semi").select("key", "id")), folder, f"{name}-sets")
     labels = merged(labels, _verified(best, sets, least), folder, f"{name}-labels-0")
     apart = _with_label(_with_label(pairs.join(best, ["a", "b"], "left_anti"), labels, "a"), labels, "b")
     more = _verified(apart.where("a_label <> b_label").select("a", "b"), sets, least)
@@ -358,12 +390,14 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", least: floa
     each = nodes.select(F.col("key").alias("node"), F.col("key").alias("label"))
     # The most alike partner of each node, later in each component, settles most.
     most = F.max_by("b", "share").alias("b")
-    labels = _linked(pairs, pairs.groupBy("a").agg(most), each, nodes, rows, least, folder, "met")
-    rest = _rest(nodes, labels, least - _MARGIN, folder).join(pairs, ["a", "b"], "left_anti")
-    rest = written(rest, folder, "rest")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = written(_shingle_sets(rows, nodes.join(ends, "key", "left_semi").select("key", "id")), folder, "sets")
+    labels = _linked(pairs, pairs.groupBy("a").agg(most), each, sets, least, folder, "met")
+    found, sets = _rest(nodes, labels, rows, least, folder)
+    rest = written(found.join(pairs, ["a", "b"], "left_anti"), folder, "rest")
     if not rest.isEmpty():
         best = _with_label(rest, labels, "b").groupBy("a", "b_label").agg(most).select("a", "b")
-        labels = _linked(rest, best, labels, nodes, rows, least, folder, "searched")
+        labels = _linked(rest, best, labels, sets, least, folder, "searched")
     node_class = nodes.select("key", "id").join(labels.withColumnRenamed("node", "key"), "key")
     heads = node_class.groupBy("label").agg(F.min("id").alias("class_id"), F.min_by("key", F.struct(F.col("id").isNull(), "id", "key")).alias("keep_key"))
     of_key = written(node_class.join(heads, "label").select("key", "class_id", "keep_key"), folder, "classes")

@@ -94,13 +94,46 @@ def test_links_to_one_member_of_a_large_bucket(spark, monkeypatch, block):
     assert rows(neardup.near_duplicates(frame(spark, apart))) == sorted(brute.classes(apart))
 
 
-def test_fine_buckets_of_two_members_are_open(spark):
-    """Nobody paired the members of a fine bucket, unlike those of a coarse one."""
+def test_prefix_buckets_of_two_members_are_open(spark):
+    """Nobody paired the members of a prefix bucket, unlike those of a band."""
     met = spark.createDataFrame([(1, 10, 10), (1, 11, 11), (2, 10, 10), (2, 12, 10)], "bucket bigint, key bigint, label bigint")
     assert sorted(r.key for r in neardup._open_members(met, paired=1).collect()) == [10, 11]
     assert not neardup._open_members(met, paired=3).collect()
 
 
+def test_half_alike_texts_give_no_candidates(spark):
+    """600 texts that share three quarters of their words meet in many bands, but in no prefix."""
+    draw = random.Random(5)
+    passage = " ".join(f"common{k}" for k in range(150))
+    texts = [(k, passage + " " + " ".join(f"own{draw.randrange(1 << 30)}" for _ in range(50))) for k in range(600)]
+    rows_ = frame(spark, texts).select(F.col("doc_id").alias("id"), "text")
+    nodes = neardup._sketches(rows_).select("key", "id", "bands", "bytes").persist()
+    labels = nodes.select(F.col("key").alias("node"), F.col("key").alias("label"))
+    pairs, sets = neardup._rest(nodes, labels, rows_, 0.8, shared_folder(spark))
+    assert sets.count() > 590
+    assert pairs.count() <= 600
+    assert rows(neardup.near_duplicates(frame(spark, texts))) == [(k, k) for k in range(600)]
+
+
+def test_like_multisets_share_a_prefix_shingle():
+    """Whatever the frequencies, which only order the shingles."""
+    draw = np.random.default_rng(9)
+    linked = 0
+    for _ in range(3000):
+        size = draw.integers(1, 60)
+        universe = draw.choice(1 << 20, size, replace=False).astype(np.uint32)
+        sides = []
+        for _ in range(2):
+            mine = np.sort(universe[draw.random(size) < draw.choice([0.9, 0.95, 1.0])])
+            sides.append((mine, draw.choice([1, 1, 1, 2, 9], len(mine)).astype(np.uint32)))
+        if neardup.similarity(*sides) < 0.8:
+            continue
+        linked += 1
+        frequencies = draw.integers(2, draw.choice([3, 50]), neardup.CELLS)
+        assert np.intersect1d(*(neardup.prefix(*side, frequencies, 0.8) for side in sides)).size
+    assert linked > 500
+
+
 def test_signatures_estimate_probability_jaccard():
     draw = np.random.default_rng(3)
     hashes = kernels.mix(np.arange(1, 401, dtype=np.uint64))
