@@ -22,11 +22,11 @@ their shingles alike, rare ones first, and two texts whose similarity is at leas
 shingles or of their weight. (Of the linked texts' shingles, or of their weight, at
 least the share ``least`` is common, so no more precedes the first common one.) A
 shared passage is frequent and comes last, so it makes no candidates. Texts that
-share a prefix shingle are compared in blocks of at most about ``BLOCK`` by ``BLOCK``
-signatures, every one outside the shingle's largest component with all, so that
-only pairs that agree often enough leave a task. Frequencies come from ``CELLS``
-counters, whatever the number of shingles; their errors change the order, which is
-the same for all texts, but lose no link.
+share a prefix shingle are compared exactly in blocks of about ``BLOCK`` shingles a
+side, every one outside the shingle's largest component with all. A block gives the
+links that join its components and no others, so its output is linear in its
+members. Frequencies come from ``CELLS`` counters, whatever the number of shingles;
+their errors change the order, which is the same for all texts, but lose no link.
 
 Two texts are linked if their Jaccard similarity, weighted or plain, is at least
 ``similarity``; classes are the components of links.
@@ -50,7 +50,8 @@ from codequarry.llm.shared import free_name, schema_with, shared_folder, with_co
 
 SIZE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
-BLOCK = 256
+#: Shingles on a side of a block; one text may hold more.
+BLOCK = 1 << 18
 #: Counters of shingle frequencies.
 CELLS = 1 << 19
 #: How much less often than ``least`` signatures of a pair worth verifying may agree.
@@ -243,60 +244,75 @@ def _prefix_buckets(sets: DataFrame, members: DataFrame, least: float) -> DataFr
     return members.join(sets, "key").select("key", "label", "hashes", "counts").mapInArrow(cut, "bucket bigint, key bigint, label bigint")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
-
-
-def _searched(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """All pairs (a, b, share) of different labels in a bucket whose signatures agree in at least the share ``least``."""
-    of_label = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+def _searched(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join the labels which links between members of a bucket join."""
+    sized = members.drop("size").join(sets.select("key", (F.length("hashes") / 4).alias("size")), "key")
+    of_label = sized.groupBy("bucket", "label").agg(F.sum("size").alias("n"))
     usual = of_label.groupBy("bucket").agg(
         F.max_by("label", F.struct("n", "label")).alias("usual"), (F.sum("n") - F.max("n")).alias("odd"), F.sum("n").alias("all"))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    dealt = (
-        members.drop("size").join(usual, "bucket").join(nodes.select("key", "bytes"), "key")
-        .withColumn("rows", blocks("all")).withColumn("columns", blocks("odd"))
-    )
+    dealt = members.drop("size").join(usual, "bucket").withColumn("rows", blocks("all")).withColumn("columns", blocks("odd"))
     draw = F.xxhash64("key", "bucket")
     # A block compares some of the odd members, its columns, with some of all members, its rows.
     row, column = F.pmod(draw, F.col("rows")).cast("int"), F.pmod(F.xxhash64(draw), F.col("columns")).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    kept = ("bucket", "key", "label", "bytes")
+    kept = ("bucket", "key", "label")
     as_rows = dealt.select(*kept, F.lit(False).alias("odd"), row.alias("row"), F.explode(every("columns")).alias("column"))
     as_columns = dealt.where("label <> usual").select(
         *kept, F.lit(True).alias("odd"), column.alias("column"), F.explode(every("rows")).alias("row"))
 
     def compare(block: pa.Table) -> pa.Table:
-        block = block.combine_chunks()
-        odd = block.column("odd").to_numpy()
-        keys, labels = block.column("key").to_numpy(), block.column("label").to_numpy()
-        parts = _matrix(block.column("bytes").combine_chunks())
-        mine, theirs, shares = [], [], []
-        rows = np.flatnonzero(~odd)
-        for k in np.flatnonzero(odd):
-            share = (parts[rows] == parts[k]).mean(axis=1)
-            good = (share >= least) & (labels[rows] != labels[k])
-            theirs.append(keys[rows[good]])
-            mine.append(np.full(len(theirs[-1]), keys[k]))
-            shares.append(share[good])
-        if not mine:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "share": pa.array([], pa.float64())})
-        x, y = np.concatenate(mine), np.concatenate(theirs)
-        return pa.table({"a": np.maximum(x, y), "b": np.minimum(x, y), "share": np.concatenate(shares)})
-
-    found = as_rows.unionByName(as_columns).groupBy("bucket", "row", "column").applyInArrow(compare, "a bigint, b bigint, share double")
-    return found.distinct()
-
-
-def _rest(nodes: DataFrame, labels: DataFrame, rows: DataFrame, least: float, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, share) between the components that still meet in a bucket, and the shingle sets of their members."""
+        odd, keys = block.column("odd").to_numpy(), block.column("key").to_numpy()
+        packed = zip(block.column("hashes").to_pylist(), block.column("counts").to_pylist(), strict=True)
+        found = joining([(np.frombuffer(h, np.uint32), np.frombuffer(c, np.uint32)) for h, c in packed], odd, block.column("label").to_numpy(), least)
+        a, b = (keys[[pair_[k] for pair_ in found]] for k in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    held = as_rows.unionByName(as_columns).join(sets, "key")
+    return held.groupBy("bucket", "row", "column").applyInArrow(compare, "a bigint, b bigint")
+
+
+def joining(sets: list[tuple[np.ndarray, np.ndarray]], odd: np.ndarray, labels: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Linked pairs of an odd multiset and another one that join labels, no more than labels joined."""
+    rows, out = np.flatnonzero(~odd), []
+    if not len(rows):
+        return out
+    _, component = np.unique(labels, return_inverse=True)
+    sizes = np.array([len(sets[r][0]) for r in rows])
+    starts = np.cumsum(sizes) - sizes
+    universe, place = np.unique(np.concatenate([sets[r][0] for r in rows]), return_inverse=True)
+    shares = np.concatenate([sets[r][1] / sets[r][1].sum() for r in rows])
+    repeats = np.array([sets[r][1].max() > 1 for r in rows])
+    mine = np.zeros(len(universe))
+    for k in np.flatnonzero(odd):
+        hashes, counts = sets[k]
+        at = np.searchsorted(universe, np.unique(hashes))
+        at = at[(at < len(universe))]
+        at = at[np.isin(universe[at], hashes)]
+        mine[at] = 1
+        held = mine[place]
+        common = np.add.reduceat(held, starts)
+        plain = common / (sizes + len(hashes) - common) >= least
+        # Common shingles hold at least the similarity's share of each weight.
+        maybe = ~plain & (repeats | (counts.max() > 1)) & (np.add.reduceat(held * shares, starts) >= least - 1e-9)
+        mine[at] = 0
+        for r, sure in [(r, True) for r in np.flatnonzero(plain)] + [(r, False) for r in np.flatnonzero(maybe)]:
+            other, own = component[rows[r]], component[k]
+            if other != own and (sure or similarity(sets[rows[r]], sets[k]) >= least):
+                component[component == other] = own
+                out.append((k, rows[r]))
+    return out
+
+
+def _rest(nodes: DataFrame, labels: DataFrame, rows: DataFrame, least: float, folder: str) -> DataFrame:
+    """Links (a, b) that join the components which still meet in a bucket."""
     labelled = nodes.where(F.size("bands") > 0).join(labels.withColumnRenamed("node", "key"), "key")
     met = _open_members(labelled.select(F.explode("bands").alias("bucket"), "key", "label"), paired=3)
     members = written(met.select("key", "label").distinct(), folder, "open")
     sets = written(_shingle_sets(rows, nodes.join(members, "key", "left_semi").select("key", "id")), folder, "open-sets")
     buckets = written(_prefix_buckets(sets, members, least), folder, "prefixes")
     shared = written(_open_members(buckets, paired=1), folder, "open-prefixes")
-    return _searched(shared, nodes, least - _MARGIN), sets
+    return _searched(shared, sets, least)
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -363,17 +379,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(verify, "a bigint, b bigint")
 
 
-def _linked(pairs: DataFrame, best: DataFrame, labels: DataFrame, sets: DataFrame, least: float, folder: str, name: str) -> DataFrame:
-    """``labels`` (node, label) of all nodes, after the verified links among ``pairs`` have joined their components.
-
-    ``best``, some of the pairs (a, b), is verified first, then all pairs that still lie between components.
-    """
-    labels = merged(labels, _verified(best, sets, least), folder, f"{name}-labels-0")
-    apart = _with_label(_with_label(pairs.join(best, ["a", "b"], "left_anti"), labels, "a"), labels, "b")
-    more = _verified(apart.where("a_label <> b_label").select("a", "b"), sets, least)
-    return merged(labels, more, folder, f"{name}-labels-1")
-
-
 def _with_label(pairs: DataFrame, labels: DataFrame, side: str) -> DataFrame:
     return pairs.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label")), side)
 
@@ -388,16 +393,15 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", least: floa
         folder, "nodes")
     pairs = written(_alike(_candidates(nodes.where(F.size("bands") > 0)), nodes, least - _MARGIN), folder, "pairs")
     each = nodes.select(F.col("key").alias("node"), F.col("key").alias("label"))
-    # The most alike partner of each node, later in each component, settles most.
+    # The most alike partner of each node settles most.
     most = F.max_by("b", "share").alias("b")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     sets = written(_shingle_sets(rows, nodes.join(ends, "key", "left_semi").select("key", "id")), folder, "sets")
-    labels = _linked(pairs, pairs.groupBy("a").agg(most), each, sets, least, folder, "met")
-    found, sets = _rest(nodes, labels, rows, least, folder)
-    rest = written(found.join(pairs, ["a", "b"], "left_anti"), folder, "rest")
-    if not rest.isEmpty():
-        best = _with_label(rest, labels, "b").groupBy("a", "b_label").agg(most).select("a", "b")
-        labels = _linked(rest, best, labels, sets, least, folder, "searched")
+    best = pairs.groupBy("a").agg(most)
+    labels = merged(each, _verified(best, sets, least), folder, "best-labels")
+    apart = _with_label(_with_label(pairs.join(best, ["a", "b"], "left_anti"), labels, "a"), labels, "b")
+    labels = merged(labels, _verified(apart.where("a_label <> b_label").select("a", "b"), sets, least), folder, "met-labels")
+    labels = merged(labels, _rest(nodes, labels, rows, least, folder), folder, "searched-labels")
     node_class = nodes.select("key", "id").join(labels.withColumnRenamed("node", "key"), "key")
     heads = node_class.groupBy("label").agg(F.min("id").alias("class_id"), F.min_by("key", F.struct(F.col("id").isNull(), "id", "key")).alias("keep_key"))
     of_key = written(node_class.join(heads, "label").select("key", "class_id", "keep_key"), folder, "classes")

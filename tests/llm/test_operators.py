@@ -76,7 +76,7 @@ def test_near_duplicates_of_repeated_rows_and_none(spark, docs, empty):
     assert not neardup.deduplicated(empty).collect()
 
 
-@pytest.mark.parametrize("block", [8, 256])
+@pytest.mark.parametrize("block", [9_000, neardup.BLOCK])
 def test_links_to_one_member_of_a_large_bucket(spark, monkeypatch, block):
     """Variants are like the text they stem from, few are like another variant."""
     monkeypatch.setattr(neardup, "BLOCK", block)
@@ -109,9 +109,10 @@ def test_half_alike_texts_give_no_candidates(spark):
     rows_ = frame(spark, texts).select(F.col("doc_id").alias("id"), "text")
     nodes = neardup._sketches(rows_).select("key", "id", "bands", "bytes").persist()
     labels = nodes.select(F.col("key").alias("node"), F.col("key").alias("label"))
-    pairs, sets = neardup._rest(nodes, labels, rows_, 0.8, shared_folder(spark))
-    assert sets.count() > 590
-    assert pairs.count() <= 600
+    folder = shared_folder(spark)
+    assert not neardup._rest(nodes, labels, rows_, 0.8, folder).count()
+    assert spark.read.parquet(f"{folder}/open").count() > 590
+    assert spark.read.parquet(f"{folder}/open-prefixes").count() <= 600
     assert rows(neardup.near_duplicates(frame(spark, texts))) == [(k, k) for k in range(600)]
 
 
@@ -134,6 +135,31 @@ def test_like_multisets_share_a_prefix_shingle():
     assert linked > 500
 
 
+def test_links_of_a_block_join_what_all_links_join():
+    draw = np.random.default_rng(4)
+    for _ in range(150):
+        universe = draw.choice(1 << 20, 30, replace=False).astype(np.uint32)
+        sets = []
+        for _ in range(draw.integers(2, 14)):
+            mine = np.sort(universe[draw.random(30) < 0.93])
+            sets.append((mine, draw.choice([1, 1, 1, 1, 7], len(mine)).astype(np.uint32)))
+        labels = draw.integers(0, 8, len(sets))
+        both = np.concatenate((np.arange(len(sets)), np.flatnonzero(labels != labels[0])))
+        odd = np.arange(len(both)) >= len(sets)
+        links = [(int(both[a]), int(both[b])) for a, b in neardup.joining([sets[k] for k in both], odd, labels[both], 0.8)]
+        assert len(links) < len(set(labels)) or not links
+        assert all(neardup.similarity(sets[a], sets[b]) >= 0.8 for a, b in links)
+
+        def joined(pairs):
+            of = list(labels)
+            for a, b in pairs:
+                of = [of[a] if x == of[b] else x for x in of]
+            return {(a, b) for a in range(len(of)) for b in range(len(of)) if of[a] == of[b]}
+
+        every = [(a, b) for a in range(len(sets)) for b in range(a) if labels[a] != labels[b] and neardup.similarity(sets[a], sets[b]) >= 0.8]
+        assert joined(links) == joined(every)
+
+
 def test_signatures_estimate_probability_jaccard():
     draw = np.random.default_rng(3)
     hashes = kernels.mix(np.arange(1, 401, dtype=np.uint64))
