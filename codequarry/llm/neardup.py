@@ -22,10 +22,11 @@ their shingles alike, rare ones first, and two texts whose similarity is at leas
 shingles or of their weight. (Of the linked texts' shingles, or of their weight, at
 least the share ``least`` is common, so no more precedes the first common one.) A
 shared passage is frequent and comes last, so it makes no candidates. Texts that
-share a prefix shingle are compared exactly in blocks of about ``BLOCK`` shingles a
-side, every one outside the shingle's largest component with all. A block gives the
-links that join its components and no others, so its output is linear in its
-members. Frequencies come from ``CELLS`` counters, whatever the number of shingles;
+share a prefix shingle are compared in blocks, every one outside the shingle's
+largest component with all: first by signatures, which leave of each prefix shingle
+the members with a partner that agrees often enough and shares no smaller prefix
+shingle, then exactly. A block gives members or links that join its components, not
+pairs, so its output is linear in its members. Frequencies come from ``CELLS`` counters, whatever the number of shingles;
 their errors change the order, which is the same for all texts, but lose no link.
 
 Two texts are linked if their Jaccard similarity, weighted or plain, is at least
@@ -50,7 +51,7 @@ from codequarry.llm.shared import free_name, schema_with, shared_folder, with_co
 
 SIZE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
-#: Shingles on a side of a block; one text may hold more.
+#: Shingles on a side of a block; one text may hold more. A signature counts as many as it has components.
 BLOCK = 1 << 18
 #: Counters of shingle frequencies.
 CELLS = 1 << 19
@@ -244,14 +245,13 @@ def _prefix_buckets(sets: DataFrame, members: DataFrame, least: float) -> DataFr
     return members.join(sets, "key").select("key", "label", "hashes", "counts").mapInArrow(cut, "bucket bigint, key bigint, label bigint")
 
 
-def _searched(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) that join the labels which links between members of a bucket join."""
-    sized = members.drop("size").join(sets.select("key", (F.length("hashes") / 4).alias("size")), "key")
-    of_label = sized.groupBy("bucket", "label").agg(F.sum("size").alias("n"))
+def _blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members (bucket, key, label) of each block (bucket, row, column), odd or not; ``sizes`` has the size of each key."""
+    of_label = members.join(sizes, "key").groupBy("bucket", "label").agg(F.sum("size").alias("n"))
     usual = of_label.groupBy("bucket").agg(
         F.max_by("label", F.struct("n", "label")).alias("usual"), (F.sum("n") - F.max("n")).alias("odd"), F.sum("n").alias("all"))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    dealt = members.drop("size").join(usual, "bucket").withColumn("rows", blocks("all")).withColumn("columns", blocks("odd"))
+    dealt = members.join(usual, "bucket").withColumn("rows", blocks("all")).withColumn("columns", blocks("odd"))
     draw = F.xxhash64("key", "bucket")
     # A block compares some of the odd members, its columns, with some of all members, its rows.
     row, column = F.pmod(draw, F.col("rows")).cast("int"), F.pmod(F.xxhash64(draw), F.col("columns")).cast("int")
@@ -260,6 +260,43 @@ def _searched(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     as_rows = dealt.select(*kept, F.lit(False).alias("odd"), row.alias("row"), F.explode(every("columns")).alias("column"))
     as_columns = dealt.where("label <> usual").select(
         *kept, F.lit(True).alias("odd"), column.alias("column"), F.explode(every("rows")).alias("row"))
+    return as_rows.unionByName(as_columns)
+
+
+def _promising(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Members (bucket, key, label) with a partner of another label there.
+
+    Signatures of partners agree in at least the share ``least``, and they meet in no smaller bucket.
+    """
+    signed = nodes.join(members.groupBy("key").agg(F.collect_list("bucket").alias("others")), "key").select("key", "bytes", "others")
+    sizes = signed.select("key", (F.length("bytes") + F.size("others")).alias("size"))
+
+    def compare(block: pa.Table) -> pa.Table:
+        odd, keys, labels = (block.column(c).to_numpy() for c in ("odd", "key", "label"))
+        bucket = block.column("bucket")[0].as_py()
+        parts = np.frombuffer(b"".join(block.column("bytes").to_pylist()), np.uint8).reshape(len(keys), -1)
+        lists = block.column("others").combine_chunks()
+        smaller, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(keys)), lists.value_lengths().to_numpy())
+        smaller, owner = smaller[smaller < bucket], owner[smaller < bucket]
+        bounds = np.searchsorted(owner, np.arange(len(keys) + 1))
+        universe, place = np.unique(smaller, return_inverse=True)
+        mine, good = np.zeros(len(universe)), np.zeros(len(keys), bool)
+        for k in np.flatnonzero(odd):
+            own = place[bounds[k] : bounds[k + 1]]
+            mine[own] = 1
+            earlier = np.bincount(owner, mine[place], len(keys))
+            mine[own] = 0
+            near = ~odd & (labels != labels[k]) & (earlier == 0) & ((parts == parts[k]).mean(axis=1) >= least)
+            good |= near
+            good[k] = near.any()
+        return pa.table({"bucket": np.full(good.sum(), bucket), "key": keys[good], "label": labels[good]})
+
+    held = _blocks(members, sizes).join(signed, "key")
+    return held.groupBy("bucket", "row", "column").applyInArrow(compare, "bucket bigint, key bigint, label bigint").distinct()
+
+
+def _searched(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join the labels which links between members of a bucket join."""
 
     def compare(block: pa.Table) -> pa.Table:
         odd, keys = block.column("odd").to_numpy(), block.column("key").to_numpy()
@@ -268,7 +305,7 @@ def _searched(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         a, b = (keys[[pair_[k] for pair_ in found]] for k in (0, 1))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    held = as_rows.unionByName(as_columns).join(sets, "key")
+    held = _blocks(members, sets.select("key", (F.length("hashes") / 4).alias("size"))).join(sets, "key")
     return held.groupBy("bucket", "row", "column").applyInArrow(compare, "a bigint, b bigint")
 
 
@@ -311,8 +348,9 @@ def _rest(nodes: DataFrame, labels: DataFrame, rows: DataFrame, least: float, fo
     members = written(met.select("key", "label").distinct(), folder, "open")
     sets = written(_shingle_sets(rows, nodes.join(members, "key", "left_semi").select("key", "id")), folder, "open-sets")
     buckets = written(_prefix_buckets(sets, members, least), folder, "prefixes")
-    shared = written(_open_members(buckets, paired=1), folder, "open-prefixes")
-    return _searched(shared, sets, least)
+    shared = written(_open_members(buckets, paired=1).drop("size"), folder, "open-prefixes")
+    promising = written(_promising(shared, nodes, least - _MARGIN), folder, "promising")
+    return _searched(promising, sets, least)
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
