@@ -304,6 +304,32 @@ def test_buckets_are_in_suffix_order():
     assert [sorted(set(strings)).index(s) for s in strings] == found.tolist()
 
 
+def test_buckets_of_periodic_and_random_bytes():
+    draw = np.random.default_rng(4)
+    for turn in range(300):
+        size, length = int(draw.integers(30, 150)), int(draw.integers(1, 30))
+        data = draw.integers(0, int(draw.integers(1, 4)), size).astype(np.uint8)
+        if turn % 3 == 0:
+            data = np.tile(data[: int(draw.integers(1, 9))], 20)[: max(size // 4, 1)]
+        data[draw.integers(0, len(data))] = 255
+        if len(data) < length:
+            continue
+        places = np.flatnonzero(draw.integers(0, 2, len(data) - length + 1))
+        found = suffixes.buckets(data, length, int(draw.integers(1, 8)), places, portion=int(draw.integers(1, 20)))
+        strings = [data[k : k + length].tobytes() for k in places]
+        assert [sorted(set(strings)).index(s) for s in strings] == found.tolist()
+
+
+def test_pointers_are_refined_bucket_by_bucket():
+    """Only buckets of several members are sorted, and each suffix points to the place where its bucket begins."""
+    data = np.frombuffer(b"abcabcabx" * 30 + b"abcabcaby", np.uint8)
+    order, pointer = suffixes.suffix_order(data, 40, first=3, portion=4)
+    strings = [data[k : k + 40].tobytes() for k in order]
+    assert strings == sorted(strings)
+    for place, k in enumerate(order):
+        assert pointer[k] <= place and strings[pointer[k]] == strings[place]
+
+
 def test_streamed_groups_in_tiny_batches(spark):
     draw = random.Random(2)
     items = [(draw.randrange(4), draw.randrange(3), draw.randrange(50), 0, k, False) for k in range(300)]
