@@ -18,6 +18,7 @@ order of id, nulls first, then of text; repeated rows are separate sequences.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -46,6 +47,15 @@ _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_CHARS = dict.fromkeys(range(256)) | {b: b for b in _PRINTABLE}
 _BYTE_CHARS |= {b: 256 + k for k, b in enumerate(b for b in range(256) if _BYTE_CHARS[b] is None)}
 
+#: Fixed values of a tokenizer file: the normalizer and pre-tokenizer that let words be encoded on their own.
+_BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
 
 def masked(data: bytes) -> int:
     """CRC-32, rotated and shifted, so that checksums of data that holds checksums stay sound."""
@@ -79,9 +89,10 @@ def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
 class WordEncoder:
     """Ids of texts by the tokenizers library, with the ids of words kept.
 
-    The file's pre-tokenizer never joins across spaces or line feeds and its
-    normalizer is the same on either side of them, so a text is encoded word by
-    word. A word of letters and closing marks is two pieces to the tokenizer.
+    Where the file's normalizer and pre-tokenizer are the known ones, which never
+    join across spaces or line feeds, a text is encoded word by word, and a word of
+    letters and closing marks is two pieces to the tokenizer. By any other file
+    texts are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -89,6 +100,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as file:
+            given = json.load(file)
+        self.by_word = all(given.get(part) == known for part, known in _BY_WORD.items()) and not any(
+            token["lstrip"] or token["rstrip"] or re.search(r"\s", token["content"]) for token in given.get("added_tokens") or [])
         self.width = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {"": b""}
@@ -122,6 +139,9 @@ class WordEncoder:
         self.known.update((word, self._stem(stem) + self.known[tail]) for word, stem, tail in split)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_word:
+            encoded = self.tokenizer.encode_batch_fast([text or "" for text in texts], add_special_tokens=False)
+            return [np.array(e.ids, self.width).tobytes() for e in encoded]
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
         if len(self.stems) > CACHE_STEMS:

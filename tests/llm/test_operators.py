@@ -569,6 +569,17 @@ def test_encoder_equals_the_tokenizer(text):
     assert np.frombuffer(encode([text])[0], encode.width).tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+
+    assert records.encoder(tokenizer_path()).by_word
+    for name in ("byte_bpe_50k.json",):
+        encode = records.encoder(public_tokenizers.path(name))
+        texts = ["Two words,  three\nlines\n\n of text's", "", None, "É 12345 <|endoftext|> x" * 50]
+        found = [np.frombuffer(ids, encode.width).tolist() for ids in encode(texts)]
+        assert found == [encode.tokenizer.encode(text or "", add_special_tokens=False).ids for text in texts]
+
+
 def test_damaged_records_are_found():
     good = records.frame(b"payload")
     assert records.unframe(good) == b"payload"
