@@ -8,7 +8,8 @@ span, and of texts without any, at most ``sample_docs`` / 5 documents. Its
 labels are the base spans and variants of them that miss their pattern: phones
 without plus sign, cards and addresses with other separators, e-mail addresses
 with "(at)". Features do not spell the patterns out: shapes, neighbours, lengths,
-check digits. Spans it finds are added where they overlap none of the base.
+check digits, and the shapes of up to ``NEAR`` tokens of the same word to each
+side, at every place of words of any length. Spans it finds are added where they overlap none of the base.
 Stretches of more than ``MOST_TOKENS`` tokens are no examples, as training costs
 grow with their length; they are decoded like all others.
 
@@ -43,9 +44,10 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CUE = re.compile(r"[0-9@]|[(\[]at[)\]]")
 #: Longest stretch to train from.
 MOST_TOKENS = 60
+#: Tokens of a word to each side of a token that its features see.
+NEAR = 12
 _WORD = re.compile(r"\S+")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
-_PIECE = re.compile(r"[^\W\d_]+|[0-9]+")
 LABELS = ("O", *(f"{place}-{kind}" for kind in KINDS for place in "BI"))
 _N = len(LABELS)
 
@@ -115,10 +117,13 @@ def tokens(text: str, begin: int, end: int) -> tuple[list[tuple[int, int]], list
     """Tokens of a stretch and the features of each."""
     places, words = [], []
     for word in _WORD.finditer(text, begin, end):
-        shape = _PIECE.sub(lambda m: "9" if m[0][0].isdigit() else "a", word[0][:64])
-        for m in _TOKEN.finditer(text, word.start(), word.end()):
-            places.append(m.span())
-            words.append((shape, m.start() == word.start(), m.end() == word.end()))
+        pieces = [m.span() for m in _TOKEN.finditer(text, word.start(), word.end())]
+        marks = ["9" if text[a] in "0123456789" else "a" if text[a].isalpha() else text[a] for a, _ in pieces]
+        for k, place in enumerate(pieces):
+            # The word around the token; the token itself is marked, so that each has its own place.
+            shape = f"{''.join(marks[max(0, k - NEAR) : k])}^{''.join(marks[k : k + 1 + NEAR])}"
+            places.append(place)
+            words.append((shape, k == 0, k == len(pieces) - 1))
     shapes = ["<", *(_shape(text[a:b]) for a, b in places), ">"]
     rows = []
     for k, (a, b) in enumerate(places):
