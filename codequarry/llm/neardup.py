@@ -9,8 +9,8 @@ signatures agree in a component with the probability Jaccard similarity.
 
 Texts of equal words are one node from the start. Nodes that share a band of
 ``rows`` components meet in a bucket; each is paired with two pseudo-random
-members of it, other ones in each bucket, and with its neighbour in a third order,
-so a bucket of n nodes gives at most 3n pairs. Pairs whose signatures agree often
+members of it, the same ones in buckets of the same members, and with a neighbour,
+another one in each bucket, so a bucket of n nodes gives at most 3n pairs. Pairs whose signatures agree often
 enough are verified on their exact shingles: first the most alike of each node,
 then all that still lie between different components. With 24 bands of 4 rows a
 pair at similarity 0.8 shares no bucket with probability 3e-6.
@@ -155,7 +155,8 @@ def _keyed(docs: DataFrame, text: str, name: str) -> DataFrame:
 def _candidates(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes in a common bucket, a above b, at most three for each node and bucket."""
     rows = nodes.select("key", F.explode("bands").alias("bucket"))
-    drawn = F.struct(F.xxhash64("key", "bucket").alias("draw"), "key")
+    # Of one draw in all buckets, so that nodes that share many of them are paired with few heads.
+    drawn = F.struct(F.xxhash64("key").alias("draw"), "key")
     heads = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(drawn).alias("low"), F.max(drawn).alias("high")).where("n > 1")
     met = rows.join(heads.select("bucket", F.col("low.key").alias("low"), F.col("high.key").alias("high")), "bucket")
     # Some more orders than one: neighbours among the members of a bucket that its draw deals to one of its parts.
