@@ -598,7 +598,7 @@ def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     folder = "/root/testdata/sf0.001"
     connection = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         connection.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
     expected = connection.sql(ORACLES[name])
     found = QUERIES[name](spark, folder)
