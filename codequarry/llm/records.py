@@ -24,10 +24,12 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
@@ -36,12 +38,14 @@ from codequarry.llm import kernels
 
 FILE_BYTES = 256 << 20
 CACHE_WORDS, CACHE_STEMS = 300_000, 800_000
+#: Text whose different words are encoded together.
+_ENCODE_SLICE = 8 << 20
 
 _LENGTH, _CHECK = struct.Struct("<Q"), struct.Struct("<I")
 #: Marks that end a word and never join letters in the tokenizer's split pattern.
 _TAIL = ".,;:!?#$%&*"
 #: Letters for which lower case and composition are the same in any order: Latin without the dotted capital I.
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ſ]+")
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-įı-ſ]+"
 #: The byte-level alphabet: printable Latin-1 stands for itself, the other bytes are counted on from 256.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_CHARS = dict.fromkeys(range(256)) | {b: b for b in _PRINTABLE}
@@ -90,9 +94,9 @@ class WordEncoder:
     """Ids of texts by the tokenizers library, with the ids of words kept.
 
     Where the file's normalizer and pre-tokenizer are the known ones, which never
-    join across spaces or line feeds, a text is encoded word by word, and a word of
-    letters and closing marks is two pieces to the tokenizer. By any other file
-    texts are encoded whole.
+    join across spaces or line feeds, the different words of a list of texts are
+    encoded, and a word of letters and closing marks is two pieces to the
+    tokenizer. By any other file texts are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -108,50 +112,72 @@ class WordEncoder:
             token["lstrip"] or token["rstrip"] or re.search(r"\s", token["content"]) for token in given.get("added_tokens") or [])
         self.width = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
 
-    def _stem(self, stem: str) -> bytes:
-        """Ids of lower-case letters, which are one piece to the tokenizer."""
-        ids = self.stems.get(stem)
-        if ids is None:
-            piece = stem if stem.isascii() else stem.encode().decode("latin-1").translate(_BYTE_CHARS)
-            ids = np.array([t.id for t in self.model.tokenize(piece)], self.width).tobytes()
-            self.stems[stem] = ids
-        return ids
-
-    def _packed(self, words: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        self.known.update((word, np.array(e.ids, self.width).tobytes()) for word, e in zip(words, encoded, strict=True))
-
-    def _learn(self, words: set[str]) -> None:
-        split, single = [], set()
-        for word in words:
-            stem = word.rstrip(_TAIL)
-            if _LETTERS.fullmatch(stem):
-                tail = word[len(stem):]
-                split.append((word, stem.lower(), tail))
-                if tail:
-                    single.add(tail)
-            else:
-                single.add(word)
-        self._packed([word for word in single if word not in self.known])
-        self.known.update((word, self._stem(stem) + self.known[tail]) for word, stem, tail in split)
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+    def _stems(self, stems: list[str]) -> list[bytes]:
+        """Ids of lower-case letters that are one piece each to the tokenizer."""
+        if len(self.stems) > CACHE_STEMS:
+            self.stems = {}
+        known, tokenize, kind = self.stems, self.model.tokenize, self.width.char
+        for stem in stems:
+            if stem not in known:
+                piece = stem if stem.isascii() else stem.encode().decode("latin-1").translate(_BYTE_CHARS)
+                known[stem] = array(kind, [t.id for t in tokenize(piece)]).tobytes()
+        return [known[stem] for stem in stems]
+
+    def _others(self, words: list[str]) -> list[bytes]:
+        """Ids of words of any kind."""
+        if len(self.known) > CACHE_WORDS:
+            self.known = {}
+        missing = [word for word in words if word not in self.known]
+        encoded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
+        self.known.update((word, np.array(e.ids, self.width).tobytes()) for word, e in zip(missing, encoded, strict=True))
+        return [self.known[word] for word in words]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words, one word after the other, and the bounds of the words."""
+        stems = pc.utf8_rtrim(words, characters=_TAIL)
+        plain = pc.match_substring_regex(stems, f"^{_LETTERS}$")
+        stems, places = _encoded(pc.utf8_lower(stems.filter(plain)))
+        tails, ends = _encoded(pc.replace_substring_regex(words.filter(plain), f"^{_LETTERS}", "", max_replacements=1))
+        others, plain = words.filter(pc.invert(plain)).to_pylist(), plain.to_numpy(zero_copy_only=False)
+        data, bounds = self._joined([*self._stems(stems), *self._others(tails), *self._others(others)])
+        # Two pieces a word: letters and tail, or the word and nothing.
+        pieces = np.zeros((len(words), 2), np.int64)
+        pieces[plain, 0], pieces[plain, 1] = places, len(stems) + ends
+        pieces[~plain, 0], pieces[~plain, 1] = len(stems) + len(tails) + np.arange(len(others)), len(bounds) - 1
+        data, ends = _gathered(data, np.append(bounds, bounds[-1]), pieces.reshape(-1))
+        return data, ends[::2]
+
+    def _joined(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.width.itemsize
+        return np.frombuffer(b"".join(pieces), self.width), np.concatenate(([0], np.cumsum(sizes)))
+
+    def __call__(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         if not self.by_word:
+            texts = texts.to_pylist() if isinstance(texts, pa.Array) else texts
             encoded = self.tokenizer.encode_batch_fast([text or "" for text in texts], add_special_tokens=False)
             return [np.array(e.ids, self.width).tobytes() for e in encoded]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
-        if len(self.stems) > CACHE_STEMS:
-            self.stems = {}
-        rows = [(text or "").replace("\n", " ").split(" ") for text in texts]
-        missing = set().union(*rows) - self.known.keys()
-        if missing:
-            self._learn(missing)
-        known = self.known
-        return [b"".join([known[word] for word in row]) for row in rows]
+        texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        rows = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        numbered = rows.flatten().dictionary_encode()
+        data, bounds = _gathered(*self._words(numbered.dictionary), numbered.indices.to_numpy())
+        bounds = bounds[np.concatenate(([0], np.cumsum(pc.list_value_length(rows).to_numpy())))]
+        return [data[start:end].tobytes() for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+def _encoded(column: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Different values, and the place of each row's among them."""
+    column = column.dictionary_encode()
+    return column.dictionary.to_pylist(), column.indices.to_numpy().astype(np.int64)
+
+
+def _gathered(data: np.ndarray, bounds: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of ``data`` at ``places``, one after the other, and their bounds."""
+    sizes = np.diff(bounds)[places]
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    return data[np.arange(ends[-1]) + np.repeat(bounds[places] - ends[:-1], sizes)], ends
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -188,9 +214,9 @@ def write_records(
         end = np.array([end_id], encode.width).tobytes()
         width, stream, before, number = encode.width.itemsize, None, 0, 0
         name, at = "", 0
-        for batch in kernels.slices(batches, 1):
+        for batch in kernels.slices(batches, 1, _ENCODE_SLICE):
             index = []
-            for ids in encode(batch.column(1).to_pylist()):
+            for ids in encode(batch.column(1)):
                 if stream is None or at > FILE_BYTES:
                     if stream is not None:
                         stream.close()

@@ -6,6 +6,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -569,6 +570,20 @@ def test_encoder_equals_the_tokenizer(text):
     assert np.frombuffer(encode([text])[0], encode.width).tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_takes_arrow_columns_and_keeps_letters_once(monkeypatch):
+    monkeypatch.setattr(records, "CACHE_STEMS", 3)
+    draw, signs = random.Random(5), "abCÉſİßı .,'\n\r!$%1\u0301\u00a0\u2028文"
+    texts = ["".join(draw.choices(signs, k=draw.randrange(30))) for _ in range(2000)] + [None, "", " ", "\n \n", "a.", "A,a.. a"]
+    encode = records.WordEncoder(tokenizer_path())
+    for k in range(3):
+        found = encode(pa.array(texts)[k * 600 :])
+        whole = encode.tokenizer.encode_batch_fast([text or "" for text in texts[k * 600 :]], add_special_tokens=False)
+        assert [np.frombuffer(ids, encode.width).tolist() for ids in found] == [e.ids for e in whole]
+    encode(["Quz quz, QUZ! quz.. qUz"])
+    assert "quz" in encode.stems and not any("quz" in word.lower() for word in encode.known)
+    assert encode([]) == [] and encode([None, ""]) == [b"", b""]
+
+
 def test_other_tokenizers_encode_whole_texts():
     import public_tokenizers
 
