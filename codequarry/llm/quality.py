@@ -39,6 +39,7 @@ scores do not depend on the order of rows.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from statistics import NormalDist
@@ -48,10 +49,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codequarry.llm import kernels
-from codequarry.llm.shared import free_name, schema_with, shared_folder, with_column, written
+from codequarry.llm.shared import dropped, free_name, schema_with, shared_folder, with_column, written, written_alone
 
 ORDER = 4
-_COUNT_SLICE = 8 << 20
+_COUNT_SLICE = 4 << 20
 
 
 def _symbols() -> np.ndarray:
@@ -137,7 +138,8 @@ def loss_table(order: np.ndarray, key: np.ndarray, term: np.ndarray) -> np.ndarr
         # The lower order does not see the first symbol of the context.
         p = (weight.reshape(-1, 64 ** (n - 2) if n > 1 else 1)[:, :, None] * p.reshape(1, -1, 64)).reshape(-1)
         p[key[order == n]] += term[order == n].astype(np.float32)
-    return -np.log(p)
+    np.log(p, out=p)
+    return np.negative(p, out=p)
 
 
 def trusted_ids(labels: DataFrame, id: str = "doc_id") -> DataFrame:
@@ -161,6 +163,11 @@ _CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 2
 _START, _PAIR, _FOLD = (np.uint64(x) for x in (0x5851F42D4C957F2D, 0x9E3779B97F4A7C15, 0xD1342543DE82EF95))
 #: Terms are rounded to multiples of its inverse.
 _UNIT = 1 << 20
+_HALF, _ROW, _WHOLE = (np.uint64(x) for x in (32, 40, 64))
+#: Pairs are joined in so many portions, as are documents with the model, so that the files of one are gone before the next.
+PORTIONS = 2
+#: Text that asks of one group of the model, and text that asks by one row.
+_GROUP_BYTES, _ASK_SLICE, _LOW = 16 << 20, 1 << 20, 8
 #: Words without repeats that each text is taken to have besides its own.
 _DRAWN = 10
 
@@ -216,9 +223,12 @@ def _before(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return before, first
 
 
-def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An index of each distinct tuple, and the number of that tuple for each row."""
-    order = np.lexsort(columns[::-1])
+def _groups(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An index of each distinct tuple, and the number of that tuple for each row.
+
+    Equal tuples have equal keys. Where different ones do too, a tuple can get several numbers.
+    """
+    order = np.argsort(key)
     new = np.zeros(len(order), bool)
     new[:1] = True
     for column in columns:
@@ -245,12 +255,15 @@ def word_counts(texts: DataFrame, spelling) -> DataFrame:
             hashes, fold = kernels.span_hashes(kernels.BYTE_CODES[data], starts, ends), folds(data, bounds)[rows]
             before, _first = _before(rows, hashes)
             of_bad = bad[rows]
-            one, number = _groups(fold, hashes)
-            met, _ = _groups(number, rows)
+            one, number = _groups(of_fold(hashes, fold), fold, hashes)
+            place = number * len(batch) + rows
+            met, _ = _groups(place, place)
             toxic = np.bincount(number[met], of_bad[met], len(one)).astype(np.int64)
             good = np.bincount(number[met], minlength=len(one)) - toxic
             ours = np.flatnonzero(~of_bad)
-            two, times = _groups(fold[ours], before[ours], hashes[ours])
+            # Pairs of a word before stay together, which compresses well.
+            near = of_fold(before, fold) >> _HALF << _HALF | hashes >> _HALF
+            two, times = _groups(near[ours], fold[ours], before[ours], hashes[ours])
             n, two = np.bincount(times, minlength=len(two)), ours[two]
             none, signed = np.zeros(len(two), np.int64), lambda x: x.view(np.int64)
             at = np.concatenate((one, two))
@@ -270,20 +283,22 @@ def _discounted(n: str, discounts: list[float]) -> Column:
     return F.col(n) - F.when(F.col(n) == 1, d1).when(F.col(n) == 2, d2).otherwise(d3)
 
 
-def word_terms(counts: DataFrame, texts: dict[int, tuple[int, int]], errors: float, folder: str) -> tuple[DataFrame, dict[int, float]]:
+def word_terms(
+    counts: DataFrame, texts: dict[int, tuple[int, int]], errors: float, folder: str, of_terms: str,
+) -> tuple[DataFrame, dict[int, float]]:
     """Terms (gram, own, after, evidence) of the model, and the log weight of spelling by fold.
 
     The log likelihood of a text is the sum, over its words, of the weight and of
     the spelled log probability, plus ``own`` of each of its words and pairs, plus
     ``after`` of each word that another one follows: what the pair adds to its
     back-off, the word to its spelling, and the weight of backing off. ``texts`` has
-    the numbers of trusted and of toxic texts by fold.
+    the numbers of trusted and of toxic texts by fold. The terms are written to the folder ``of_terms``.
     """
     pairs = counts.where("before is not null")
     by_pair = _discounts(pairs.select("n"))
     many = lambda n, d: sum((F.count_if(c) * x for c, x in zip((F.col(n) == 1, F.col(n) == 2, F.col(n) > 2), d, strict=True)), F.lit(0.0))
-    heads = written(pairs.groupBy("fold", F.col("before").alias("word")).agg(F.log(many("n", by_pair) / F.sum("n")).alias("after"), F.sum("n").alias("total")), folder, "heads")
-    ends = written(pairs.groupBy("fold", "word").agg(F.count("*").alias("n")), folder, "ends")
+    heads = written_alone(pairs.groupBy("fold", F.col("before").alias("word")).agg(F.log(many("n", by_pair) / F.sum("n")).alias("after"), F.sum("n").alias("total")), folder, "heads")
+    ends = written_alone(pairs.groupBy("fold", "word").agg(F.count("*").alias("n")), folder, "ends")
     by_word = _discounts(ends)
     sums = {r.fold: (r.total, r.left) for r in ends.groupBy("fold").agg(F.sum("n").alias("total"), many("n", by_word).alias("left")).collect()}
     weights = {fold: math.log(left / total) for fold, (total, left) in sums.items()}
@@ -293,7 +308,7 @@ def word_terms(counts: DataFrame, texts: dict[int, tuple[int, int]], errors: flo
     part = lambda n, k: (F.col(n) + 0.5) / (of_fold_({f: t[k] for f, t in texts.items()}) + 1)
     doubt = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("good") + 0.5))
     alone = counts.where("before is null").select("fold", "word", "good", "toxic", "spelled").join(ends, ["fold", "word"], "left")
-    alone = written(alone.select(
+    alone = written_alone(alone.select(
         "fold", "word", F.log(share + F.exp(weight + spell)).alias("p"), (weight + spell).alias("base"),
         (F.log(part("toxic", 1) / part("good", 0)) - errors * doubt).alias("evidence")), folder, "words")
     rounded = lambda x: F.round(x * _UNIT).cast("bigint")
@@ -302,11 +317,14 @@ def word_terms(counts: DataFrame, texts: dict[int, tuple[int, int]], errors: flo
         "fold", F.lit(None).cast("bigint").alias("before"), "word", rounded(F.coalesce(F.col("p") - F.col("base"), F.lit(0.0))).alias("own"),
         rounded(F.coalesce("after", F.lit(0.0))).alias("after"), "evidence")
     leads = heads.withColumnRenamed("word", "before")
-    met = pairs.select("fold", "before", "word", "n").join(leads, ["fold", "before"]).join(alone.select("fold", "word", "p"), ["fold", "word"])
-    doubles = met.select(
-        "fold", "before", "word",
-        rounded(F.log(_discounted("n", by_pair) / F.col("total") + F.exp(F.col("after") + F.col("p"))) - F.col("after") - F.col("p")).alias("own"),
-        F.lit(0).cast("bigint").alias("after"), F.lit(None).cast("double").alias("evidence"))
+    portion = lambda rows, k: rows.where(F.pmod("before", F.lit(PORTIONS)) == k)
+
+    def doubles(k: int) -> DataFrame:
+        met = portion(pairs.select("fold", "before", "word", "n"), k).join(portion(leads, k), ["fold", "before"])
+        return met.join(alone.select("fold", "word", "p"), ["fold", "word"]).select(
+            "fold", "before", "word",
+            rounded(F.log(_discounted("n", by_pair) / F.col("total") + F.exp(F.col("after") + F.col("p"))) - F.col("after") - F.col("p")).alias("own"),
+            F.lit(0).cast("bigint").alias("after"), F.lit(None).cast("double").alias("evidence"))
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,7 +334,35 @@ def word_terms(counts: DataFrame, texts: dict[int, tuple[int, int]], errors: flo
             gram = of_fold(np.where(single, word, pair(before, word)), fold)
             yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), *batch.columns[3:]], names=["gram", "own", "after", "evidence"])
 
-    return singles.unionByName(doubles).mapInArrow(key, "gram bigint, own bigint, after bigint, evidence double"), weights
+    keyed = lambda rows: rows.mapInArrow(key, "gram bigint, own bigint, after bigint, evidence double")
+    parts = [written_alone(keyed(rows), of_terms, f"part_{k}") for k, rows in enumerate([singles, *map(doubles, range(PORTIONS))])]
+    return functools.reduce(DataFrame.unionByName, parts), weights
+
+
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in the fewest bytes that hold all of them, little endian."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))).newbyteorder("<"))
+
+
+def _wide(data: pa.Buffer, n: int) -> np.ndarray:
+    """What ``_narrow`` made of ``n`` numbers."""
+    return np.frombuffer(data, f"<u{data.size // n}").astype(np.int64)
+
+
+def _answers(asked: pa.RecordBatch, gram: np.ndarray, own: np.ndarray, after: np.ndarray, evidence: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Gain and strongest evidence of each text from the terms of a group, in ascending order of ``gram``."""
+    for k in range(len(asked)):
+        grams, keys, sizes = (np.frombuffer(asked.column(c)[k].as_buffer(), kind) for c, kind in ((5, "<i8"), (8, "<i8"), (9, "<i4")))
+        times, follows = (_wide(asked.column(c)[k].as_buffer(), len(grams)) for c in (6, 7))
+        at = np.minimum(np.searchsorted(gram, grams), len(gram) - 1)
+        known = gram[at] == grams
+        gain = np.where(known, times * own[at] + follows * after[at], 0)
+        starts = np.cumsum(sizes) - sizes
+        found = np.logical_or.reduceat(known, starts)
+        best = np.maximum.reduceat(np.where(known, evidence[at], -np.inf), starts)[found]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys[found]), pa.array(np.add.reduceat(gain, starts)[found]), pa.array(best, mask=best == -np.inf)],
+            names=["key", "gain", "evidence"])
 
 
 class Scorer:
@@ -349,14 +395,28 @@ class Scorer:
 
         return docs.mapInArrow(spell, schema_with(docs, name, "struct<n: bigint, base: bigint, again: double>"))
 
-    def gained(self, docs: DataFrame, text: str) -> DataFrame:
-        """Per different text: hash of the text, gain of its log likelihood over its spelling, strongest evidence."""
+    def gained(self, docs: DataFrame, text: str, folder: str) -> DataFrame:
+        """Per different text: hash of the text, gain of its log likelihood over its spelling, strongest evidence.
+
+        Hashes are dealt into groups. What a slice of texts asks of a group travels as one row, which meets the
+        sorted terms of that group; texts without any known word have no row.
+        """
+        held = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("key"))
+        groups = max(1, (held.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // _GROUP_BYTES)
+        parts = [written_alone(self._gained(held, k, groups), folder, f"gained_{k}") for k in range(PORTIONS)]
+        found = functools.reduce(DataFrame.unionByName, parts)
+        return found.groupBy("key").agg(F.sum("gain").alias("gain"), F.max("evidence").alias("evidence"))
+
+    def _gained(self, held: DataFrame, portion: int, groups: int) -> DataFrame:
+        """What the words and pairs of one portion of all hashes give to each text."""
+        asks = "grams binary, times binary, follows binary, keys binary, sizes binary"
 
-        def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in kernels.slices(batches, 0):
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in kernels.slices(batches, 0, _ASK_SLICE):
                 data, bounds = kernels.buffer(batch.column(0))
                 if not len(data):
                     continue
+                key = batch.column(1).to_numpy()
                 rows, starts, ends = words(data, bounds)
                 hashes, other = kernels.span_hashes(kernels.BYTE_CODES[data], starts, ends), 1 - folds(data, bounds)
                 before, first = _before(rows, hashes)
@@ -366,17 +426,52 @@ class Scorer:
                 # How often a word or pair occurs, and how often another one follows it.
                 times = np.repeat([1, 1, 0], [len(rows), len(rows), len(heads)])
                 follows = np.concatenate((~np.append(first[1:], True), np.zeros(len(rows), bool), np.ones(len(heads), bool)))
-                one, number = _groups(row, gram)
+                ours = np.flatnonzero(gram % np.uint64(PORTIONS) == portion)
+                if not len(ours):
+                    continue
+                row, gram, times, follows = row[ours], gram[ours], times[ours], follows[ours]
+                one, number = _groups(row.astype(np.uint64) << _ROW | gram >> (_WHOLE - _ROW), row, gram)
+                times, follows = (_narrow(np.bincount(number, x, len(one)).astype(np.int64)) for x in (times, follows))
+                row, gram = row[one], gram[one].view(np.int64)
+                group = (gram >> _LOW) % groups
+                order = np.argsort(group, kind="stable")
+                row, gram, group, times, follows = (x[order] for x in (row, gram, group, times, follows))
+                changed = lambda x: np.append(True, x[1:] != x[:-1])
+                edges = np.append(np.flatnonzero(changed(group)), len(group))
+                texts = np.append(np.flatnonzero(changed(group) | changed(row)), len(group))
+                cuts, keys, sizes = np.searchsorted(texts, edges), key[row[texts[:-1]]], np.diff(texts).astype("<i4")
+                cut = lambda x, at: pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).take(pa.array(row[one])), pa.array(gram[one].view(np.int64)),
-                     *(pa.array(np.bincount(number, x, len(one)).astype(np.int32)) for x in (times, follows))],
-                    names=["key", "gram", "times", "follows"])
-
-        held = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("key"))
-        asked = held.mapInArrow(grams, "key bigint, gram bigint, times int, follows int")
-        found = asked.join(self.terms.hint("merge"), "gram")
-        gain = F.sum(F.col("times") * F.col("own") + F.col("follows") * F.col("after"))
-        return found.groupBy("key").agg(gain.alias("gain"), F.max("evidence").alias("evidence"))
+                    [pa.array(group[edges[:-1]], pa.int64()), cut(gram, edges), cut(times, edges), cut(follows, edges), cut(keys, cuts), cut(sizes, cuts)],
+                    names=["group", "grams", "times", "follows", "keys", "sizes"])
+
+        def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            group, parts, terms = None, [], None
+            for batch in batches:
+                asking = batch.column(5).is_valid().to_numpy(zero_copy_only=False)
+                of = batch.column(0).to_numpy()
+                edges = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (asking[1:] != asking[:-1])))
+                for start, end in zip(edges, [*edges[1:], len(of)], strict=True):
+                    if of[start] != group:
+                        group, parts, terms = of[start], [], None
+                    some = batch.slice(start, end - start)
+                    if not asking[start]:
+                        parts.append([some.column(k).fill_null(lost).to_numpy() for k, lost in ((1, 0), (2, 0), (3, 0), (4, -np.inf))])
+                        continue
+                    if terms is None and parts:
+                        gram, *values = (np.concatenate(x) for x in zip(*parts, strict=True))
+                        order, parts = np.argsort(gram), []
+                        terms = [gram[order], *(x[order] for x in values)]
+                    if terms is not None:
+                        yield from _answers(some, *terms)
+
+        terms = self.terms.where(F.pmod("gram", F.lit(PORTIONS)) == portion).withColumn("group", F.pmod(F.shiftright("gram", _LOW), F.lit(groups)))
+        asked = held.mapInArrow(ask, f"group bigint, {asks}")
+        both = terms.unionByName(asked, allowMissingColumns=True).select("group", "gram", "own", "after", "evidence", "grams", "times", "follows", "keys", "sizes")
+        # The terms of a group come before what is asked of it.
+        sorted_ = both.repartition("group").sortWithinPartitions("group", F.col("grams").isNotNull())
+        found = sorted_.mapInArrow(answer, "key bigint, gain bigint, evidence double")
+        return found.groupBy("key").agg(F.sum("gain").alias("gain"), F.max("evidence").alias("evidence"))
 
     def losses(self, rows: DataFrame, gained: DataFrame) -> DataFrame:
         """Rows (key, score) with n, loss, again and evidence; equal texts share what they gain."""
@@ -394,22 +489,27 @@ class Classifier:
         low: float = 0.005, high: float = 0.995, errors: float = 2.0, prior: float = 60.0, least: int = 50,
     ):
         folder = shared_folder(docs.sparkSession)
+        fit = f"{folder}/fit"
         self.docs, self.text, self.lang, self.prior = docs, text, lang, prior
         rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
         marked = labelled_ids(labels)
         trusted = marked.where("not bad").select("trusted")
         # One plan at every size: texts meet their labels in a shuffle, never by a broadcast that grows with the labels.
-        texts = written(rows.join(marked.hint("merge"), F.col("id") == F.col("trusted")).select("text", "bad"), folder, "labelled")
-        letters = train(written(ngram_counts(texts.where("not bad").select("text")), folder, "counts")).toArrow()
+        texts = written_alone(rows.join(marked.hint("merge"), F.col("id") == F.col("trusted")).select("text", "bad"), fit, "labelled")
+        letters = train(written_alone(ngram_counts(texts.where("not bad").select("text")), fit, "counts")).toArrow()
         # At most twice the sum of 64^n rows for n up to the order.
         spelling = docs.sparkSession.sparkContext.broadcast(
             (letters["order"].to_numpy().astype(np.int8), letters["key"].to_numpy().astype(np.int32), letters["term"].to_numpy().astype(np.float32)))
         numbers = _fold_sizes(texts)
-        terms, weights = word_terms(written(word_counts(texts, spelling), folder, "words_counted"), numbers, errors, folder)
-        self.scorer = Scorer(spelling, written(terms, folder, "terms"), weights)
+        counted = written_alone(word_counts(texts, spelling), fit, "words_counted")
+        dropped(docs.sparkSession, f"{fit}/labelled")
+        terms, weights = word_terms(counted, numbers, errors, fit, f"{folder}/terms")
+        dropped(docs.sparkSession, fit)
+        self.scorer = Scorer(spelling, terms, weights)
         basic = self.scorer.basic(rows, "text", "score").select("id", "lang", F.xxhash64("text").alias("key"), "score")
         basic = written(basic, folder, "basic")
-        self.scores = written(self.scorer.losses(basic, self.scorer.gained(rows, "text")), folder, "scores")
+        self.scores = written_alone(self.scorer.losses(basic, self.scorer.gained(rows, "text", f"{folder}/gained")), folder, "scores")
+        dropped(docs.sparkSession, f"{folder}/gained")
         good = self.scores.join(trusted, F.col("id") == F.col("trusted"), "left_semi").where("n > 0")
         means = good.groupBy("lang").agg((F.sum("loss") / F.sum("n")).alias("mean"), F.count("*").alias("k"))
         overall = good.agg((F.sum("loss") / F.sum("n")).alias("mean")).first().mean or 0.0
@@ -454,7 +554,7 @@ class Classifier:
             return self.scores
         basic = self.scorer.basic(docs.select(F.col(self.text).alias("text"), F.col(self.lang).alias("lang")), "text", "score")
         basic = written(basic.select(F.xxhash64("text").alias("key"), "lang", "score"))
-        return self.scorer.losses(basic, self.scorer.gained(docs, self.text))
+        return self.scorer.losses(basic, self.scorer.gained(docs, self.text, shared_folder(docs.sparkSession)))
 
     def kept(self, docs: DataFrame) -> DataFrame:
         """The documents whose score is within the limits."""

@@ -39,7 +39,7 @@ from codequarry.llm import kernels
 FILE_BYTES = 256 << 20
 CACHE_WORDS, CACHE_STEMS = 300_000, 800_000
 #: Text whose different words are encoded together.
-_ENCODE_SLICE = 8 << 20
+_ENCODE_SLICE = 4 << 20
 
 _LENGTH, _CHECK = struct.Struct("<Q"), struct.Struct("<I")
 #: Marks that end a word and never join letters in the tokenizer's split pattern.

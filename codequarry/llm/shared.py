@@ -10,6 +10,8 @@ from pyspark.sql.types import DataType, StructType
 
 from codequarry.sources.scratch import file_system, scratch_dir
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
@@ -40,6 +42,23 @@ def written(frame: DataFrame, folder: str | None = None, name: str = "table") ->
     return spark.read.schema(frame.schema).parquet(location)
 
 
+def written_alone(frame: DataFrame, folder: str, name: str) -> DataFrame:
+    """``written``, and the files of the shuffles on the way are deleted at its end, not when the driver next collects garbage."""
+    conf = frame.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        return written(frame, folder, name)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
+def dropped(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of written tables that nothing reads any more."""
+    system, path = file_system(spark, folder)
+    system.delete(path, True)
+
+
 def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
 

@@ -4,8 +4,10 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from codequarry.llm import quality
@@ -82,3 +84,27 @@ def test_perplexity_equals_a_plain_model(spark):
     plain = Plain(texts[:60], quality.loss_table(*(terms[c].to_numpy() for c in ("order", "key", "term"))))
     for k, text in enumerate(texts):
         assert found[k] == pytest.approx(plain.perplexity(text), rel=1e-3), text
+
+
+def test_portions_and_groups_give_the_same_and_leave_no_files(spark, monkeypatch):
+    draw = random.Random(4)
+    texts = [" ".join(draw.choices(["a", "bc", "d.", "EF", "42", "x-y"] + [f"w{k}" for k in range(90)], k=draw.randrange(40))) for _ in range(150)]
+    texts += [None, "", "a a a " * 400, "a " * 70_000, texts[3], texts[3]]
+    table = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, int(k > 60)) for k in range(80)], "doc_id bigint, quality int, toxic int")
+    found, folders, make = [], [], quality.shared_folder
+    monkeypatch.setattr(quality, "shared_folder", lambda s: folders.append(make(s)) or folders[-1])
+    for portions, size, part in ((2, 16 << 20, 1 << 20), (1, 1 << 30, 1 << 30), (4, 3000, 900)):
+        monkeypatch.setattr(quality, "PORTIONS", portions)
+        monkeypatch.setattr(quality, "_GROUP_BYTES", size)
+        monkeypatch.setattr(quality, "_ASK_SLICE", part)
+        found.append(sorted(quality.Classifier(table, labels).scores.select("id", "n", "loss", "evidence", "again").collect()))
+    assert found[0] == found[1] == found[2] and any(r.evidence is not None for r in found[0])
+    assert all(not (Path(f.removeprefix("file:")) / "fit").exists() and not (Path(f.removeprefix("file:")) / "gained").exists() for f in folders)
+
+
+def test_counts_in_few_bytes():
+    for counts in ([0, 1, 1], [255], [256, 3], [70_000, 0], [1 << 33]):
+        small = quality._narrow(np.array(counts))
+        assert quality._wide(pa.py_buffer(small.tobytes()), len(counts)).tolist() == counts
+    assert quality._narrow(np.array([3, 9])).itemsize == 1
