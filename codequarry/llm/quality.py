@@ -6,9 +6,10 @@ predicts each of them from the one before. Words that trusted text does not
 hold are spelled by a model of bytes of order four over 64 classes, the base
 of the interpolation; only that base, of at most 64^4 rows whatever the
 corpus, is broadcast. The counts of words and pairs grow with the corpus and
-never pass the driver: the distinct words and pairs of each document are
-joined with the terms of the model by hash, and the terms summed up by
-document. Rows of a frequent word are skewed; adaptive execution splits them.
+never pass the driver: the distinct words and pairs of each document meet the
+terms of the model in groups of hashes, and the terms are summed up by document.
+A task holds the terms of one group and streams what is asked of it. A frequent
+word is asked for by every document, all in one group, at some ten bytes each.
 
 Each text belongs to one of two folds by its hash and is scored by the model
 of the trusted texts of the other fold, so no text is known from itself or from
