@@ -9,10 +9,11 @@ signatures agree in a component with the probability Jaccard similarity.
 
 Texts of equal words are one node from the start. Nodes that share a band of
 ``rows`` components meet in a bucket; each is paired with two pseudo-random
-members of it, the same ones in buckets of the same members, and with a neighbour,
-another one in each bucket, so a bucket of n nodes gives at most 3n pairs. Pairs whose signatures agree often
-enough are verified on their exact shingles: first the most alike of each node,
-then all that still lie between different components. With 24 bands of 4 rows a
+members of it, the same ones in buckets of the same members. Pairs whose signatures agree often
+enough are verified on their exact shingles: first the most alike of each node, then all that
+still lie between different components. Members of buckets that hold several components even then
+are paired with a neighbour of another component, another one in each bucket, and verified
+likewise, so a bucket of n nodes gives at most 3n pairs. With 24 bands of 4 rows a
 pair at similarity 0.8 shares no bucket with probability 3e-6.
 
 That joins nearly all members of a bucket. Members of buckets that still hold
@@ -153,21 +154,26 @@ def _keyed(docs: DataFrame, text: str, name: str) -> DataFrame:
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes in a common bucket, a above b, at most three for each node and bucket."""
+    """Pairs (a, b) of nodes in a common bucket, a above b: of each node and the two drawn members."""
     rows = nodes.select("key", F.explode("bands").alias("bucket"))
     # Of one draw in all buckets, so that nodes that share many of them are paired with few heads.
     drawn = F.struct(F.xxhash64("key").alias("draw"), "key")
     heads = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(drawn).alias("low"), F.max(drawn).alias("high")).where("n > 1")
     met = rows.join(heads.select("bucket", F.col("low.key").alias("low"), F.col("high.key").alias("high")), "bucket")
+    return _pairs(met.select("key", F.explode(F.array("low", "high")).alias("other")))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.where("other <> key").select(F.greatest("key", "other").alias("a"), F.least("key", "other").alias("b")).distinct()
+
+
+def _beside(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of neighbours with different labels among the members (bucket, key, label) of a bucket, a above b."""
     # Some more orders than one: neighbours among the members of a bucket that its draw deals to one of its parts.
     part = F.pmod(F.xxhash64("bucket", "key"), F.lit(64))
-    beside = F.lag("key").over(Window.partitionBy("bucket", "part").orderBy("key"))
-    paired = met.withColumn("part", part).withColumn("beside", beside)
-    other = F.explode(F.array("low", "high", "beside")).alias("other")
-    return (
-        paired.select("key", other).where("other is not null and other <> key")
-        .select(F.greatest("key", "other").alias("a"), F.least("key", "other").alias("b")).distinct()
-    )
+    beside = F.lag(F.struct("key", "label")).over(Window.partitionBy("bucket", "part").orderBy("key"))
+    paired = met.withColumn("part", part).withColumn("beside", beside).where("label <> beside.label")
+    return _pairs(paired.select("key", F.col("beside.key").alias("other")))
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -342,12 +348,18 @@ def joining(sets: list[tuple[np.ndarray, np.ndarray]], odd: np.ndarray, labels:
     return out
 
 
-def _rest(nodes: DataFrame, labels: DataFrame, rows: DataFrame, least: float, folder: str) -> DataFrame:
-    """Links (a, b) that join the components which still meet in a bucket."""
+def _open_buckets(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (bucket, key, label) of the buckets that still hold several labels."""
     labelled = nodes.where(F.size("bands") > 0).join(labels.withColumnRenamed("node", "key"), "key")
-    met = _open_members(labelled.select(F.explode("bands").alias("bucket"), "key", "label"), paired=3)
-    members = written(met.select("key", "label").distinct(), folder, "open")
-    sets = written(_shingle_sets(rows, nodes.join(members, "key", "left_semi").select("key", "id")), folder, "open-sets")
+    return _open_members(labelled.select(F.explode("bands").alias("bucket"), "key", "label"), paired=3).drop("size")
+
+
+def _rest(nodes: DataFrame, labels: DataFrame, rows: DataFrame, least: float, folder: str, known: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that join the components which still meet in a bucket. ``known`` has the shingle sets of all of them."""
+    members = written(_open_buckets(nodes, labels).select("key", "label").distinct(), folder, "open")
+    if known is None:
+        known = written(_shingle_sets(rows, nodes.join(members, "key", "left_semi").select("key", "id")), folder, "open-sets")
+    sets = known.join(members, "key", "left_semi")
     buckets = written(_prefix_buckets(sets, members, least), folder, "prefixes")
     shared = written(_open_members(buckets, paired=1).drop("size"), folder, "open-prefixes")
     promising = written(_promising(shared, nodes, least - _MARGIN), folder, "promising")
@@ -440,7 +452,13 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", least: floa
     labels = merged(each, _verified(best, sets, least), folder, "best-labels")
     apart = _with_label(_with_label(pairs.join(best, ["a", "b"], "left_anti"), labels, "a"), labels, "b")
     labels = merged(labels, _verified(apart.where("a_label <> b_label").select("a", "b"), sets, least), folder, "met-labels")
-    labels = merged(labels, _rest(nodes, labels, rows, least, folder), folder, "searched-labels")
+    # That settles most buckets; only members of the others are paired with their neighbours.
+    met = written(_open_buckets(nodes, labels), folder, "met")
+    more = nodes.join(met.select("key"), "key", "left_semi").join(sets.select("key"), "key", "left_anti")
+    sets = sets.unionByName(written(_shingle_sets(rows, more.select("key", "id")), folder, "more-sets"))
+    near = _alike(_beside(met), nodes, least - _MARGIN).join(pairs, ["a", "b"], "left_anti")
+    labels = merged(labels, _verified(near, sets, least), folder, "beside-labels")
+    labels = merged(labels, _rest(nodes, labels, rows, least, folder, sets), folder, "searched-labels")
     node_class = nodes.select("key", "id").join(labels.withColumnRenamed("node", "key"), "key")
     heads = node_class.groupBy("label").agg(F.min("id").alias("class_id"), F.min_by("key", F.struct(F.col("id").isNull(), "id", "key")).alias("keep_key"))
     of_key = written(node_class.join(heads, "label").select("key", "class_id", "keep_key"), folder, "classes")

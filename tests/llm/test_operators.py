@@ -102,6 +102,26 @@ def test_prefix_buckets_of_two_members_are_open(spark):
     assert not neardup._open_members(met, paired=3).collect()
 
 
+def test_neighbours_are_paired_across_components_only(spark):
+    """400 texts that share nine tenths of their words meet in most bands; few drawn members pair all of them."""
+    draw = random.Random(8)
+    base = [f"w{k}" for k in range(300)]
+    texts = []
+    for k in range(400):
+        variant = list(base)
+        for start in range(0, 300, 100):
+            variant[start + draw.randrange(100)] = f"edit{k}-{start}"
+        texts.append((k, " ".join(variant)))
+    nodes = neardup._sketches(frame(spark, texts).select(F.col("doc_id").alias("id"), "text")).select("key", "id", "bands", "bytes").persist()
+    assert neardup._candidates(nodes).count() < 12 * 400
+    met = nodes.select(F.explode("bands").alias("bucket"), "key", F.lit(1).alias("label"))
+    assert not neardup._beside(met).count()
+    odd = met.agg(F.min("key").alias("k")).first().k
+    two = met.withColumn("label", F.when(F.col("key") == odd, 2).otherwise(1))
+    found = neardup._beside(two).collect()
+    assert 0 < len(found) <= 2 * 24 and all(odd in (r.a, r.b) and r.a > r.b for r in found)
+
+
 def test_half_alike_texts_give_no_candidates(spark):
     """600 texts that share three quarters of their words meet in many bands, but in no prefix."""
     draw = random.Random(5)
