@@ -655,3 +655,23 @@ def test_pipeline(spark):
     last = corpus_pipeline.run(spark, folder)
     assert last.count() == counts[4]
     assert rows(last.select(F.sum("n_tokens").alias("n")))[0][0] == max(r.start + r.n_tokens for r in last.collect())
+
+
+def test_stages_send_texts_in_small_batches(spark):
+    import corpus_pipeline
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    docs = spark.range(40, numPartitions=1).select(F.col("id").alias("doc_id"), F.expr("repeat('some word ', 50000)").alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    try:
+        for name, stage in corpus_pipeline.STAGES[2:3]:
+            spark.conf.set(setting, before)
+            stage(spark, docs, "/root/testdata/sf0.001")
+            assert max(r.size for r in docs.mapInArrow(sizes, "size bigint").collect()) < 3 << 20, name
+    finally:
+        spark.conf.set(setting, before)
