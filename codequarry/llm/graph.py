@@ -15,18 +15,19 @@ def components(links: DataFrame) -> DataFrame:
     steps end when none moved, which the write itself counts.
     """
     folder = shared_folder(links.sparkSession)
+    # Never by broadcast: each would take some MB of the driver until it collects garbage, and there are four a step.
     links = written(links.where("a <> b").select("a", "b").distinct(), folder, "links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), folder, "labels-0")
     step = 0
     while True:
         step += 1
-        reached = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("reached"))
-        lower = labels.join(reached, labels.node == reached.a).select("node", "label", F.least("label", "reached").alias("low"))
+        reached = both.join(labels.hint("merge"), both.b == labels.node).groupBy("a").agg(F.min("label").alias("reached"))
+        lower = labels.join(reached.hint("merge"), labels.node == reached.a).select("node", "label", F.least("label", "reached").alias("low"))
         jumps = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
         again = labels.select(F.col("node").alias("far"), F.col("label").alias("farther"))
         seen = Observation()
-        stepped = lower.join(jumps, "low").join(again, "far").observe(seen, F.count_if(F.col("farther") != F.col("label")).alias("moved"))
+        stepped = lower.join(jumps.hint("merge"), "low").join(again.hint("merge"), "far").observe(seen, F.count_if(F.col("farther") != F.col("label")).alias("moved"))
         labels = written(stepped.select("node", F.col("farther").alias("label")), folder, f"labels-{step}")
         if not seen.get["moved"]:
             return labels

@@ -350,8 +350,12 @@ def _wide(data: pa.Buffer, n: int) -> np.ndarray:
     return np.frombuffer(data, f"<u{data.size // n}").astype(np.int64)
 
 
-def _answers(asked: pa.RecordBatch, gram: np.ndarray, own: np.ndarray, after: np.ndarray, evidence: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Gain and strongest evidence of each text from the terms of a group, in ascending order of ``gram``."""
+def _answers(asked: pa.RecordBatch, gram: np.ndarray, own: np.ndarray, after: np.ndarray, evidence: np.ndarray) -> pa.RecordBatch:
+    """A row for each row of ``asked``: its slice, and gain and strongest evidence of each of its texts with a known word.
+
+    The terms are those of a group, in ascending order of ``gram``.
+    """
+    out: tuple[list[bytes], ...] = ([], [], [])
     for k in range(len(asked)):
         grams, keys, sizes = (np.frombuffer(asked.column(c)[k].as_buffer(), kind) for c, kind in ((5, "<i8"), (8, "<i8"), (9, "<i4")))
         times, follows = (_wide(asked.column(c)[k].as_buffer(), len(grams)) for c in (6, 7))
@@ -361,9 +365,20 @@ def _answers(asked: pa.RecordBatch, gram: np.ndarray, own: np.ndarray, after: np
         starts = np.cumsum(sizes) - sizes
         found = np.logical_or.reduceat(known, starts)
         best = np.maximum.reduceat(np.where(known, evidence[at], -np.inf), starts)[found]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[found]), pa.array(np.add.reduceat(gain, starts)[found]), pa.array(best, mask=best == -np.inf)],
-            names=["key", "gain", "evidence"])
+        for some, values in zip(out, (keys[found], np.add.reduceat(gain, starts)[found], best), strict=True):
+            some.append(values.tobytes())
+    return pa.RecordBatch.from_arrays([asked.column(10), *(pa.array(x, pa.binary()) for x in out)], names=["slice", "keys", "gains", "best"])
+
+
+def _summed(answers: pa.Table) -> pa.Table:
+    """Gain and strongest evidence of each text from all answers to a slice."""
+    joined = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in answers[name]])
+    keys, gains, best = joined("keys", "<i8"), joined("gains", "<i8"), joined("best", "<f8")
+    one, number = _groups(keys, keys)
+    gain, most = np.zeros(len(one), np.int64), np.full(len(one), -np.inf)
+    np.add.at(gain, number, gains)
+    np.maximum.at(most, number, best)
+    return pa.table({"key": keys[one], "gain": gain, "evidence": pa.array(most, mask=most == -np.inf)})
 
 
 class Scorer:
@@ -410,7 +425,7 @@ class Scorer:
 
     def _gained(self, held: DataFrame, portion: int, groups: int) -> DataFrame:
         """What the words and pairs of one portion of all hashes give to each text."""
-        asks = "grams binary, times binary, follows binary, keys binary, sizes binary"
+        asks = "grams binary, times binary, follows binary, keys binary, sizes binary, slice bigint"
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in kernels.slices(batches, 0, _ASK_SLICE):
@@ -442,9 +457,11 @@ class Scorer:
                 texts = np.append(np.flatnonzero(changed(group) | changed(row)), len(group))
                 cuts, keys, sizes = np.searchsorted(texts, edges), key[row[texts[:-1]]], np.diff(texts).astype("<i4")
                 cut = lambda x, at: pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                # Only tells which answers meet; equal slices may share a number.
+                slice_ = np.full(len(edges) - 1, kernels.mix(key.view(np.uint64)).sum(dtype=np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(group[edges[:-1]], pa.int64()), cut(gram, edges), cut(times, edges), cut(follows, edges), cut(keys, cuts), cut(sizes, cuts)],
-                    names=["group", "grams", "times", "follows", "keys", "sizes"])
+                    [pa.array(group[edges[:-1]], pa.int64()), cut(gram, edges), cut(times, edges), cut(follows, edges), cut(keys, cuts), cut(sizes, cuts), pa.array(slice_)],
+                    names=["group", "grams", "times", "follows", "keys", "sizes", "slice"])
 
         def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             group, parts, terms = None, [], None
@@ -464,14 +481,16 @@ class Scorer:
                         order, parts = np.argsort(gram), []
                         terms = [gram[order], *(x[order] for x in values)]
                     if terms is not None:
-                        yield from _answers(some, *terms)
+                        yield _answers(some, *terms)
 
         terms = self.terms.where(F.pmod("gram", F.lit(PORTIONS)) == portion).withColumn("group", F.pmod(F.shiftright("gram", _LOW), F.lit(groups)))
         asked = held.mapInArrow(ask, f"group bigint, {asks}")
-        both = terms.unionByName(asked, allowMissingColumns=True).select("group", "gram", "own", "after", "evidence", "grams", "times", "follows", "keys", "sizes")
+        both = terms.unionByName(asked, allowMissingColumns=True).select("group", "gram", "own", "after", "evidence", "grams", "times", "follows", "keys", "sizes", "slice")
         # The terms of a group come before what is asked of it.
         sorted_ = both.repartition("group").sortWithinPartitions("group", F.col("grams").isNotNull())
-        found = sorted_.mapInArrow(answer, "key bigint, gain bigint, evidence double")
+        # A row per slice and group, not per text and group: both numbers grow with the input.
+        answered = sorted_.mapInArrow(answer, "slice bigint, keys binary, gains binary, best binary")
+        found = answered.groupBy("slice").applyInArrow(_summed, "key bigint, gain bigint, evidence double")
         return found.groupBy("key").agg(F.sum("gain").alias("gain"), F.max("evidence").alias("evidence"))
 
     def losses(self, rows: DataFrame, gained: DataFrame) -> DataFrame:

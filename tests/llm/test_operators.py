@@ -202,6 +202,15 @@ def test_components_of_a_chain(spark):
     assert rows(components(links)) == sorted([(k, 0) for k in range(41)] + [(90, 90), (100, 90)])
 
 
+def test_components_broadcast_nothing(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    assert components(spark.createDataFrame([(k, k + 1) for k in range(9)], "a bigint, b bigint")).count() == 10
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    plans = [store.executionsList().apply(k).physicalPlanDescription() for k in range(before, store.executionsCount())]
+    assert any("SortMergeJoin" in plan for plan in plans) and not any("BroadcastHashJoin" in plan for plan in plans)
+
+
 # 2
 def test_classifier_tells_noise_from_text(spark):
     draw = random.Random(5)

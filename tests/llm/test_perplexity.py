@@ -108,3 +108,16 @@ def test_counts_in_few_bytes():
         small = quality._narrow(np.array(counts))
         assert quality._wide(pa.py_buffer(small.tobytes()), len(counts)).tolist() == counts
     assert quality._narrow(np.array([3, 9])).itemsize == 1
+
+
+def test_a_group_answers_a_slice_by_one_row():
+    column = lambda *rows: pa.array([np.array(x, k).tobytes() for x, k in rows], pa.binary())
+    ask = {"group": pa.array([3, 3]), **{c: pa.nulls(2, pa.float64()) for c in ("gram", "own", "after", "evidence")}}
+    ask |= {"grams": column(([5, 9, 5, 7], "<i8"), ([9, 8], "<i8")), "times": column(([1, 2, 3, 1], "u1"), ([1, 1], "u1"))}
+    ask |= {"follows": column(([0, 0, 1, 0], "u1"), ([1, 0], "u1")), "keys": column(([70, 71, 72], "<i8"), ([70, 73], "<i8"))}
+    ask |= {"sizes": column(([2, 1, 1], "<i4"), ([1, 1], "<i4")), "slice": pa.array([1, 1])}
+    terms = np.array([5, 9]), np.array([100, 10]), np.array([1000, 0]), np.array([0.5, -np.inf])
+    answers = quality._answers(pa.RecordBatch.from_pydict(ask), *terms)
+    assert answers.num_rows == 2
+    found = {row["key"]: (row["gain"], row["evidence"]) for row in quality._summed(pa.Table.from_batches([answers])).to_pylist()}
+    assert found == {70: (130, 0.5), 71: (1300, 0.5)}
