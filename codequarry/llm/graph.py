@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, functions as F
 
-from codequarry.llm.shared import shared_folder, written
+from codequarry.llm.shared import counted, shared_folder, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,8 +15,12 @@ def components(links: DataFrame) -> DataFrame:
     steps end when none moved, which the write itself counts.
     """
     folder = shared_folder(links.sparkSession)
+    links, n = counted(links.where("a <> b").select("a", "b").distinct(), folder, "links")
+    return _components(links, folder) if n else links.toDF("node", "label")
+
+
+def _components(links: DataFrame, folder: str) -> DataFrame:
     # Never by broadcast: each would take some MB of the driver until it collects garbage, and there are four a step.
-    links = written(links.where("a <> b").select("a", "b").distinct(), folder, "links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), folder, "labels-0")
     step = 0
@@ -37,5 +41,8 @@ def merged(labels: DataFrame, links: DataFrame, folder: str, name: str) -> DataF
     """``labels`` (node, label) of all nodes, after the components that ``links`` (a, b) of nodes join are one."""
     of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
     between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
-    top = components(between).select(F.col("node").alias("label"), F.col("label").alias("lowest"))
+    between, n = counted(between.where("a <> b").distinct(), folder, f"{name}-links")
+    if not n:
+        return labels
+    top = _components(between, shared_folder(links.sparkSession)).select(F.col("node").alias("label"), F.col("label").alias("lowest"))
     return written(labels.join(top, "label", "left").select("node", F.coalesce("lowest", "label").alias("label")), folder, name)

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from codequarry.llm import kernels
 from codequarry.llm.graph import merged
-from codequarry.llm.shared import free_name, schema_with, shared_folder, with_column, written
+from codequarry.llm.shared import counted, free_name, schema_with, shared_folder, with_column, written
 
 SIZE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -356,7 +356,9 @@ def _open_buckets(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _rest(nodes: DataFrame, labels: DataFrame, rows: DataFrame, least: float, folder: str, known: DataFrame | None = None) -> DataFrame:
     """Links (a, b) that join the components which still meet in a bucket. ``known`` has the shingle sets of all of them."""
-    members = written(_open_buckets(nodes, labels).select("key", "label").distinct(), folder, "open")
+    members, n = counted(_open_buckets(nodes, labels).select("key", "label").distinct(), folder, "open")
+    if not n:
+        return members.toDF("a", "b")
     if known is None:
         known = written(_shingle_sets(rows, nodes.join(members, "key", "left_semi").select("key", "id")), folder, "open-sets")
     sets = known.join(members, "key", "left_semi")
@@ -453,12 +455,13 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", least: floa
     apart = _with_label(_with_label(pairs.join(best, ["a", "b"], "left_anti"), labels, "a"), labels, "b")
     labels = merged(labels, _verified(apart.where("a_label <> b_label").select("a", "b"), sets, least), folder, "met-labels")
     # That settles most buckets; only members of the others are paired with their neighbours.
-    met = written(_open_buckets(nodes, labels), folder, "met")
-    more = nodes.join(met.select("key"), "key", "left_semi").join(sets.select("key"), "key", "left_anti")
-    sets = sets.unionByName(written(_shingle_sets(rows, more.select("key", "id")), folder, "more-sets"))
-    near = _alike(_beside(met), nodes, least - _MARGIN).join(pairs, ["a", "b"], "left_anti")
-    labels = merged(labels, _verified(near, sets, least), folder, "beside-labels")
-    labels = merged(labels, _rest(nodes, labels, rows, least, folder, sets), folder, "searched-labels")
+    met, n = counted(_open_buckets(nodes, labels), folder, "met")
+    if n:
+        more = nodes.join(met.select("key"), "key", "left_semi").join(sets.select("key"), "key", "left_anti")
+        sets = sets.unionByName(written(_shingle_sets(rows, more.select("key", "id")), folder, "more-sets"))
+        near = _alike(_beside(met), nodes, least - _MARGIN).join(pairs, ["a", "b"], "left_anti")
+        labels = merged(labels, _verified(near, sets, least), folder, "beside-labels")
+        labels = merged(labels, _rest(nodes, labels, rows, least, folder, sets), folder, "searched-labels")
     node_class = nodes.select("key", "id").join(labels.withColumnRenamed("node", "key"), "key")
     heads = node_class.groupBy("label").agg(F.min("id").alias("class_id"), F.min_by("key", F.struct(F.col("id").isNull(), "id", "key")).alias("keep_key"))
     of_key = written(node_class.join(heads, "label").select("key", "class_id", "keep_key"), folder, "classes")

@@ -99,35 +99,39 @@ def ngram_counts(texts: DataFrame) -> DataFrame:
 
 def _discounts(counts: DataFrame) -> list[float]:
     """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more, from the counts of counts."""
-    of = {row.n: row.k for row in counts.where("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}
+    return _discounts_of({row.n: row.k for row in counts.where("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()})
+
+
+def _discounts_of(of: dict[int, int]) -> list[float]:
     n1, n2, n3, n4 = (of.get(k, 0) for k in range(1, 5))
     y = n1 / (n1 + 2 * n2) if n1 else 0.5
     raw = (1 - 2 * y * n2 / max(n1, 1), 2 - 3 * y * n3 / max(n2, 1), 3 - 4 * y * n4 / max(n3, 1))
     return [min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1)]
 
 
-def train(counts: DataFrame) -> DataFrame:
+def train(counts: DataFrame, folder: str | None = None) -> DataFrame:
     """Terms of the model: order, key, term.
 
     With order n above 0, ``key`` is an n-gram and ``term`` its discounted share of
     its context; with order -n, ``key`` is a context of n - 1 symbols and ``term`` the
-    weight of the next lower order after it.
+    weight of the next lower order after it. Counts of all orders are written to ``folder``
+    once; a plan that made them anew for each use took 60 stages.
     """
-    parts, level = [], counts
-    for order in range(ORDER, 0, -1):
-        d1, d2, d3 = _discounts(level)
-        discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        grams = level.withColumn("context", F.shiftright("code", 6)).withColumn("discount", discount)
-        contexts = grams.groupBy("context").agg(F.sum("n").alias("total"), F.sum("discount").alias("left"))
-        parts.append(grams.join(contexts, "context").select(
-            F.lit(order).alias("order"), F.col("code").alias("key"), ((F.col("n") - F.col("discount")) / F.col("total")).alias("term")))
-        parts.append(contexts.select(F.lit(-order).alias("order"), F.col("context").alias("key"), (F.col("left") / F.col("total")).alias("term")))
+    levels = [counts.select("code", "n")]
+    for order in range(ORDER - 1, 0, -1):
         # Continuation counts: in how many n-grams each shorter one ends.
-        level = level.groupBy(F.col("code").bitwiseAND((1 << 6 * (order - 1)) - 1).alias("code")).agg(F.count("*").alias("n"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        levels.append(levels[-1].groupBy(F.col("code").bitwiseAND((1 << 6 * order) - 1).alias("code")).agg(F.count("*").alias("n")))
+    each = [level.select(F.lit(order).alias("order"), "code", "n") for order, level in zip(range(ORDER, 0, -1), levels, strict=True)]
+    grams = written_alone(functools.reduce(DataFrame.unionByName, each), folder or shared_folder(counts.sparkSession), "grams")
+    found = grams.where("n <= 4").groupBy("order", "n").agg(F.count("*").alias("k")).collect()
+    cases = F.lit(None).cast("double")
+    for order in range(1, ORDER + 1):
+        d1, d2, d3 = _discounts_of({row.n: row.k for row in found if row.order == order})
+        cases = F.when(F.col("order") == order, F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)).otherwise(cases)
+    grams = grams.withColumn("context", F.shiftright("code", 6)).withColumn("discount", cases)
+    contexts = grams.groupBy("order", "context").agg(F.sum("n").alias("total"), F.sum("discount").alias("left"))
+    terms = grams.join(contexts, ["order", "context"]).select("order", F.col("code").alias("key"), ((F.col("n") - F.col("discount")) / F.col("total")).alias("term"))
+    return terms.unionByName(contexts.select((-F.col("order")).alias("order"), F.col("context").alias("key"), (F.col("left") / F.col("total")).alias("term")))
 
 
 def loss_table(order: np.ndarray, key: np.ndarray, term: np.ndarray) -> np.ndarray:
@@ -419,12 +423,13 @@ class Scorer:
         """
         held = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("key"))
         groups = max(1, (held.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // _GROUP_BYTES)
-        parts = [written_alone(self._gained(held, k, groups), folder, f"gained_{k}") for k in range(PORTIONS)]
+        portions = PORTIONS if groups > 1 else 1
+        parts = [written_alone(self._gained(held, k, portions, groups), folder, f"gained_{k}") for k in range(portions)]
         found = functools.reduce(DataFrame.unionByName, parts)
         return found.groupBy("key").agg(F.sum("gain").alias("gain"), F.max("evidence").alias("evidence"))
 
-    def _gained(self, held: DataFrame, portion: int, groups: int) -> DataFrame:
-        """What the words and pairs of one portion of all hashes give to each text."""
+    def _gained(self, held: DataFrame, portion: int, portions: int, groups: int) -> DataFrame:
+        """What the words and pairs of one of ``portions`` portions of all hashes give to each text."""
         asks = "grams binary, times binary, follows binary, keys binary, sizes binary, slice bigint"
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,7 +447,7 @@ class Scorer:
                 # How often a word or pair occurs, and how often another one follows it.
                 times = np.repeat([1, 1, 0], [len(rows), len(rows), len(heads)])
                 follows = np.concatenate((~np.append(first[1:], True), np.zeros(len(rows), bool), np.ones(len(heads), bool)))
-                ours = np.flatnonzero(gram % np.uint64(PORTIONS) == portion)
+                ours = np.flatnonzero(gram % np.uint64(portions) == portion)
                 if not len(ours):
                     continue
                 row, gram, times, follows = row[ours], gram[ours], times[ours], follows[ours]
@@ -483,7 +488,7 @@ class Scorer:
                     if terms is not None:
                         yield _answers(some, *terms)
 
-        terms = self.terms.where(F.pmod("gram", F.lit(PORTIONS)) == portion).withColumn("group", F.pmod(F.shiftright("gram", _LOW), F.lit(groups)))
+        terms = self.terms.where(F.pmod("gram", F.lit(portions)) == portion).withColumn("group", F.pmod(F.shiftright("gram", _LOW), F.lit(groups)))
         asked = held.mapInArrow(ask, f"group bigint, {asks}")
         both = terms.unionByName(asked, allowMissingColumns=True).select("group", "gram", "own", "after", "evidence", "grams", "times", "follows", "keys", "sizes", "slice")
         # The terms of a group come before what is asked of it.
@@ -516,7 +521,7 @@ class Classifier:
         trusted = marked.where("not bad").select("trusted")
         # One plan at every size: texts meet their labels in a shuffle, never by a broadcast that grows with the labels.
         texts = written_alone(rows.join(marked.hint("merge"), F.col("id") == F.col("trusted")).select("text", "bad"), fit, "labelled")
-        letters = train(written_alone(ngram_counts(texts.where("not bad").select("text")), fit, "counts")).toArrow()
+        letters = train(written_alone(ngram_counts(texts.where("not bad").select("text")), fit, "counts"), fit).toArrow()
         # At most twice the sum of 64^n rows for n up to the order.
         spelling = docs.sparkSession.sparkContext.broadcast(
             (letters["order"].to_numpy().astype(np.int8), letters["key"].to_numpy().astype(np.int32), letters["term"].to_numpy().astype(np.float32)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import DataType, StructType
 
 from codequarry.sources.scratch import file_system, scratch_dir
@@ -42,6 +42,13 @@ def written(frame: DataFrame, folder: str | None = None, name: str = "table") ->
     return spark.read.schema(frame.schema).parquet(location)
 
 
+def counted(frame: DataFrame, folder: str, name: str) -> tuple[DataFrame, int]:
+    """``written``, and the number of rows, which the write itself counts."""
+    seen = Observation()
+    found = written(frame.observe(seen, F.count(F.lit(1)).alias("n")), folder, name)
+    return found, seen.get["n"]
+
+
 def written_alone(frame: DataFrame, folder: str, name: str) -> DataFrame:
     """``written``, and the files of the shuffles on the way are deleted at its end, not when the driver next collects garbage."""
     conf = frame.sparkSession.conf
