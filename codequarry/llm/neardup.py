@@ -58,7 +58,7 @@ BLOCK = 1 << 18
 CELLS = 1 << 19
 #: How much less often than ``least`` signatures of a pair worth verifying may agree.
 _MARGIN = 0.25
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _U = np.uint64

@@ -54,6 +54,8 @@ from codequarry.llm.shared import dropped, free_name, schema_with, shared_folder
 
 ORDER = 4
 _COUNT_SLICE = 4 << 20
+#: Text whose words are counted at once; a worker holds on to much of what one slice took, some hundred times its bytes.
+_WORD_SLICE = 1 << 20
 
 
 def _symbols() -> np.ndarray:
@@ -251,7 +253,7 @@ def word_counts(texts: DataFrame, spelling) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         losses = loss_table(*spelling.value)
-        for batch in kernels.slices(batches, 0, _COUNT_SLICE):
+        for batch in kernels.slices(batches, 0, _WORD_SLICE):
             data, bounds = kernels.buffer(batch.column(0))
             if not len(data):
                 continue
